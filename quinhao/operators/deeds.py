@@ -105,6 +105,15 @@ def ambiguous_list(pairs: DataFrame, span: int = LIST_SPAN) -> DataFrame:
     ).agg(F.coalesce(ids, F.lit("0")).alias("receptions"))
 
 
+def proved_acts(pairs: DataFrame, sector_acts: DataFrame) -> DataFrame:
+    """(period, sector, stage, reception, user): unambiguous receptions in a deed sector."""
+    return (
+        pairs.where(_single())
+        .join(F.broadcast(sector_acts), ["stage", "ato"])  # the rules' codes: a short list
+        .select("period", "sector", "stage", "id_recepcao", "id_usuario")
+    )
+
+
 def fees_by_reception(movimento: DataFrame, item: DataFrame) -> DataFrame:
     """Fees of all settled movements of a reception; receptions without one are left out."""
     per_movement = item.groupBy("id_mov_caixa").agg(money_sum("taxa_1").alias("fees"))
@@ -126,11 +135,7 @@ def deed_acts(
     An act is a reception; ambiguous receptions do not count for anyone. A reception left in
     ``pairs`` has one pair, so counting rows counts distinct receptions.
     """
-    proved = (
-        pairs.where(_single())
-        .join(F.broadcast(sector_acts), ["stage", "ato"])  # the rules' codes: a short list
-        .select("period", "sector", "stage", "id_recepcao", "id_usuario")
-    )
+    proved = proved_acts(pairs, sector_acts)
     return (
         fees_by_reception(movimento, item)
         .join(proved, "id_recepcao")

@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 
 from quinhao.functions.money import money_sum
 from quinhao.functions.periods import in_period, period_of
-from quinhao.operators.lookup import lookup_join
+from quinhao.operators.lookup import BROADCAST_ROWS, fits_broadcast, lookup_join
 from quinhao.rules import FEE_STAGE
 
 
+def transaction_sectors(
+    transacao: DataFrame, grupo: DataFrame, sector_groups: DataFrame
+) -> DataFrame:
+    """(id_transacao, sector) of the transactions whose fee group is known and in a sector."""
+    groups = grupo.join(F.broadcast(sector_groups), "codigo").distinct()
+    return transacao.join(groups, F.col("esat_grat_codigo") == F.col("codigo")).select(
+        "id_transacao", "sector"
+    )
+
+
 def fee_acts(
     movimento: DataFrame,
     item: DataFrame,
@@ -19,21 +29,18 @@ def fee_acts(
     grupo: DataFrame,
     sector_groups: DataFrame,
     period: int | None = None,
-    **lookup_options: int,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Acts and fees per (period, sector, receiving user), for one period or all.
 
     Sums are taken before each join's shuffle: items per movement, movements per reception. So
     a movement or reception that holds much of the data is a few rows once it moves.
     """
-    sectors = (
-        transacao.join(grupo, F.col("esat_grat_codigo") == F.col("codigo"))
-        .join(F.broadcast(sector_groups), "codigo")  # the rules' own codes: a short list
-        .select("id_transacao", "sector")
-    )
+    sectors = transaction_sectors(transacao, grupo, sector_groups)
+    small = fits_broadcast(sectors, transacao, broadcast_rows)
     items = item.select("id_mov_caixa", "id_transacao", "qtde_ato", "taxa_1")
     per_movement = (
-        lookup_join(items, sectors, "id_transacao", **lookup_options)
+        lookup_join(items, sectors, "id_transacao", "inner", small)
         .groupBy("id_mov_caixa", "sector")
         .agg(F.sum("qtde_ato").alias("acts"), money_sum("taxa_1").alias("fees"))
     )
@@ -59,15 +66,16 @@ def movement_enriched(
     transacao: DataFrame,
     grupo: DataFrame,
     period: int | None = None,
-    **lookup_options: int,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Fees per (period, reception, user, transaction), with the fee group where there is one.
 
     Items of a transaction without a group, or of none, stay with a null ``codigo``.
     """
-    groups = transacao.join(
-        grupo, F.col("esat_grat_codigo") == F.col("codigo"), "left"
-    ).select("id_transacao", "codigo")
+    known = grupo.distinct()
+    groups = transacao.join(known, F.col("esat_grat_codigo") == F.col("codigo"), "left").select(
+        "id_transacao", "codigo"
+    )
     lines = item.groupBy("id_mov_caixa", "id_transacao").agg(
         F.sum("qtde_ato").alias("acts"),
         money_sum("taxa_1").alias("fees"),
@@ -86,6 +94,7 @@ def movement_enriched(
         )
     )
     received = per_reception.join(recepcao.select("id_recepcao", "id_usuario"), "id_recepcao")
-    return lookup_join(received, groups, "id_transacao", "left", **lookup_options).select(
+    small = fits_broadcast(groups, transacao, broadcast_rows)
+    return lookup_join(received, groups, "id_transacao", "left", small).select(
         "period", "id_recepcao", "id_usuario", "id_transacao", "codigo", "acts", "fees", "items"
     )

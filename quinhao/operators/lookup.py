@@ -11,23 +11,41 @@ BROADCAST_ROWS = 500_000
 SALTS = 32
 
 
+def fits_broadcast(lookup: DataFrame, source: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``lookup`` has at most ``rows`` rows.
+
+    ``source`` is a table of at least as many rows. It is counted first, since a stored table
+    knows its count without being read; the lookup itself is counted only if that is too many.
+    """
+    return source.count() <= rows or lookup.count() <= rows
+
+
 def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    how: str = "inner",
-    broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    facts: DataFrame, lookup: DataFrame, key: str, how: str, small: bool, salts: int = SALTS
 ) -> DataFrame:
     """Join ``facts`` with the narrow ``lookup`` on ``key``.
 
-    The lookup is counted first. Up to ``broadcast_rows`` it is broadcast, so the facts do not
-    move. Beyond that both sides are shuffled, with each key's facts spread over ``salts`` tasks
-    by a hash of their other columns and the lookup repeated once per salt.
+    A small lookup is broadcast, so the facts do not move. Otherwise both sides are shuffled,
+    with each key's facts spread over ``salts`` tasks by a hash of their other columns and the
+    lookup repeated once per salt.
     """
-    if lookup.count() <= broadcast_rows:
+    if small:
         return facts.join(F.broadcast(lookup), key, how)
     rest = [F.col(c) for c in facts.columns if c != key]
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # the optimizer does not see the repetition in its size estimate, so it must not broadcast
     return salted.join(repeated.hint("shuffle_merge"), [key, "_salt"], how).drop("_salt")
+
+
+def keep_known(
+    facts: DataFrame, keys: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Drop facts whose ``key`` is not among ``keys``, if these are few enough to broadcast.
+
+    Only worth it ahead of an inner join with ``keys``: for one month's run it leaves little to
+    sum and shuffle. Too many keys are left to that join.
+    """
+    if keys.count() > broadcast_rows:
+        return facts
+    return facts.join(F.broadcast(keys.select(key)), key, "left_semi")

@@ -9,6 +9,7 @@ from quinhao import rules as R
 from quinhao.functions.periods import in_period, period_of
 from quinhao.operators.deeds import deed_acts, stage_pairs
 from quinhao.operators.fees import fee_acts
+from quinhao.operators.lookup import keep_known
 from quinhao.operators.pool import (
     pool_allocation,
     production_total,
@@ -35,24 +36,31 @@ def active_periods(t: Tables, period: int | None = None) -> DataFrame:
 
 
 def all_fee_acts(t: Tables, period: int | None = None) -> DataFrame:
+    item = t.item_movimento_caixa
+    if period is not None:
+        month = t.movimento_caixa.where(in_period(F.col("data"), period))
+        item = keep_known(item, month, "id_mov_caixa")
     return fee_acts(
         t.movimento_caixa,
-        t.item_movimento_caixa,
+        item,
         t.recepcao_titulo,
         t.transacao_ato,
         t.grupo_ato,
-        R.sector_groups(t.grupo_ato.sparkSession),
+        R.sector_groups(item.sparkSession),
         period,
     )
 
 
 def all_deed_acts(t: Tables, period: int | None = None) -> DataFrame:
-    return deed_acts(
-        t.movimento_caixa,
-        t.item_movimento_caixa,
-        stage_pairs(t.recepcao_anotacoes, t.livros_notas, period),
-        R.sector_acts(t.livros_notas.sparkSession),
-    )
+    movimento, item = t.movimento_caixa, t.item_movimento_caixa
+    anotacoes, livros = t.recepcao_anotacoes, t.livros_notas
+    if period is not None:
+        livros = livros.where(in_period(F.col("data_reg"), period))
+        anotacoes = keep_known(anotacoes, livros, "id_recepcao")
+        movimento = keep_known(movimento, livros, "id_recepcao")
+        item = keep_known(item, movimento, "id_mov_caixa")
+    pairs = stage_pairs(anotacoes, livros, period)
+    return deed_acts(movimento, item, pairs, R.sector_acts(item.sparkSession))
 
 
 def all_acts(t: Tables, period: int | None = None) -> DataFrame:

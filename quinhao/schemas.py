@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,66 +23,69 @@ ID, COUNT, TEXT, DAY = LongType(), IntegerType(), StringType(), DateType()
 MOMENT, FEE, NUMBER = TimestampNTZType(), DecimalType(18, 2), DoubleType()
 
 
-def _schema(**columns: DataType) -> StructType:
+def schema(**columns: DataType) -> StructType:
     return StructType([StructField(name, kind) for name, kind in columns.items()])
 
 
 SCHEMAS: dict[str, StructType] = {
-    "funcionarios": _schema(
+    "funcionarios": schema(
         id_funcionario=ID, nome_funcionario=TEXT, identificador_regime_trab=TEXT, data_saida=DAY
     ),
-    "usuario": _schema(id_usuario=ID, id_profissional=ID, bloqueado=TEXT, permissao_assinar=TEXT),
-    "recibo": _schema(id_recibo=ID, arquivado=TEXT, data_arquivado=MOMENT),
-    "item_recibo": _schema(id_recibo=ID, taxa_1=FEE),
-    "movimento_caixa": _schema(id_mov_caixa=ID, id_recepcao=ID, data=MOMENT, situacao_pgto=TEXT),
-    "item_movimento_caixa": _schema(id_mov_caixa=ID, qtde_ato=COUNT, taxa_1=FEE, id_transacao=ID),
-    "recepcao_titulo": _schema(id_recepcao=ID, id_usuario=ID),
-    "transacao_ato": _schema(id_transacao=ID, esat_grat_codigo=COUNT),
-    "grupo_ato": _schema(codigo=COUNT),
-    "recepcao_anotacoes": _schema(id_recepcao=ID, id_usuario=ID, anotacao=TEXT, excluido=TEXT),
-    "livros_notas": _schema(id_recepcao=ID, data_reg=MOMENT, ato=COUNT, id_livro_inicio=ID),
+    "usuario": schema(id_usuario=ID, id_profissional=ID, bloqueado=TEXT, permissao_assinar=TEXT),
+    "recibo": schema(id_recibo=ID, arquivado=TEXT, data_arquivado=MOMENT),
+    "item_recibo": schema(id_recibo=ID, taxa_1=FEE),
+    "movimento_caixa": schema(id_mov_caixa=ID, id_recepcao=ID, data=MOMENT, situacao_pgto=TEXT),
+    "item_movimento_caixa": schema(id_mov_caixa=ID, qtde_ato=COUNT, taxa_1=FEE, id_transacao=ID),
+    "recepcao_titulo": schema(id_recepcao=ID, id_usuario=ID),
+    "transacao_ato": schema(id_transacao=ID, esat_grat_codigo=COUNT),
+    "grupo_ato": schema(codigo=COUNT),
+    "recepcao_anotacoes": schema(id_recepcao=ID, id_usuario=ID, anotacao=TEXT, excluido=TEXT),
+    "livros_notas": schema(id_recepcao=ID, data_reg=MOMENT, ato=COUNT, id_livro_inicio=ID),
 }
 
 INPUT_SCHEMAS: dict[str, StructType] = {
-    "bonus_assignment": _schema(category=TEXT, id_usuario=ID, weight=NUMBER),
-    "adjustments": _schema(id_usuario=ID, attitude=NUMBER, overtime=NUMBER),
+    "bonus_assignment": schema(category=TEXT, id_usuario=ID, weight=NUMBER),
+    "adjustments": schema(id_usuario=ID, attitude=NUMBER, overtime=NUMBER),
 }
 
 
-@dataclass(frozen=True)
-class Tables:
-    """The eleven operational tables, each in the shape given by ``SCHEMAS``."""
+class _Named:
+    """DataFrames by name, each loaded when first asked for."""
+
+    def __init__(self, names: Iterable[str], load: Callable[[str], DataFrame]):
+        self._names, self._load, self._loaded = tuple(names), load, {}
 
-    funcionarios: DataFrame
-    usuario: DataFrame
-    recibo: DataFrame
-    item_recibo: DataFrame
-    movimento_caixa: DataFrame
-    item_movimento_caixa: DataFrame
-    recepcao_titulo: DataFrame
-    transacao_ato: DataFrame
-    grupo_ato: DataFrame
-    recepcao_anotacoes: DataFrame
-    livros_notas: DataFrame
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in self._names:
+            raise AttributeError(name)
+        if name not in self._loaded:
+            self._loaded[name] = self._load(name)
+        return self._loaded[name]
 
     def items(self) -> list[tuple[str, DataFrame]]:
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+        return [(name, getattr(self, name)) for name in self._names]
+
+
+class Tables(_Named):
+    """The eleven operational tables, each in the shape given by ``SCHEMAS``."""
+
+    def __init__(self, load: Callable[[str], DataFrame]):
+        super().__init__(SCHEMAS, load)
 
 
-@dataclass(frozen=True)
-class Inputs:
+class Inputs(_Named):
     """What the office enters by hand: who gets which allowance, attitude, overtime."""
 
-    bonus_assignment: DataFrame
-    adjustments: DataFrame
+    def __init__(self, load: Callable[[str], DataFrame]):
+        super().__init__(INPUT_SCHEMAS, load)
 
 
-def conform(df: DataFrame, schema: StructType, table: str) -> DataFrame:
-    """Select and cast ``df`` to ``schema``; names match in any letter case."""
+def conform(df: DataFrame, wanted: StructType, table: str) -> DataFrame:
+    """Select and cast ``df`` to ``wanted``; names match in any letter case."""
     present = {c.lower(): c for c in df.columns}
-    missing = [f.name for f in schema.fields if f.name not in present]
+    missing = [f.name for f in wanted.fields if f.name not in present]
     if missing:
         raise ValueError(f"table {table} lacks columns {missing}")
     return df.select(
-        [F.col(f"`{present[f.name]}`").cast(f.dataType).alias(f.name) for f in schema.fields]
+        [F.col(f"`{present[f.name]}`").cast(f.dataType).alias(f.name) for f in wanted.fields]
     )

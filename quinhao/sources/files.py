@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quinhao.schemas import INPUT_SCHEMAS, SCHEMAS, Inputs, Tables
@@ -10,19 +12,20 @@ from quinhao.schemas import INPUT_SCHEMAS, SCHEMAS, Inputs, Tables
 def load_tables(
     spark: SparkSession, root: str, fmt: str = "parquet", suffix: str = "", **options: str
 ) -> Tables:
-    """Read the eleven tables from ``root/<table><suffix>`` with their fixed schemas."""
-    return Tables(**_read(spark, SCHEMAS, root, fmt, suffix, options))
+    """The eleven tables, read from ``root/<table><suffix>`` with their fixed schemas."""
+    return Tables(_reader(spark, SCHEMAS, root, fmt, suffix, options))
 
 
 def load_inputs(
     spark: SparkSession, root: str, fmt: str = "parquet", suffix: str = "", **options: str
 ) -> Inputs:
-    """Read the allowance selections and the attitude and overtime entries."""
-    return Inputs(**_read(spark, INPUT_SCHEMAS, root, fmt, suffix, options))
+    """The allowance selections and the attitude and overtime entries."""
+    return Inputs(_reader(spark, INPUT_SCHEMAS, root, fmt, suffix, options))
+
 
+def _reader(spark, schemas, root, fmt, suffix, options) -> Callable[[str], DataFrame]:
+    def load(name: str) -> DataFrame:
+        reader = spark.read.format(fmt).options(**options).schema(schemas[name])
+        return reader.load(f"{root}/{name}{suffix}")
 
-def _read(spark, schemas, root, fmt, suffix, options) -> dict[str, DataFrame]:
-    return {
-        name: spark.read.format(fmt).options(**options).schema(schema).load(f"{root}/{name}{suffix}")
-        for name, schema in schemas.items()
-    }
+    return load

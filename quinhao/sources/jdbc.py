@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from quinhao.schemas import SCHEMAS, Tables, conform
 
@@ -59,14 +59,10 @@ def load_tables(
     connection: Mapping[str, str],
     slices: Mapping[str, Slices] | None = None,
 ) -> Tables:
-    """Read the eleven tables; ``connection`` holds url, user, password and driver."""
-    return Tables(
-        **{
-            name: conform(
-                spark.read.format("jdbc").options(**jdbc_options(name, connection, slices)).load(),
-                schema,
-                name,
-            )
-            for name, schema in SCHEMAS.items()
-        }
-    )
+    """The eleven tables; ``connection`` holds url, user, password and driver."""
+
+    def load(name: str) -> DataFrame:
+        reader = spark.read.format("jdbc").options(**jdbc_options(name, connection, slices))
+        return conform(reader.load(), SCHEMAS[name], name)
+
+    return Tables(load)

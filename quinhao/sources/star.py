@@ -5,119 +5,114 @@ Suppliers stand for employees, orders for receptions, line items for fee items a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quinhao.schemas import INPUT_SCHEMAS, SCHEMAS, Inputs, Tables, conform
+from quinhao.schemas import COUNT, ID, MOMENT, NUMBER, TEXT, Inputs, Tables, schema
 
-# Fixed values of the binding: customer number modulo ten -> act code; 999 is in no sector.
-ACT_BY_CUSTOMER: tuple[int, ...] = (270, 94, 309, 344, 58, 7, 242, 57, 999, 999)
-# Part sizes that stand for a fee-group code other than themselves.
-CODE_BY_SIZE: dict[int, int] = {50: 63, 49: 62, 48: 55}
-# Allowance category -> every how many supplier numbers one receives it.
-MEMBER_EVERY: dict[str, int] = {
-    "adm": 11, "esc": 7, "proc": 5, "ger": 13, "com": 6, "tap": 3, "fam": 2,
-}
+# Columns of the star schema that the views use.
+STAR_SCHEMAS: dict[str, StructType] = {
+    "supplier": schema(s_suppkey=ID, s_name=TEXT, s_nationkey=COUNT, s_acctbal=NUMBER),
+    "part": schema(p_partkey=ID, p_size=COUNT),
+    "orders": schema(
+        o_orderkey=ID, o_custkey=ID, o_orderstatus=TEXT, o_orderdate=MOMENT, o_orderpriority=TEXT
+    ),
+    "lineitem": schema(
+        l_orderkey=ID, l_partkey=ID, l_suppkey=ID, l_quantity=NUMBER, l_extendedprice=NUMBER,
+        l_returnflag=TEXT, l_linestatus=TEXT,
+    ),
+}
 
+# Fixed values of the binding: part sizes that stand for a fee-group code other than their own,
+# and the act code of a book by customer number (999 is in no sector).
+CODE = "CASE p_size WHEN 50 THEN 63 WHEN 49 THEN 62 WHEN 48 THEN 55 ELSE p_size END"
+ACT = (
+    "CASE o_custkey % 10 WHEN 0 THEN 270 WHEN 1 THEN 94 WHEN 2 THEN 309 WHEN 3 THEN 344"
+    " WHEN 4 THEN 58 WHEN 5 THEN 7 WHEN 6 THEN 242 WHEN 7 THEN 57 ELSE 999 END"
+)
+FEE = "CAST(l_extendedprice AS DECIMAL(18,2)) AS taxa_1"
+
+# View -> (star table, expressions).
+VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
+    "funcionarios": ("supplier", (
+        "s_suppkey AS id_funcionario",
+        "s_name AS nome_funcionario",
+        "IF(s_nationkey % 5 = 0, 'PJ', 'CLT') AS identificador_regime_trab",
+        "IF(s_acctbal < 0, DATE'1999-01-01', NULL) AS data_saida",
+    )),
+    "usuario": ("supplier", (
+        "s_suppkey AS id_usuario",
+        "s_suppkey AS id_profissional",
+        "IF(s_suppkey % 10 = 9, 'True', 'False') AS bloqueado",
+        "IF(s_nationkey % 2 = 0, 'True', 'False') AS permissao_assinar",
+    )),
+    "recibo": ("orders", (
+        "o_orderkey AS id_recibo",
+        "IF(o_orderstatus = 'F', 'True', 'False') AS arquivado",
+        "o_orderdate AS data_arquivado",
+    )),
+    "item_recibo": ("lineitem", ("l_orderkey AS id_recibo", FEE)),
+    "movimento_caixa": ("orders", (
+        "o_orderkey AS id_mov_caixa",
+        "o_orderkey AS id_recepcao",
+        "o_orderdate AS data",
+        "IF(o_orderstatus = 'P', 'Pendente', 'Liquidado') AS situacao_pgto",
+    )),
+    "item_movimento_caixa": ("lineitem", (
+        "l_orderkey AS id_mov_caixa",
+        "CAST(l_quantity AS INT) AS qtde_ato",
+        FEE,
+        "l_partkey AS id_transacao",
+    )),
+    "transacao_ato": ("part", ("p_partkey AS id_transacao", f"{CODE} AS esat_grat_codigo")),
+    "grupo_ato": ("part", (f"{CODE} AS codigo",)),
+    "recepcao_titulo": ("lineitem", ("l_orderkey AS id_recepcao", "l_suppkey AS id_usuario")),
+    "recepcao_anotacoes": ("lineitem", (
+        "l_orderkey AS id_recepcao",
+        "l_suppkey AS id_usuario",
+        "CASE l_returnflag WHEN 'A' THEN 'Lavrado em cartorio' WHEN 'R' THEN 'Conferido'"
+        " ELSE 'Outro' END AS anotacao",
+        "IF(l_linestatus = 'F', 'False', 'True') AS excluido",
+    )),
+    "livros_notas": ("orders", (
+        "o_orderkey AS id_recepcao",
+        "o_orderdate AS data_reg",
+        f"{ACT} AS ato",
+        "IF(o_orderpriority = '5-LOW', NULL, o_orderkey) AS id_livro_inicio",
+    )),
+    "adjustments": ("supplier", (
+        "s_suppkey AS id_usuario",
+        "CAST(1 + s_suppkey % 5 AS DOUBLE) AS attitude",
+        "CAST((s_suppkey % 3) * 12.5 AS DOUBLE) AS overtime",
+    )),
+    # Each category goes to every so many supplier numbers.
+    "bonus_assignment": ("supplier", (
+        "EXPLODE(MAP_KEYS(MAP_FILTER("
+        "MAP('adm', 11, 'esc', 7, 'proc', 5, 'ger', 13, 'com', 6, 'tap', 3, 'fam', 2),"
+        " (category, every) -> s_suppkey % every = 0))) AS category",
+        "s_suppkey AS id_usuario",
+        "CAST(1 + (s_suppkey % 4) * 0.5 AS DOUBLE) AS weight",
+    )),
+}
 
-def load_tables(spark: SparkSession, root: str) -> Tables:
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{root}/{name}.parquet")
 
-    def flag(condition: Column) -> Column:
-        return F.when(condition, "True").otherwise("False")
+def _view(spark: SparkSession, root: str, name: str) -> DataFrame:
+    source, expressions = VIEWS[name]
+    rows = spark.read.schema(STAR_SCHEMAS[source]).parquet(f"{root}/{source}.parquet")
+    if name == "adjustments":  # the others get the defaults
+        rows = rows.where("s_suppkey % 4 <> 3")
+    view = rows.selectExpr(*expressions)
+    if name == "grupo_ato":
+        return view.distinct()
+    if name == "recepcao_titulo":
+        return view.groupBy("id_recepcao").agg(F.min("id_usuario").alias("id_usuario"))
+    return view
 
-    supplier, part, orders, lineitem = map(read, ("supplier", "part", "orders", "lineitem"))
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
-    code = F.col("p_size")
-    for size, replacement in CODE_BY_SIZE.items():
-        code = F.when(F.col("p_size") == size, replacement).otherwise(code)
-    act = F.element_at(
-        F.array(*[F.lit(a) for a in ACT_BY_CUSTOMER]), (F.col("o_custkey") % 10 + 1).cast("int")
-    )
 
-    views = {
-        "funcionarios": supplier.select(
-            F.col("s_suppkey").alias("id_funcionario"),
-            F.col("s_name").alias("nome_funcionario"),
-            F.when(F.col("s_nationkey") % 5 == 0, "PJ")
-            .otherwise("CLT")
-            .alias("identificador_regime_trab"),
-            F.when(F.col("s_acctbal") < 0, F.lit("1999-01-01").cast("date")).alias("data_saida"),
-        ),
-        "usuario": supplier.select(
-            F.col("s_suppkey").alias("id_usuario"),
-            F.col("s_suppkey").alias("id_profissional"),
-            flag(F.col("s_suppkey") % 10 == 9).alias("bloqueado"),
-            flag(F.col("s_nationkey") % 2 == 0).alias("permissao_assinar"),
-        ),
-        "recibo": orders.select(
-            F.col("o_orderkey").alias("id_recibo"),
-            flag(F.col("o_orderstatus") == "F").alias("arquivado"),
-            F.col("o_orderdate").alias("data_arquivado"),
-        ),
-        "item_recibo": lineitem.select(
-            F.col("l_orderkey").alias("id_recibo"), price.alias("taxa_1")
-        ),
-        "movimento_caixa": orders.select(
-            F.col("o_orderkey").alias("id_mov_caixa"),
-            F.col("o_orderkey").alias("id_recepcao"),
-            F.col("o_orderdate").alias("data"),
-            F.when(F.col("o_orderstatus") == "P", "Pendente")
-            .otherwise("Liquidado")
-            .alias("situacao_pgto"),
-        ),
-        "item_movimento_caixa": lineitem.select(
-            F.col("l_orderkey").alias("id_mov_caixa"),
-            F.col("l_quantity").cast("int").alias("qtde_ato"),
-            price.alias("taxa_1"),
-            F.col("l_partkey").alias("id_transacao"),
-        ),
-        "recepcao_titulo": lineitem.groupBy(F.col("l_orderkey").alias("id_recepcao")).agg(
-            F.min("l_suppkey").alias("id_usuario")
-        ),
-        "transacao_ato": part.select(
-            F.col("p_partkey").alias("id_transacao"), code.alias("esat_grat_codigo")
-        ),
-        "grupo_ato": part.select(code.alias("codigo")).distinct(),
-        "recepcao_anotacoes": lineitem.select(
-            F.col("l_orderkey").alias("id_recepcao"),
-            F.col("l_suppkey").alias("id_usuario"),
-            F.when(F.col("l_returnflag") == "A", "Lavrado em cartorio")
-            .when(F.col("l_returnflag") == "R", "Conferido")
-            .otherwise("Outro")
-            .alias("anotacao"),
-            F.when(F.col("l_linestatus") == "F", "False").otherwise("True").alias("excluido"),
-        ),
-        "livros_notas": orders.select(
-            F.col("o_orderkey").alias("id_recepcao"),
-            F.col("o_orderdate").alias("data_reg"),
-            act.alias("ato"),
-            F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderkey")).alias(
-                "id_livro_inicio"
-            ),
-        ),
-    }
-    return Tables(**{name: conform(df, SCHEMAS[name], name) for name, df in views.items()})
+def load_tables(spark: SparkSession, root: str) -> Tables:
+    return Tables(lambda name: _view(spark, root, name))
 
 
 def load_inputs(spark: SparkSession, root: str) -> Inputs:
-    supplier = spark.read.parquet(f"{root}/supplier.parquet").select("s_suppkey")
-    key = F.col("s_suppkey")
-    categories = F.array(
-        *[F.when(key % every == 0, F.lit(category)) for category, every in MEMBER_EVERY.items()]
-    )
-    assignment = supplier.select(
-        F.explode(F.array_compact(categories)).alias("category"),
-        key.alias("id_usuario"),
-        (1 + (key % 4) * 0.5).alias("weight"),
-    )
-    adjustments = supplier.where(key % 4 != 3).select(
-        key.alias("id_usuario"),
-        (1 + key % 5).alias("attitude"),
-        ((key % 3) * 12.5).alias("overtime"),
-    )
-    return Inputs(
-        bonus_assignment=conform(assignment, INPUT_SCHEMAS["bonus_assignment"], "bonus_assignment"),
-        adjustments=conform(adjustments, INPUT_SCHEMAS["adjustments"], "adjustments"),
-    )
+    return Inputs(lambda name: _view(spark, root, name))
