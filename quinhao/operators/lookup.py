@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 # A lookup of a few narrow columns with this many rows stays below about 100 MB when hashed.
 BROADCAST_ROWS = 500_000
-# Tasks over which the facts of one key are spread when the lookup is too large to broadcast.
-SALTS = 32
+# How many of the most frequent keys are spread out when the lookup is too large to broadcast.
+# Any other key holds less than one part in this many of the facts.
+HOT_KEYS = 1000
 
 
 def fits_broadcast(lookup: DataFrame, source: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -21,23 +22,41 @@ def fits_broadcast(lookup: DataFrame, source: DataFrame, rows: int = BROADCAST_R
 
 
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, key: str, how: str, small: bool, salts: int = SALTS
+    facts: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    how: str,
+    small: bool,
+    hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
-    """Join ``facts`` with the narrow ``lookup`` on ``key``.
+    """Join ``facts`` with the narrow ``lookup`` on ``key``, by "inner" or "left" join.
 
-    A small lookup is broadcast, so the facts do not move. Otherwise both sides are shuffled,
-    with each key's facts spread over ``salts`` tasks by a hash of their other columns and the
-    lookup repeated once per salt.
+    A small lookup is broadcast, so the facts do not move. Otherwise both sides are shuffled.
+    The most frequent keys are counted first; the facts of each are spread over all tasks by a
+    hash of their other columns, and only their lookup rows are repeated. Facts without a key
+    are spread too.
     """
     if small:
         return facts.join(F.broadcast(lookup), key, how)
+    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = 4 * partitions  # several per task even out the tasks' loads
+    hot = _most_frequent(facts, key, hot_keys)
     rest = [F.col(c) for c in facts.columns if c != key]
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    # the optimizer does not see the repetition in its size estimate, so it must not broadcast
+    salt = F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int")
+    spread = F.col(key).isNull() | F.col(key).isin(hot)
+    salted = facts.withColumn("_salt", F.when(spread, salt).otherwise(0))
+    repeats = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1)))
+    repeated = lookup.withColumn("_salt", F.explode(F.coalesce(repeats, F.array(F.lit(0)))))
     return salted.join(repeated.hint("shuffle_merge"), [key, "_salt"], how).drop("_salt")
 
 
+def _most_frequent(facts: DataFrame, key: str, limit: int) -> list:
+    """At most ``limit`` keys; each task counts its own before anything moves."""
+    counts = facts.where(F.col(key).isNotNull()).groupBy(key).count()
+    top = counts.orderBy(F.desc("count"), key).limit(limit)
+    return [row[0] for row in top.select(key).collect()]
+
+
 def keep_known(
     facts: DataFrame, keys: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
