@@ -1,0 +1,233 @@
+"""Hot keys, invariants, and the shape of the plans."""
+
+import random
+from collections import Counter, defaultdict
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+from small import DAY, NEXT_MONTH, collect, fee, tables
+
+from quinhao import rules as R
+from quinhao.operators import deeds, fees, lookup, pool
+from quinhao.plans import production as P
+from quinhao.plans.payroll import payroll
+from quinhao.sources import star
+
+SF = "/root/testdata/sf0.001"
+LAV, CONF = "Lavrado", "Conferido"
+
+
+def skewed(seed: int = 3, n: int = 3000):
+    """A third of everything belongs to one movement, reception, transaction and user."""
+    rng = random.Random(seed)
+
+    def key(hot, high):
+        return hot if rng.random() < 1 / 3 else rng.randrange(high)
+
+    movements = [(m, key(1, 200), rng.choice([DAY, NEXT_MONTH]), rng.choice(["Liquidado", "x"]))
+                 for m in range(600)]
+    items = [(key(5, 600), rng.randrange(4), fee(f"{rng.randrange(9999) / 100:.2f}"),
+              rng.choice([None, 7, 7, rng.randrange(40)])) for _ in range(n)]
+    notes = [(key(1, 200), key(3, 20), rng.choice([LAV, CONF, "Outro"]),
+              rng.choice(["False", "False", "True"])) for _ in range(300)]
+    books = [(key(1, 200), rng.choice([DAY, NEXT_MONTH]), rng.choice([270, 309, 58, 242, 999]),
+              rng.choice([None, 1])) for _ in range(300)]
+    return {
+        "movimento_caixa": movements,
+        "item_movimento_caixa": items,
+        "recepcao_titulo": [(r, key(3, 20)) for r in range(190)],
+        "transacao_ato": [(x, {7: 3, 9: 63}.get(x, x)) for x in range(40)],
+        "grupo_ato": [(g,) for g in range(0, 64) if g != 8],
+        "recepcao_anotacoes": notes,
+        "livros_notas": books,
+    }
+
+
+def month(day):
+    return day.year * 100 + day.month
+
+
+def brute_force(data):
+    """The definition, row by row."""
+    acts, paid = Counter(), defaultdict(Decimal)
+    sector_of = {c: s for s, codes in R.FEE_GROUPS.items() for c in codes}
+    act_sector = {c: s for s, codes in R.ACT_CODES.items() for c in codes}
+    stages = {(s, st) for s, st, _, _ in R.SECTOR_RULES}
+    movement = {m[0]: m for m in data["movimento_caixa"]}
+    receiver = dict(data["recepcao_titulo"])
+    code = dict(data["transacao_ato"])
+    known = {g for (g,) in data["grupo_ato"]}
+    settled = defaultdict(Decimal)
+    for m, quantity, amount, transaction in data["item_movimento_caixa"]:
+        _, reception, day, state = movement[m]
+        if state == "Liquidado":
+            settled[reception] += amount
+        group = code.get(transaction)
+        if group in known and group in sector_of and reception in receiver:
+            key = (month(day), sector_of[group], "fee", receiver[reception])
+            acts[key] += quantity
+            paid[key] += amount
+    pairs = defaultdict(list)
+    for reception, user, text, out in data["recepcao_anotacoes"]:
+        stage = {LAV: "lav", CONF: "conf"}.get(text)
+        for other, day, act, opened in data["livros_notas"]:
+            if other == reception and stage and out == "False" and opened is not None:
+                pairs[(month(day), stage, reception)].append((user, act))
+    for (period, stage, reception), found in pairs.items():
+        if len(found) == 1 and reception in settled:
+            user, act = found[0]
+            if (act_sector.get(act), stage) in stages:
+                key = (period, act_sector[act], stage, user)
+                acts[key] += 1
+                paid[key] += settled[reception]
+    return sorted((*k, float(acts[k]), paid[k]) for k in paid)
+
+
+def test_hot_keys_against_brute_force(spark):
+    data = skewed()
+    t = tables(spark, **data)
+    got = collect(P.all_acts(t), "period", "sector", "stage", "id_usuario", "acts", "fees")
+    want = brute_force(data)
+    assert {r[1] for r in want} == set(R.SECTORS)
+    assert sorted(got) == want
+
+
+@pytest.mark.parametrize("period", [202103, 202104])
+def test_month_run_against_brute_force(spark, period):
+    data = skewed(seed=4)
+    got = collect(
+        P.all_acts(tables(spark, **data), period),
+        "period", "sector", "stage", "id_usuario", "acts", "fees",
+    )
+    assert sorted(got) == [r for r in brute_force(data) if r[0] == period]
+
+
+@pytest.mark.parametrize("hot_keys", [0, 2, 1000])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_large_lookup_join_is_a_plain_join(spark, how, hot_keys):
+    facts = spark.range(2000).select(
+        F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 7 != 0, F.col("id") % 50).alias("k"),
+        F.col("id").alias("v"),
+    )
+    names = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    names = names.union(names.where("k = 1"))  # a key may stand for several rows
+    got = lookup.lookup_join(facts, names, "k", how, small=False, hot_keys=hot_keys)
+    assert collect(got) == collect(facts.join(names, "k", how))
+
+
+def test_too_many_keys_leave_the_facts_alone(spark):
+    facts, keys = spark.range(10), spark.range(3)
+    assert lookup.keep_known(facts, keys, "id").count() == 3
+    assert lookup.keep_known(facts, keys, "id", broadcast_rows=2).count() == 10
+
+
+# Properties on the star-schema tables.
+
+
+@pytest.fixture(scope="module")
+def loaded(spark):
+    return star.load_tables(spark, SF), star.load_inputs(spark, SF)
+
+
+def test_shares_add_up_to_each_pool(spark, loaded):
+    rules = R.sector_rules(spark)
+    allocation = P.allocation(loaded[0], rules)
+    shared = allocation.groupBy("period", "sector", "stage").agg(F.sum("production").alias("p"))
+    totals = pool.sector_totals(P.all_acts(loaded[0])).join(rules, ["sector", "stage"])
+    rows = totals.join(shared, ["period", "sector", "stage"], "full").collect()
+    assert len(rows) > 50
+    for r in rows:
+        assert r.p == pytest.approx(float(r.net) * r.margin / 100, rel=1e-12)
+
+
+def test_pool_without_acts_pays_nothing(spark):
+    acts = spark.sql(
+        "SELECT 202103 AS period, 'aut' AS sector, 'fee' AS stage, 7L AS id_usuario,"
+        " 0.0D AS acts, CAST(10 AS DECIMAL(28,2)) AS fees"
+    )
+    allocation = pool.pool_allocation(acts, pool.sector_totals(acts), R.sector_rules(spark))
+    assert [r.production for r in pool.sector_production(allocation).collect()] == [0.0]
+
+
+def test_everyone_on_the_roster_has_one_row_per_month(spark, loaded):
+    t, entered = loaded
+    rows = payroll(t, entered, values={"adm": 1.0})
+    counts = Counter(r.period for r in rows.select("period").collect())
+    months = {r.period for r in P.active_periods(t).collect()}
+    assert set(counts) == months
+    assert set(counts.values()) == {7}
+
+
+def test_same_payroll_however_the_work_is_cut(spark, loaded):
+    t, entered = loaded
+
+    def run(partitions, shuffle):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            cut = tables(spark)
+            cut._loaded.update({n: df.repartition(shuffle) for n, df in t.items()})
+            return collect(payroll(cut, entered, period=199603, values={"adm": 1.0}))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+    assert run("3", 2) == run("11", 5)
+
+
+# Plans.
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Plan as for tables too large to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_month_reaches_the_scan(spark, loaded):
+    pairs = deeds.stage_pairs(loaded[0].recepcao_anotacoes, loaded[0].livros_notas, 199603)
+    text = plan(pairs)
+    assert "GreaterThanOrEqual(o_orderdate,1996-03-01T00:00)" in text
+    assert "LessThan(o_orderdate,1996-04-01T00:00)" in text
+
+
+def test_scans_read_only_what_they_use(loaded):
+    t = loaded[0]
+    text = plan(deeds.fees_by_reception(t.movimento_caixa, t.item_movimento_caixa))
+    assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double>" in text
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in text
+
+
+def test_no_cross_join_no_window_no_python(spark, loaded):
+    t, entered = loaded
+    for df in (P.all_acts(t), payroll(t, entered, values={"adm": 1.0})):
+        text = plan(df)
+        for word in ("CartesianProduct", "NestedLoop", "Window", "Python", "Pandas"):
+            assert word not in text
+
+
+def test_joining_movements_reuses_the_partitioning_of_their_sums(loaded, no_broadcast):
+    t = loaded[0]
+    text = (
+        deeds.fees_by_reception(t.movimento_caixa, t.item_movimento_caixa)
+        ._jdf.queryExecution().executedPlan().toString()
+    )
+    assert text.count("Exchange hashpartitioning(id_mov_caixa") == 2  # one per side
+    assert text.count("Exchange") == 3
+
+
+def test_large_lookup_is_not_broadcast(spark, loaded):
+    t = loaded[0]
+    acts = fees.fee_acts(
+        t.movimento_caixa, t.item_movimento_caixa, t.recepcao_titulo, t.transacao_ato,
+        t.grupo_ato, R.sector_groups(spark), broadcast_rows=0,
+    )
+    text = plan(acts)
+    assert "_salt" in text and "SortMergeJoin" in text
