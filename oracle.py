@@ -340,7 +340,7 @@ def oracle_sql() -> dict[str, str]:
         + f"SELECT period, stage, id_recepcao, pairs AS quantidade FROM ({pair_counts})"
         " WHERE pairs > 1",
         "ambiguous_list": base
-        + f"""SELECT period, stage, CAST(FLOOR(id_recepcao / 1000) AS BIGINT) AS block,
+        + f"""SELECT period, stage, id_recepcao // 1000 AS block,
         COALESCE(STRING_AGG(CASE WHEN pairs > 1 THEN CAST(id_recepcao AS VARCHAR) END, ','
           ORDER BY id_recepcao), '0') AS receptions FROM ({pair_counts}) GROUP BY ALL""",
         "deed_acts": _with(BINDINGS, DEED_ACTS) + "SELECT * FROM deed_acts",

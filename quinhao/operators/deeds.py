@@ -101,7 +101,7 @@ def ambiguous_list(pairs: DataFrame, span: int = LIST_SPAN) -> DataFrame:
         " WITHIN GROUP (ORDER BY id_recepcao)"
     )
     return pairs.groupBy(
-        "period", "stage", F.floor(F.col("id_recepcao") / span).alias("block")
+        "period", "stage", F.expr(f"id_recepcao DIV {int(span)}").alias("block")
     ).agg(F.coalesce(ids, F.lit("0")).alias("receptions"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quinhao.functions.money import money_sum
+from quinhao.functions.money import MONEY, money_sum
 from quinhao.functions.periods import in_period, period_of
 from quinhao.operators.lookup import BROADCAST_ROWS, fits_broadcast, lookup_join
 from quinhao.rules import FEE_STAGE
@@ -16,9 +16,10 @@ def transaction_sectors(
 ) -> DataFrame:
     """(id_transacao, sector) of the transactions whose fee group is known and in a sector."""
     groups = grupo.join(F.broadcast(sector_groups), "codigo").distinct()
-    return transacao.join(groups, F.col("esat_grat_codigo") == F.col("codigo")).select(
-        "id_transacao", "sector"
-    )
+    # distinct and among the rules' own codes, so a short list however large the tables
+    return transacao.join(
+        F.broadcast(groups), F.col("esat_grat_codigo") == F.col("codigo")
+    ).select("id_transacao", "sector")
 
 
 def fee_acts(
@@ -34,31 +35,68 @@ def fee_acts(
     """Acts and fees per (period, sector, receiving user), for one period or all.
 
     Sums are taken before each join's shuffle: items per movement, movements per reception. So
-    a movement or reception that holds much of the data is a few rows once it moves.
+    a movement or reception that holds much of the data is a few rows once it moves. The few
+    sectors are columns until the end, which keeps one row per movement and lets the join with
+    the movements reuse the partitioning of their sums.
     """
     sectors = transaction_sectors(transacao, grupo, sector_groups)
     small = fits_broadcast(sectors, transacao, broadcast_rows)
+    names = sorted({row.sector for row in sector_groups.select("sector").collect()})
     items = item.select("id_mov_caixa", "id_transacao", "qtde_ato", "taxa_1")
     per_movement = (
         lookup_join(items, sectors, "id_transacao", "inner", small)
-        .groupBy("id_mov_caixa", "sector")
-        .agg(F.sum("qtde_ato").alias("acts"), money_sum("taxa_1").alias("fees"))
+        .groupBy("id_mov_caixa")
+        .agg(*[c for i, name in enumerate(names) for c in _sums_of(i, F.col("sector") == name)])
     )
     dated = movimento.where(in_period(F.col("data"), period)).select(
         "id_mov_caixa", "id_recepcao", period_of(F.col("data")).alias("period")
     )
+    added = [c for i in range(len(names)) for c in _added(i)]
     per_reception = (
-        per_movement.join(dated, "id_mov_caixa")
-        .groupBy("id_recepcao", "period", "sector")
-        .agg(F.sum("acts").alias("acts"), money_sum("fees").alias("fees"))
+        per_movement.join(dated, "id_mov_caixa").groupBy("id_recepcao", "period").agg(*added)
     )
-    return (
+    per_user = (
         per_reception.join(recepcao.select("id_recepcao", "id_usuario"), "id_recepcao")
-        .groupBy("period", "sector", F.lit(FEE_STAGE).alias("stage"), "id_usuario")
-        .agg(F.sum("acts").cast("double").alias("acts"), money_sum("fees").alias("fees"))
+        .groupBy("period", "id_usuario")
+        .agg(*added)
+    )
+    rows = F.inline(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("sector"),
+                    F.col(f"acts_{i}").cast("double").alias("acts"),
+                    F.col(f"fees_{i}").alias("fees"),
+                    F.col(f"items_{i}").alias("items"),
+                )
+                for i, name in enumerate(names)
+            ]
+        )
+    )
+    return (
+        per_user.select("period", "id_usuario", rows)
+        .where(F.col("items") > 0)
+        .select("period", "sector", F.lit(FEE_STAGE).alias("stage"), "id_usuario", "acts", "fees")
     )
 
 
+def _sums_of(i: int, member: Column) -> list[Column]:
+    """Acts, fees and number of the items of sector number ``i``."""
+    return [
+        F.sum(F.when(member, F.col("qtde_ato"))).alias(f"acts_{i}"),
+        F.sum(F.when(member, F.col("taxa_1"))).cast(MONEY).alias(f"fees_{i}"),
+        F.count_if(member).alias(f"items_{i}"),
+    ]
+
+
+def _added(i: int) -> list[Column]:
+    return [
+        F.sum(f"acts_{i}").alias(f"acts_{i}"),
+        money_sum(f"fees_{i}").alias(f"fees_{i}"),
+        F.sum(f"items_{i}").alias(f"items_{i}"),
+    ]
+
+
 def movement_enriched(
     movimento: DataFrame,
     item: DataFrame,
@@ -72,10 +110,14 @@ def movement_enriched(
 
     Items of a transaction without a group, or of none, stay with a null ``codigo``.
     """
-    known = grupo.distinct()
-    groups = transacao.join(known, F.col("esat_grat_codigo") == F.col("codigo"), "left").select(
-        "id_transacao", "codigo"
-    )
+    codes = grupo.distinct().select(F.col("codigo").alias("esat_grat_codigo"), "codigo")
+    groups = lookup_join(
+        transacao.select("id_transacao", "esat_grat_codigo"),
+        codes,
+        "esat_grat_codigo",
+        "left",
+        fits_broadcast(codes, grupo, broadcast_rows),
+    ).select("id_transacao", "codigo")
     lines = item.groupBy("id_mov_caixa", "id_transacao").agg(
         F.sum("qtde_ato").alias("acts"),
         money_sum("taxa_1").alias("fees"),
