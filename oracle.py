@@ -355,6 +355,8 @@ def oracle_sql() -> dict[str, str]:
         + f"SELECT period, sector, id_usuario, {_at('production', 4)} FROM boosted",
         "production_total": _with(*PRODUCTION_PARTS, ROSTER, TOTAL)
         + f"SELECT period, id_usuario, {_at('production', 4)} FROM production_total",
+        "boosted_total": _with(*PRODUCTION_PARTS, ROSTER, TOTAL)
+        + f"SELECT period, id_usuario, {_at('production', 4)} FROM production_total",
         "payroll_production": _with(*PRODUCTION_PARTS, ROSTER, TOTAL)
         + f"SELECT period, id_usuario, nome_funcionario, {_at('production', 4)}"
         " FROM payroll_production",

@@ -83,6 +83,38 @@ def production_total(boosted: DataFrame, sectors: Sequence[str] = SECTORS) -> Da
     return parts.select("period", "id_usuario", total.alias("production"))
 
 
+def boosted_total(
+    allocation: DataFrame,
+    rules: DataFrame,
+    sectors: Sequence[str] = SECTORS,
+    factor: float = TOP_FACTOR,
+) -> DataFrame:
+    """``sector_production``, ``top_boost`` and ``production_total`` in one step.
+
+    The same numbers with the sectors as columns, so that the shares are shuffled by period and
+    producer only, instead of once per sector and then once more to add the sectors.
+    """
+    boosted = {row.sector for row in rules.where("boosted").select("sector").collect()}
+    wide = allocation.groupBy("period", "id_usuario").agg(
+        *[
+            F.sum(F.when(F.col("sector") == s, or_zero(F.col("production")))).alias(s)
+            for s in sectors
+        ]
+    )
+    tops = wide.groupBy("period").agg(
+        *[F.max(s).alias(f"top_{s}") for s in sectors if s in boosted]
+    )
+    total = F.lit(0.0)
+    for s in sectors:
+        value = F.col(s)
+        if s in boosted:
+            value = F.when(value == F.col(f"top_{s}"), value * F.lit(factor)).otherwise(value)
+        total = total + or_zero(value)
+    return wide.join(F.broadcast(tops), "period").select(
+        "period", "id_usuario", total.alias("production")
+    )
+
+
 def payroll_production(total: DataFrame, roster: DataFrame, periods: DataFrame) -> DataFrame:
     """Production of everyone on the roster in each of ``periods``; the idle get zero.
 

@@ -11,8 +11,8 @@ from quinhao.operators.deeds import deed_acts, stage_pairs
 from quinhao.operators.fees import fee_acts
 from quinhao.operators.lookup import keep_known
 from quinhao.operators.pool import (
+    boosted_total,
     pool_allocation,
-    production_total,
     sector_production,
     sector_totals,
     top_boost,
@@ -79,8 +79,10 @@ def allocation(t: Tables, rules: DataFrame, period: int | None = None) -> DataFr
 
 
 def boosted_production(t: Tables, rules: DataFrame, period: int | None = None) -> DataFrame:
+    """Boosted production per (period, sector, producer)."""
     return top_boost(sector_production(allocation(t, rules, period)), rules)
 
 
 def total_production(t: Tables, rules: DataFrame, period: int | None = None) -> DataFrame:
-    return production_total(boosted_production(t, rules, period))
+    """Boosted production per (period, producer)."""
+    return boosted_total(allocation(t, rules, period), rules)

@@ -1,6 +1,7 @@
 """Every registered query against its SQL, on whole tables."""
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 
-SF_DIR = Path("/root/testdata/sf0.01")
+SF_DIR = Path(os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01"))
 QUERIES = entry_module.queries()
 ORACLE = entry_module.oracle_sql()
 

@@ -150,6 +150,20 @@ def test_pool_without_acts_pays_nothing(spark):
     assert [r.production for r in pool.sector_production(allocation).collect()] == [0.0]
 
 
+def test_one_step_total_is_the_three_operators(spark, loaded):
+    """To the last bit, also with ties, lost stages, refunds and users of unknown id."""
+    rules = R.sector_rules(spark)
+    extra = spark.sql(
+        "SELECT * FROM VALUES (1, 'esc', 'lav', 7L, NULL), (1, 'esc', 'conf', 8L, -3.0D),"
+        " (1, 'apo', 'fee', 8L, 5.0D), (2, 'aut', 'fee', 7L, 2.0D), (2, 'aut', 'fee', 8L, 2.0D),"
+        " (2, 'dec', 'lav', NULL, 0.7D), (3, 'inv', 'lav', 7L, 0.1D), (3, 'inv', 'conf', 7L, 0.2D)"
+        " AS t(period, sector, stage, id_usuario, production)"
+    )
+    allocation = P.allocation(loaded[0], rules).select(extra.columns).union(extra)
+    chain = pool.top_boost(pool.sector_production(allocation), rules)
+    assert collect(pool.boosted_total(allocation, rules)) == collect(pool.production_total(chain))
+
+
 def test_everyone_on_the_roster_has_one_row_per_month(spark, loaded):
     t, entered = loaded
     rows = payroll(t, entered, values={"adm": 1.0})
