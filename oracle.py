@@ -252,6 +252,10 @@ PAY = ["salario_base", "produtividade", "adicional_escrevente", *BONUS_COLUMNS,
        "salario"]
 PAY_SELECT = "SELECT period, id_usuario, nome_funcionario, " + ", ".join(_at(c, 4) for c in PAY)
 
+ACTS_SELECT = (
+    "SELECT period, sector, stage, id_usuario, acts, CAST(fees AS DOUBLE) AS fees"
+)
+
 ORACLE_TABLES = [
     "funcionarios", "usuario", "recibo", "item_recibo", "movimento_caixa",
     "item_movimento_caixa", "recepcao_titulo", "transacao_ato", "grupo_ato",
@@ -321,31 +325,32 @@ def oracle_sql() -> dict[str, str]:
         "signer_allowance": _with(BINDINGS, ROSTER)
         + f"""SELECT id_usuario, nome_funcionario, CAST(CASE assina WHEN 1
         THEN {R.SIGNER_ALLOWANCE!r} ELSE 0 END AS DOUBLE) AS adicional_escrevente FROM roster""",
-        "admin_pool": _with(BINDINGS, ROSTER, ADMIN) + "SELECT fees FROM admin_pool",
+        "admin_pool": _with(BINDINGS, ROSTER, ADMIN) + "SELECT CAST(fees AS DOUBLE) AS fees FROM admin_pool",
         "admin_share": _with(BINDINGS, ROSTER, ADMIN)
-        + f"SELECT fees, selected, {_at('value', 4)} FROM admin_share",
+        + "SELECT CAST(fees AS DOUBLE) AS fees, selected, "
+        + f"{_at('value', 4)} FROM admin_share",
         "movement_enriched": base
         + f"""SELECT {_period("m.data")} AS period, m.id_recepcao, t.id_usuario, i.id_transacao,
         g.codigo, CAST(SUM(i.qtde_ato) AS BIGINT) AS acts,
-        CAST(SUM(i.taxa_1) AS DECIMAL(28,2)) AS fees, COUNT(*) AS items
+        CAST(SUM(i.taxa_1) AS DOUBLE) AS fees, COUNT(*) AS items
         FROM movimento_caixa m JOIN item_movimento_caixa i USING (id_mov_caixa)
         JOIN recepcao_titulo t ON t.id_recepcao = m.id_recepcao
         LEFT JOIN transacao_ato a ON a.id_transacao = i.id_transacao
         LEFT JOIN grupo_ato g ON g.codigo = a.esat_grat_codigo GROUP BY ALL""",
-        "fee_acts": _with(BINDINGS, FEE_ACTS) + "SELECT * FROM fee_acts",
+        "fee_acts": _with(BINDINGS, FEE_ACTS) + ACTS_SELECT + " FROM fee_acts",
         "stage_pairs": base
-        + f"""SELECT period, stage, id_recepcao, pairs, CASE WHEN pairs = 1 THEN u END
+        + f"""SELECT period, stage, id_recepcao, CAST(pairs AS DOUBLE) AS pairs, CASE WHEN pairs = 1 THEN u END
         AS id_usuario, CASE WHEN pairs = 1 THEN a END AS ato FROM ({pair_counts})""",
         "ambiguous_receptions": base
-        + f"SELECT period, stage, id_recepcao, pairs AS quantidade FROM ({pair_counts})"
+        + f"SELECT period, stage, id_recepcao, CAST(pairs AS DOUBLE) AS quantidade FROM ({pair_counts})"
         " WHERE pairs > 1",
         "ambiguous_list": base
         + f"""SELECT period, stage, id_recepcao // 1000 AS block,
         COALESCE(STRING_AGG(CASE WHEN pairs > 1 THEN CAST(id_recepcao AS VARCHAR) END, ','
           ORDER BY id_recepcao), '0') AS receptions FROM ({pair_counts}) GROUP BY ALL""",
-        "deed_acts": _with(BINDINGS, DEED_ACTS) + "SELECT * FROM deed_acts",
+        "deed_acts": _with(BINDINGS, DEED_ACTS) + ACTS_SELECT + " FROM deed_acts",
         "sector_totals": _with(BINDINGS, FEE_ACTS, DEED_ACTS, TOTALS)
-        + f"SELECT period, sector, stage, fees, total_acts, {_at('CAST(net AS DOUBLE)', 4, 'net')}"
+        + f"SELECT period, sector, stage, CAST(fees AS DOUBLE) AS fees, total_acts, {_at('CAST(net AS DOUBLE)', 4, 'net')}"
         " FROM sector_totals",
         "pool_allocation": _with(*PRODUCTION_PARTS)
         + f"SELECT period, sector, stage, id_usuario, acts, {_at('production', 4)} FROM allocation",

@@ -15,8 +15,9 @@ HOT_KEYS = 1000
 def fits_broadcast(lookup: DataFrame, source: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``lookup`` has at most ``rows`` rows.
 
-    ``source`` is a table of at least as many rows. It is counted first, since a stored table
-    knows its count without being read; the lookup itself is counted only if that is too many.
+    ``source`` is the table each of whose rows is in the lookup once or not at all. It is counted
+    first, since a stored table knows its count without being read; the lookup itself is counted
+    only if that is too many.
     """
     return source.count() <= rows or lookup.count() <= rows
 
