@@ -265,7 +265,6 @@ ORACLE_TABLES = [
 
 def oracle_sql() -> dict[str, str]:
     base = _with(BINDINGS)
-    month = f"{_period('data')} = {MONTH}"
     violations = [
         ("sector_rules", "sector || '/' || stage", "margin"),
         ("bonus_rates", "category", "value"),
@@ -314,7 +313,8 @@ def oracle_sql() -> dict[str, str]:
         FROM movimento_caixa WHERE EXTRACT(YEAR FROM data) = {MONTH // 100}
         AND EXTRACT(MONTH FROM data) = {MONTH % 100}""",
         "period_label": base
-        + f"""SELECT {_period("data")} AS period, CASE EXTRACT(MONTH FROM data) {names} END AS label,
+        + f"""SELECT {_period("data")} AS period,
+        CASE EXTRACT(MONTH FROM data) {names} END AS label,
         COUNT(*) AS movements FROM movimento_caixa GROUP BY ALL""",
         "sector_rules": _with(BINDINGS, RULES)
         + f"""SELECT r.sector, r.stage, r.margin, r.boosted, COUNT(DISTINCT c.code) AS codes,
@@ -325,7 +325,8 @@ def oracle_sql() -> dict[str, str]:
         "signer_allowance": _with(BINDINGS, ROSTER)
         + f"""SELECT id_usuario, nome_funcionario, CAST(CASE assina WHEN 1
         THEN {R.SIGNER_ALLOWANCE!r} ELSE 0 END AS DOUBLE) AS adicional_escrevente FROM roster""",
-        "admin_pool": _with(BINDINGS, ROSTER, ADMIN) + "SELECT CAST(fees AS DOUBLE) AS fees FROM admin_pool",
+        "admin_pool": _with(BINDINGS, ROSTER, ADMIN)
+        + "SELECT CAST(fees AS DOUBLE) AS fees FROM admin_pool",
         "admin_share": _with(BINDINGS, ROSTER, ADMIN)
         + "SELECT CAST(fees AS DOUBLE) AS fees, selected, "
         + f"{_at('value', 4)} FROM admin_share",
@@ -339,19 +340,20 @@ def oracle_sql() -> dict[str, str]:
         LEFT JOIN grupo_ato g ON g.codigo = a.esat_grat_codigo GROUP BY ALL""",
         "fee_acts": _with(BINDINGS, FEE_ACTS) + ACTS_SELECT + " FROM fee_acts",
         "stage_pairs": base
-        + f"""SELECT period, stage, id_recepcao, CAST(pairs AS DOUBLE) AS pairs, CASE WHEN pairs = 1 THEN u END
+        + f"""SELECT period, stage, id_recepcao, CAST(pairs AS DOUBLE) AS pairs,
+        CASE WHEN pairs = 1 THEN u END
         AS id_usuario, CASE WHEN pairs = 1 THEN a END AS ato FROM ({pair_counts})""",
         "ambiguous_receptions": base
-        + f"SELECT period, stage, id_recepcao, CAST(pairs AS DOUBLE) AS quantidade FROM ({pair_counts})"
-        " WHERE pairs > 1",
+        + "SELECT period, stage, id_recepcao, CAST(pairs AS DOUBLE) AS quantidade"
+        f" FROM ({pair_counts}) WHERE pairs > 1",
         "ambiguous_list": base
         + f"""SELECT period, stage, id_recepcao // 1000 AS block,
         COALESCE(STRING_AGG(CASE WHEN pairs > 1 THEN CAST(id_recepcao AS VARCHAR) END, ','
           ORDER BY id_recepcao), '0') AS receptions FROM ({pair_counts}) GROUP BY ALL""",
         "deed_acts": _with(BINDINGS, DEED_ACTS) + ACTS_SELECT + " FROM deed_acts",
         "sector_totals": _with(BINDINGS, FEE_ACTS, DEED_ACTS, TOTALS)
-        + f"SELECT period, sector, stage, CAST(fees AS DOUBLE) AS fees, total_acts, {_at('CAST(net AS DOUBLE)', 4, 'net')}"
-        " FROM sector_totals",
+        + "SELECT period, sector, stage, CAST(fees AS DOUBLE) AS fees, total_acts,"
+        f" {_at('CAST(net AS DOUBLE)', 4, 'net')} FROM sector_totals",
         "pool_allocation": _with(*PRODUCTION_PARTS)
         + f"SELECT period, sector, stage, id_usuario, acts, {_at('production', 4)} FROM allocation",
         "sector_production": _with(*PRODUCTION_PARTS)
@@ -374,7 +376,9 @@ def oracle_sql() -> dict[str, str]:
         " FROM payroll",
         "input_violations": _with(BINDINGS, RULES, ROSTER, ADMIN, BONUS)
         + " UNION ALL ".join(violation(*v) for v in violations),
-        "payroll_month": _with(*PAYROLL_PARTS) + PAY_SELECT + f" FROM payroll WHERE period = {MONTH}",
+        "payroll_month": _with(*PAYROLL_PARTS)
+        + PAY_SELECT
+        + f" FROM payroll WHERE period = {MONTH}",
         "payroll_all": _with(*PAYROLL_PARTS) + PAY_SELECT + " FROM payroll",
         "payroll_export": _with(*PAYROLL_PARTS)
         + "SELECT period, id_usuario, nome_funcionario, "

@@ -24,7 +24,7 @@ def admin_pool(
     archived = recibo.where(
         (F.col("arquivado") == "True") & in_month_of(F.col("data_arquivado"), as_of)
     ).select("id_recibo")
-    items = keep_known(item_recibo, archived, "id_recibo")
+    (items,) = keep_known(archived, "id_recibo", item_recibo)
     per_receipt = items.groupBy("id_recibo").agg(money_sum("taxa_1").alias("fees"))
     return per_receipt.join(archived, "id_recibo").agg(money_sum("fees").alias("fees"))
 

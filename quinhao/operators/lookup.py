@@ -59,13 +59,14 @@ def _most_frequent(facts: DataFrame, key: str, limit: int) -> list:
 
 
 def keep_known(
-    facts: DataFrame, keys: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Drop facts whose ``key`` is not among ``keys``, if these are few enough to broadcast.
+    keys: DataFrame, key: str, *facts: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+) -> list[DataFrame]:
+    """Drop ``facts`` whose ``key`` is not among ``keys``, if these are few enough to broadcast.
 
     Only worth it ahead of an inner join with ``keys``: for one month's run it leaves little to
     sum and shuffle. Too many keys are left to that join.
     """
     if keys.count() > broadcast_rows:
-        return facts
-    return facts.join(F.broadcast(keys.select(key)), key, "left_semi")
+        return list(facts)
+    known = F.broadcast(keys.select(key))
+    return [df.join(known, key, "left_semi") for df in facts]

@@ -39,7 +39,7 @@ def all_fee_acts(t: Tables, period: int | None = None) -> DataFrame:
     item = t.item_movimento_caixa
     if period is not None:
         month = t.movimento_caixa.where(in_period(F.col("data"), period))
-        item = keep_known(item, month, "id_mov_caixa")
+        (item,) = keep_known(month, "id_mov_caixa", item)
     return fee_acts(
         t.movimento_caixa,
         item,
@@ -56,9 +56,8 @@ def all_deed_acts(t: Tables, period: int | None = None) -> DataFrame:
     anotacoes, livros = t.recepcao_anotacoes, t.livros_notas
     if period is not None:
         livros = livros.where(in_period(F.col("data_reg"), period))
-        anotacoes = keep_known(anotacoes, livros, "id_recepcao")
-        movimento = keep_known(movimento, livros, "id_recepcao")
-        item = keep_known(item, movimento, "id_mov_caixa")
+        anotacoes, movimento = keep_known(livros, "id_recepcao", anotacoes, movimento)
+        (item,) = keep_known(movimento, "id_mov_caixa", item)
     pairs = stage_pairs(anotacoes, livros, period)
     return deed_acts(movimento, item, pairs, R.sector_acts(item.sparkSession))
 

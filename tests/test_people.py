@@ -91,7 +91,9 @@ def test_bonus_wide(spark, roster):
 
 
 def test_adjustments_have_defaults(spark):
-    paid = spark.createDataFrame([(10, 100.0), (20, 100.0)], "id_usuario bigint, produtividade double")
+    paid = spark.createDataFrame(
+        [(10, 100.0), (20, 100.0)], "id_usuario bigint, produtividade double"
+    )
     entered = inputs(spark, adjustments=[(10, 5.0, 12.5)])
     got = collect(adjustments_apply(paid, entered.adjustments))
     assert got == [(10, pytest.approx(105.0), 12.5), (20, pytest.approx(101.0), 0.0)]
