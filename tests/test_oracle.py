@@ -10,8 +10,13 @@ import pytest
 import __spark_entry__ as entry_module
 
 SF_DIR = Path(os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01"))
-QUERIES = entry_module.queries()
 ORACLE = entry_module.oracle_sql()
+# the queries of the optional subpackage have tests of their own
+QUERIES = {
+    name: query
+    for name, query in entry_module.queries().items()
+    if name != "pipeline" and not name.startswith("op")
+}
 
 pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="no test tables")
 
@@ -36,7 +41,7 @@ def rows_of(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
