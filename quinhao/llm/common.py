@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +15,27 @@ from pyspark.sql import types as T
 
 from quinhao.session import materialize
 
-__all__ = ["by_batch", "documents", "materialize", "mix", "partitions_for", "table", "utf8_rows"]
+__all__ = ["by_batch", "documents", "materialize", "mix", "ship", "table", "utf8_rows"]
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, as they may not have it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="quinhao-")) / "quinhao.zip"  # Spark copies it
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, str(file.relative_to(root.parent)))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -77,7 +97,3 @@ def mix(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(31)
     return h
 
-
-def partitions_for(rows: int, per_partition: int, spark: SparkSession) -> int:
-    """Partitions so that each holds about ``per_partition`` rows, at least the session's own."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
