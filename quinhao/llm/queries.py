@@ -7,11 +7,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quinhao.llm import bpe, prefix_counts
-from quinhao.llm.common import documents
+from quinhao.llm import (
+    bpe,
+    decontaminate,
+    kd_shards,
+    language_id,
+    parity_join,
+    prefix_counts,
+    quality,
+    sentence_spans,
+    suffix_dedup,
+    url_filter,
+)
+from quinhao.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+URL_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+
 
 def vocabulary(name: str) -> str:
     """Place of a public tokenizer's file: ``QUINHAO_TOKENIZERS`` names another folder."""
@@ -27,6 +46,30 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(documents(spark, sf_dir), length=400)
+
+
+def url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(
+        documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    )
+
+
+def kd_shards_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shards_by_bytes(documents(spark, sf_dir), shards=24)
+
+
+def sentence_spans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.without_repeats(documents(spark, sf_dir), counts=True).select(
+        "doc_id", "text", "n_sentences", "n_removed"
+    )
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(
         documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), limit=4096
@@ -39,12 +82,37 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
+
+
+def parity_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_suffix_dedup": suffix_dedup_query,
+        "op2_url_filter": url_filter_query,
+        "op3_decontamination": contamination,
+        "op4_kd_shards": kd_shards_query,
+        "op5_sentence_spans": sentence_spans_query,
         "op6_token_counts": token_counts,
         "op7_byte_bpe": byte_bpe,
+        "op8_language_id": language_id_query,
+        "op9_quality_rules": quality_query,
+        "op10_parity_join": parity_join_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """None: SQL expresses none of these methods; tests/llm holds them against brute force."""
     return {}
