@@ -14,7 +14,8 @@ are worked out once and remembered, and a document's counts are running sums of
 from __future__ import annotations
 
 import re
-from itertools import accumulate
+from functools import lru_cache
+from itertools import accumulate, groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from quinhao.llm.common import by_batch
 
 MARK = "▁"  # stands for a blank in pieces
-MEMO_WORDS = 400_000  # words remembered by a task; beyond that it starts anew
+MEMO_WORDS = 1_000_000  # words remembered by a worker; beyond that it starts anew
 MEMO_CHARS = 48  # longer words are not remembered
 
 
@@ -35,6 +36,7 @@ class PrefixCounter:
     """
 
     def __init__(self, model_file: str, memo_words: int = MEMO_WORDS) -> None:
+        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -43,13 +45,23 @@ class PrefixCounter:
             for i in range(model.get_piece_size())
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))
         ]
-        self.score = {model.id_to_piece(i): model.get_score(i) for i in ids}
-        self.longest = max(map(len, self.score))
+        self.pieces = [model.id_to_piece(i) for i in ids]
+        self.score = {p: model.get_score(i) for p, i in zip(self.pieces, ids)}
+        # finds the pieces that end at each place of a word
+        self.ends = ahocorasick.Automaton()
+        for k, piece in enumerate(self.pieces):
+            self.ends.add_word(piece, (len(piece), k))
+        self.ends.make_automaton()
+        self.chars = frozenset(p for p in self.pieces if len(p) == 1)
+        if any(not self.chars.issuperset(p) for p in self.pieces):
+            raise ValueError("a piece holds a character that is no piece")
         crossing = re.compile(f"[^{MARK}]{MARK}")
         parted = not any(map(crossing.search, self.score))
-        # the second alternative is a text's trailing marks
-        self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if parted else "(?s).+").findall
-        self._follows: dict[tuple[str, str], bool] = {}
+        # a line's end is never part of a piece here; the last alternative is trailing marks
+        line = "" if "\n" in self.chars else "\n"
+        words = f"{MARK}*[^{MARK}{line}]+|{MARK}+" + (f"|{line}" if line else "")
+        self.words = re.compile(words if parted else "(?s).+").findall
+        self._follows: dict[int, bool] = {}
         self._memo = _Totals(self.inner, memo_words)
 
     def _merged(self, text: str) -> list[str]:
@@ -65,30 +77,45 @@ class PrefixCounter:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _may_follow(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        known = self._follows.get(key)
-        if known is None:
-            if len(self._follows) > 1_000_000:
-                self._follows.clear()
-            wanted = [before, piece] if before else [piece]
-            known = self._follows[key] = self._merged(before + piece) == wanted
+    def _may_follow(self, before: int, piece: int) -> bool:
+        """Whether piece number ``piece`` may stand after ``before``, or first if that is -1."""
+        parts = [self.pieces[k] for k in (before, piece) if k >= 0]
+        if len(self._follows) > 1_000_000:
+            self._follows.clear()
+        known = self._merged("".join(parts)) == parts
+        self._follows[before << 20 | piece] = known
         return known
 
     def inner(self, word: str) -> list[int]:
         """Counts of the prefixes of one word, from the empty one to the whole."""
-        score, follows, longest = self.score, self._may_follow, self.longest
-        counts, last = [0], [""]
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = word[start:end]
-                known = piece in score
-                if (known or end - start == 1) and follows(last[start], piece):
-                    counts.append(counts[start] + (1 if known else len(piece.encode())))
-                    last.append(piece)
-                    break
-            else:
-                raise AssertionError(f"no piece ends at {end} of {word!r}")
+        if self.chars.issuperset(word):
+            return self._inner(word)
+        counts = [0]
+        for known, run in groupby(word, self.chars.__contains__):
+            # no piece holds an unknown character, so nothing merges across it
+            part = "".join(run)
+            more = self._inner(part) if known else accumulate(map(_width, part), initial=0)
+            more = list(more)
+            base = counts[-1]
+            counts += [base + n for n in more[1:]]
+        return counts
+
+    def _inner(self, word: str) -> list[int]:
+        follows = self._follows
+        counts: list = [0] + [None] * len(word)
+        last = [-1] * (len(word) + 1)
+        for at, (size, piece) in self.ends.iter(word):
+            end = at + 1
+            if counts[end] is not None:
+                continue
+            start = end - size
+            key = last[start] << 20 | piece
+            known = follows.get(key)
+            if known is None:
+                known = self._may_follow(last[start], piece)
+            if known:
+                counts[end] = counts[start] + 1
+                last[end] = piece
         return counts
 
     def _split(self, text: str) -> list[str]:
@@ -127,6 +154,16 @@ class PrefixCounter:
         return 0
 
 
+def _width(char: str) -> int:
+    return len(char.encode())
+
+
+@lru_cache(maxsize=2)
+def counter_for(model_file: str) -> PrefixCounter:
+    """One for all tasks of a worker, as what it remembers serves them all."""
+    return PrefixCounter(model_file)
+
+
 class _Totals(dict):
     """Whole-word counts, worked out on first use."""
 
@@ -152,7 +189,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
     """
 
     def build():
-        counter = PrefixCounter(model_file)
+        counter = counter_for(model_file)
 
         def apply(ids, texts):
             texts = [t or "" for t in texts]
