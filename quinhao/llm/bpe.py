@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Mapping
+from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quinhao.llm.common import by_batch
 
-MEMO_TOKENS = 500_000  # pre-tokens remembered by a task; beyond that it starts anew
+MEMO_TOKENS = 1_000_000  # pre-tokens remembered by a worker; beyond that it starts anew
 MEMO_CHARS = 48
 
 
@@ -154,6 +155,12 @@ class Codec:
         return b"".join(map(self._bytes.__getitem__, tokens))
 
 
+@lru_cache(maxsize=2)
+def codec_for(ranks_file: str, pattern: str) -> Codec:
+    """One for all tasks of a worker, as what it remembers serves them all."""
+    return Codec(ranks_file, pattern)
+
+
 def encode_decode(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every row's whole text.
 
@@ -162,7 +169,7 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     """
 
     def build():
-        codec = Codec(ranks_file, pattern)
+        codec = codec_for(ranks_file, pattern)
 
         def apply(doc_ids, texts):
             ids = [codec.encode(t) if t else b"" for t in texts]
@@ -184,7 +191,7 @@ def round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     """
 
     def build():
-        codec = Codec(ranks_file, pattern)
+        codec = codec_for(ranks_file, pattern)
 
         def apply(doc_ids, texts):
             counts, of_ids, of_bytes = [], [], []
