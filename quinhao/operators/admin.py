@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quinhao.functions.money import money_sum, net
 from quinhao.functions.periods import in_month_of
-from quinhao.operators.lookup import keep_known
+from quinhao.operators.lookup import within_bounds
 from quinhao.rules import ADMIN_SHARE
 
 
@@ -18,13 +18,13 @@ def admin_pool(
 ) -> DataFrame:
     """One row: fees of receipts archived in the month of ``as_of`` (default: this month).
 
-    If the month's receipts are few, the items of others are dropped first. Items are summed per
-    receipt before they move, so a huge receipt is one row in the join.
+    Items outside the range of the month's receipts are not read. Items are summed per receipt
+    before they move, so a huge receipt is one row in the join.
     """
     archived = recibo.where(
         (F.col("arquivado") == "True") & in_month_of(F.col("data_arquivado"), as_of)
     ).select("id_recibo")
-    (items,) = keep_known(archived, "id_recibo", item_recibo)
+    items = within_bounds(item_recibo, archived, "id_recibo")
     per_receipt = items.groupBy("id_recibo").agg(money_sum("taxa_1").alias("fees"))
     return per_receipt.join(archived, "id_recibo").agg(money_sum("fees").alias("fees"))
 

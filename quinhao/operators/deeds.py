@@ -117,28 +117,43 @@ def proved_acts(pairs: DataFrame, sector_acts: DataFrame) -> DataFrame:
 def fees_by_reception(movimento: DataFrame, item: DataFrame) -> DataFrame:
     """Fees of all settled movements of a reception; receptions without one are left out."""
     per_movement = item.groupBy("id_mov_caixa").agg(money_sum("taxa_1").alias("fees"))
-    settled = movimento.where(F.col("situacao_pgto") == "Liquidado").select(
-        "id_mov_caixa", "id_recepcao"
-    )
     return (
-        per_movement.join(settled, "id_mov_caixa")
+        per_movement.join(settled_movements(movimento), "id_mov_caixa")
         .groupBy("id_recepcao")
         .agg(money_sum("fees").alias("fees"))
     )
 
 
+def settled_movements(movimento: DataFrame) -> DataFrame:
+    return movimento.where(F.col("situacao_pgto") == "Liquidado").select(
+        "id_mov_caixa", "id_recepcao"
+    )
+
+
 def deed_acts(
-    movimento: DataFrame, item: DataFrame, pairs: DataFrame, sector_acts: DataFrame
+    movimento: DataFrame,
+    item: DataFrame,
+    pairs: DataFrame,
+    sector_acts: DataFrame,
 ) -> DataFrame:
     """Acts and fees per (period, sector, stage, annotating user).
 
     An act is a reception; ambiguous receptions do not count for anyone. A reception left in
-    ``pairs`` has one pair, so counting rows counts distinct receptions.
+    ``pairs`` has one pair, so counting rows counts distinct receptions. Movements are cut to the
+    receptions that some act was proved on before their items are joined.
     """
     proved = proved_acts(pairs, sector_acts)
+    counted = settled_movements(movimento).join(
+        proved.select("id_recepcao").distinct(), "id_recepcao", "left_semi"
+    )
+    per_movement = item.groupBy("id_mov_caixa").agg(money_sum("taxa_1").alias("fees"))
+    per_reception = (
+        per_movement.join(counted, "id_mov_caixa")
+        .groupBy("id_recepcao")
+        .agg(money_sum("fees").alias("fees"))
+    )
     return (
-        fees_by_reception(movimento, item)
-        .join(proved, "id_recepcao")
+        per_reception.join(proved, "id_recepcao")
         .groupBy("period", "sector", "stage", "id_usuario")
         .agg(
             F.count(F.lit(1)).cast("double").alias("acts"),

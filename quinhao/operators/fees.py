@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quinhao.functions.money import MONEY, money_sum
 from quinhao.functions.periods import in_period, period_of
-from quinhao.operators.lookup import BROADCAST_ROWS, fits_broadcast, lookup_join
+from quinhao.operators.lookup import engine_broadcasts, lookup_join
 from quinhao.rules import FEE_STAGE
 
 
@@ -15,11 +15,13 @@ def transaction_sectors(
     transacao: DataFrame, grupo: DataFrame, sector_groups: DataFrame
 ) -> DataFrame:
     """(id_transacao, sector) of the transactions whose fee group is known and in a sector."""
-    groups = grupo.join(F.broadcast(sector_groups), "codigo").distinct()
+    groups = grupo.join(F.broadcast(sector_groups), "codigo").select("codigo").distinct()
     # distinct and among the rules' own codes, so a short list however large the tables
-    return transacao.join(
-        F.broadcast(groups), F.col("esat_grat_codigo") == F.col("codigo")
-    ).select("id_transacao", "sector")
+    code = F.col("esat_grat_codigo")
+    pairs = [F.lit(x) for r in sector_groups.collect() for x in (r.codigo, r.sector)]
+    return transacao.join(F.broadcast(groups), code == F.col("codigo"), "left_semi").select(
+        "id_transacao", F.element_at(F.create_map(*pairs), code).alias("sector")
+    )
 
 
 def fee_acts(
@@ -30,7 +32,6 @@ def fee_acts(
     grupo: DataFrame,
     sector_groups: DataFrame,
     period: int | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Acts and fees per (period, sector, receiving user), for one period or all.
 
@@ -40,11 +41,14 @@ def fee_acts(
     the movements reuse the partitioning of their sums.
     """
     sectors = transaction_sectors(transacao, grupo, sector_groups)
-    small = fits_broadcast(sectors, transacao, broadcast_rows)
     names = sorted({row.sector for row in sector_groups.select("sector").collect()})
     items = item.select("id_mov_caixa", "id_transacao", "qtde_ato", "taxa_1")
+    if not engine_broadcasts(sectors):  # the items move, so equal ones are added up first
+        items = _lines(items)
+    else:
+        items = items.withColumns({"items": F.lit(1)})
     per_movement = (
-        lookup_join(items, sectors, "id_transacao", "inner", small)
+        lookup_join(items, sectors, "id_transacao", "inner", by=["id_mov_caixa"])
         .groupBy("id_mov_caixa")
         .agg(*[c for i, name in enumerate(names) for c in _sums_of(i, F.col("sector") == name)])
     )
@@ -80,12 +84,21 @@ def fee_acts(
     )
 
 
+def _lines(item: DataFrame) -> DataFrame:
+    """Items added up per movement and transaction."""
+    return item.groupBy("id_mov_caixa", "id_transacao").agg(
+        F.sum("qtde_ato").alias("qtde_ato"),
+        money_sum("taxa_1").alias("taxa_1"),
+        F.count(F.lit(1)).alias("items"),
+    )
+
+
 def _sums_of(i: int, member: Column) -> list[Column]:
     """Acts, fees and number of the items of sector number ``i``."""
     return [
         F.sum(F.when(member, F.col("qtde_ato"))).alias(f"acts_{i}"),
         F.sum(F.when(member, F.col("taxa_1"))).cast(MONEY).alias(f"fees_{i}"),
-        F.count_if(member).alias(f"items_{i}"),
+        F.sum(F.when(member, F.col("items"))).alias(f"items_{i}"),
     ]
 
 
@@ -104,39 +117,37 @@ def movement_enriched(
     transacao: DataFrame,
     grupo: DataFrame,
     period: int | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Fees per (period, reception, user, transaction), with the fee group where there is one.
 
-    Items of a transaction without a group, or of none, stay with a null ``codigo``.
+    Items of a transaction without a group, or of none, stay with a null ``codigo``. A movement
+    or reception may have very many transactions, so both joins spread hot keys.
     """
-    codes = grupo.distinct().select(F.col("codigo").alias("esat_grat_codigo"), "codigo")
-    groups = lookup_join(
-        transacao.select("id_transacao", "esat_grat_codigo"),
-        codes,
-        "esat_grat_codigo",
-        "left",
-        fits_broadcast(codes, grupo, broadcast_rows),
-    ).select("id_transacao", "codigo")
-    lines = item.groupBy("id_mov_caixa", "id_transacao").agg(
-        F.sum("qtde_ato").alias("acts"),
-        money_sum("taxa_1").alias("fees"),
-        F.count(F.lit(1)).alias("items"),
-    )
+    known = transacao.join(
+        grupo.select(F.col("codigo").alias("esat_grat_codigo")), "esat_grat_codigo", "left_semi"
+    ).select("id_transacao", F.col("esat_grat_codigo").alias("codigo"))
+    lines = _lines(item.select("id_mov_caixa", "id_transacao", "qtde_ato", "taxa_1"))
     dated = movimento.where(in_period(F.col("data"), period)).select(
         "id_mov_caixa", "id_recepcao", period_of(F.col("data")).alias("period")
     )
     per_reception = (
-        lines.join(dated, "id_mov_caixa")
+        lookup_join(lines, dated, "id_mov_caixa", "inner", by=["id_transacao"])
         .groupBy("id_recepcao", "period", "id_transacao")
         .agg(
-            F.sum("acts").alias("acts"),
-            money_sum("fees").alias("fees"),
+            F.sum("qtde_ato").alias("acts"),
+            money_sum("taxa_1").alias("fees"),
             F.sum("items").alias("items"),
         )
     )
-    received = per_reception.join(recepcao.select("id_recepcao", "id_usuario"), "id_recepcao")
-    small = fits_broadcast(groups, transacao, broadcast_rows)
-    return lookup_join(received, groups, "id_transacao", "left", small).select(
+    received = lookup_join(
+        per_reception,
+        recepcao.select("id_recepcao", "id_usuario"),
+        "id_recepcao",
+        "inner",
+        by=["id_transacao", "period"],
+    )
+    return lookup_join(
+        received, known, "id_transacao", "left", by=["id_recepcao", "period"]
+    ).select(
         "period", "id_recepcao", "id_usuario", "id_transacao", "codigo", "acts", "fees", "items"
     )

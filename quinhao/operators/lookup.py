@@ -1,72 +1,82 @@
-"""Joining facts with a lookup table of unknown size and possibly hot keys."""
+"""Joins of facts whose keys may be hot, planned without looking at any data."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup of a few narrow columns with this many rows stays below about 100 MB when hashed.
-BROADCAST_ROWS = 500_000
-# How many of the most frequent keys are spread out when the lookup is too large to broadcast.
-# Any other key holds less than one part in this many of the facts.
-HOT_KEYS = 1000
-
+# A key counts as hot if it holds this share of what a task gets on average; so there are at
+# most this many hot keys for each task.
+HOT_PER_TASK = 4
 
-def fits_broadcast(lookup: DataFrame, source: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``lookup`` has at most ``rows`` rows.
 
-    ``source`` is the table each of whose rows is in the lookup once or not at all. It is counted
-    first, since a stored table knows its count without being read; the lookup itself is counted
-    only if that is too many.
-    """
-    return source.count() <= rows or lookup.count() <= rows
+def engine_broadcasts(df: DataFrame) -> bool:
+    """Whether the engine's own size estimate lets it broadcast ``df``; starts no job."""
+    spark = df.sparkSession
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if limit.startswith("-"):  # switched off
+        return False
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= most
 
 
 def lookup_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    how: str,
-    small: bool,
-    hot_keys: int = HOT_KEYS,
+    facts: DataFrame, lookup: DataFrame, key: str, how: str, by: Sequence[str]
 ) -> DataFrame:
-    """Join ``facts`` with the narrow ``lookup`` on ``key``, by "inner" or "left" join.
+    """Join ``facts`` with ``lookup`` on ``key``, by "inner" or "left" join.
 
-    A small lookup is broadcast, so the facts do not move. Otherwise both sides are shuffled.
-    The most frequent keys are counted first; the facts of each are spread over all tasks by a
-    hash of their other columns, and only their lookup rows are repeated. Facts without a key
-    are spread too.
+    A lookup that the engine can broadcast leaves the facts where they are; any other goes
+    through ``spread_join``.
     """
-    if small:
-        return facts.join(F.broadcast(lookup), key, how)
-    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = 4 * partitions  # several per task even out the tasks' loads
-    hot = _most_frequent(facts, key, hot_keys)
-    rest = [F.col(c) for c in facts.columns if c != key]
-    salt = F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int")
-    spread = F.col(key).isNull() | F.col(key).isin(hot)
-    salted = facts.withColumn("_salt", F.when(spread, salt).otherwise(0))
-    repeats = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1)))
-    repeated = lookup.withColumn("_salt", F.explode(F.coalesce(repeats, F.array(F.lit(0)))))
-    return salted.join(repeated.hint("shuffle_merge"), [key, "_salt"], how).drop("_salt")
+    if engine_broadcasts(lookup):
+        return facts.join(lookup, key, how)
+    return spread_join(facts, lookup, key, how, by)
 
 
-def _most_frequent(facts: DataFrame, key: str, limit: int) -> list:
-    """At most ``limit`` keys; each task counts its own before anything moves."""
-    counts = facts.where(F.col(key).isNotNull()).groupBy(key).count()
-    top = counts.orderBy(F.desc("count"), key).limit(limit)
-    return [row[0] for row in top.select(key).collect()]
+def spread_join(
+    facts: DataFrame, other: DataFrame, key: str, how: str, by: Sequence[str]
+) -> DataFrame:
+    """Shuffled join in which the facts of a hot key are spread over all tasks.
+
+    The columns ``by`` tell the facts of a key apart, so sum equal facts first. Only the few rows
+    of ``other`` that belong to hot keys are repeated. Facts without a key are spread too. Which
+    keys are hot is part of the plan: tasks count their own keys before anything moves, and at
+    most HOT_PER_TASK keys for each task can pass.
+    """
+    tasks = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = 4 * tasks  # several per task even out the tasks' loads
+    counts = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    whole = counts.agg(F.sum("_n")).scalar()
+    hot = F.broadcast(
+        counts.where(F.col("_n") * (HOT_PER_TASK * tasks) >= whole).select(
+            key, F.lit(True).alias("_hot")
+        )
+    )
+    salt = F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")
+    spread = F.col("_hot") | F.col(key).isNull()
+    salted = facts.join(hot, key, "left").withColumn("_salt", F.when(spread, salt).otherwise(0))
+    repeats = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
+    repeated = other.join(hot, key, "left").withColumn(
+        "_salt", F.explode(F.coalesce(repeats, F.array(F.lit(0))))
+    )
+    return (
+        salted.drop("_hot")
+        .join(repeated.drop("_hot").hint("shuffle_merge"), [key, "_salt"], how)
+        .drop("_salt")
+    )
 
 
-def keep_known(
-    keys: DataFrame, key: str, *facts: DataFrame, broadcast_rows: int = BROADCAST_ROWS
-) -> list[DataFrame]:
-    """Drop ``facts`` whose ``key`` is not among ``keys``, if these are few enough to broadcast.
+def within_bounds(facts: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Drop ``facts`` whose ``key`` is below the least or above the largest of ``keys``.
 
-    Only worth it ahead of an inner join with ``keys``: for one month's run it leaves little to
-    sum and shuffle. Too many keys are left to that join.
+    For one month's run, ahead of an inner join with ``keys``. The bounds are scalars that the
+    scan of the facts applies, so row groups of other months are skipped where keys grow with
+    time. The join still decides, so the facts kept need not all be known.
     """
-    if keys.count() > broadcast_rows:
-        return list(facts)
-    known = F.broadcast(keys.select(key))
-    return [df.join(known, key, "left_semi") for df in facts]
+    edges = keys.agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    column = F.col(key)
+    return facts.where(
+        (column >= edges.select("low").scalar()) & (column <= edges.select("high").scalar())
+    )

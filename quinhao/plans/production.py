@@ -9,7 +9,7 @@ from quinhao import rules as R
 from quinhao.functions.periods import in_period, period_of
 from quinhao.operators.deeds import deed_acts, stage_pairs
 from quinhao.operators.fees import fee_acts
-from quinhao.operators.lookup import keep_known
+from quinhao.operators.lookup import within_bounds
 from quinhao.operators.pool import (
     boosted_total,
     pool_allocation,
@@ -18,7 +18,6 @@ from quinhao.operators.pool import (
     top_boost,
 )
 from quinhao.schemas import Tables
-from quinhao.session import materialize
 
 
 def active_periods(t: Tables, period: int | None = None) -> DataFrame:
@@ -39,7 +38,7 @@ def all_fee_acts(t: Tables, period: int | None = None) -> DataFrame:
     item = t.item_movimento_caixa
     if period is not None:
         month = t.movimento_caixa.where(in_period(F.col("data"), period))
-        (item,) = keep_known(month, "id_mov_caixa", item)
+        item = within_bounds(item, month, "id_mov_caixa")
     return fee_acts(
         t.movimento_caixa,
         item,
@@ -56,10 +55,11 @@ def all_deed_acts(t: Tables, period: int | None = None) -> DataFrame:
     anotacoes, livros = t.recepcao_anotacoes, t.livros_notas
     if period is not None:
         livros = livros.where(in_period(F.col("data_reg"), period))
-        anotacoes, movimento = keep_known(livros, "id_recepcao", anotacoes, movimento)
-        (item,) = keep_known(movimento, "id_mov_caixa", item)
+        anotacoes = within_bounds(anotacoes, livros, "id_recepcao")
+        movimento = within_bounds(movimento, livros, "id_recepcao")
+        item = within_bounds(item, movimento, "id_mov_caixa")
     pairs = stage_pairs(anotacoes, livros, period)
-    return deed_acts(movimento, item, pairs, R.sector_acts(item.sparkSession))
+    return deed_acts(movimento, item, pairs, R.sector_acts(livros.sparkSession))
 
 
 def all_acts(t: Tables, period: int | None = None) -> DataFrame:
@@ -70,10 +70,10 @@ def all_acts(t: Tables, period: int | None = None) -> DataFrame:
 def allocation(t: Tables, rules: DataFrame, period: int | None = None) -> DataFrame:
     """Every producer's part of every pool.
 
-    The acts are the costly part and are read twice, for the totals and for the shares, so they
-    are stored once: one row per period, sector, stage and user.
+    The acts are the costly part and are read twice, for the totals and for the shares; both read
+    the same shuffled sums, so the engine makes these once. Nothing runs until the result is used.
     """
-    acts = materialize(all_acts(t, period), "acts")
+    acts = all_acts(t, period)
     return pool_allocation(acts, sector_totals(acts), rules)
 
 

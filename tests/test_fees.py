@@ -52,16 +52,23 @@ def operands(t):
     )
 
 
-def test_large_lookup_gives_the_same(spark):
+@pytest.fixture(params=["-1", "10485760b"])
+def broadcast_limit(spark, request):
+    """With and without lookups that the engine can broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_large_lookup_gives_the_same(spark, broadcast_limit):
     t = tables(spark, **DATA)
-    acts = fees.fee_acts(*operands(t), R.sector_groups(spark), broadcast_rows=0)
+    acts = fees.fee_acts(*operands(t), R.sector_groups(spark))
     assert collect(acts) == WANT
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
-def test_enriched_keeps_items_without_group(spark, broadcast_rows):
+def test_enriched_keeps_items_without_group(spark, broadcast_limit):
     t = tables(spark, **DATA)
-    rows = collect(fees.movement_enriched(*operands(t), broadcast_rows=broadcast_rows))
+    rows = collect(fees.movement_enriched(*operands(t)))
     assert rows == sorted(
         [
             (202103, 10, 7, 100, 3, 3, fee("15.10"), 2),

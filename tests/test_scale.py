@@ -1,6 +1,7 @@
 """Hot keys, invariants, and the shape of the plans."""
 
 import random
+import re
 from collections import Counter, defaultdict
 from decimal import Decimal
 
@@ -103,23 +104,82 @@ def test_month_run_against_brute_force(spark, period):
     assert sorted(got) == [r for r in brute_force(data) if r[0] == period]
 
 
-@pytest.mark.parametrize("hot_keys", [0, 2, 1000])
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_large_lookup_join_is_a_plain_join(spark, how, hot_keys):
+def test_spread_join_is_a_plain_join(spark, how):
     facts = spark.range(2000).select(
         F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 7 != 0, F.col("id") % 50).alias("k"),
         F.col("id").alias("v"),
     )
     names = spark.range(30).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
     names = names.union(names.where("k = 1"))  # a key may stand for several rows
-    got = lookup.lookup_join(facts, names, "k", how, small=False, hot_keys=hot_keys)
-    assert collect(got) == collect(facts.join(names, "k", how))
+    want = collect(facts.join(names, "k", how))
+    assert collect(lookup.spread_join(facts, names, "k", how, ["v"])) == want
+    assert collect(lookup.lookup_join(facts, names, "k", how, ["v"])) == want
 
 
-def test_too_many_keys_leave_the_facts_alone(spark):
-    facts, keys = spark.range(10), spark.range(3)
-    assert [df.count() for df in lookup.keep_known(keys, "id", facts, facts)] == [3, 3]
-    assert [df.count() for df in lookup.keep_known(keys, "id", facts, broadcast_rows=2)] == [10]
+def test_bounds_keep_what_may_be_known(spark):
+    facts, keys = spark.range(100), spark.range(20, 40)
+    kept = lookup.within_bounds(facts, keys, "id")
+    assert [r.id for r in kept.collect()] == list(range(20, 40))
+    assert lookup.within_bounds(facts, keys.where("id > 99"), "id").count() == 0
+
+
+@pytest.fixture
+def large_scale(spark):
+    """Plans as for large tables, without help from adaptive handling of skew."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def loads(df):
+    counts = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return sorted(counts + [0] * (16 - len(counts)))
+
+
+def test_equal_items_are_one_row_in_the_lookup(spark, large_scale):
+    """Two thirds of the items are equal in every column."""
+    item = spark.range(60_000).selectExpr(
+        "IF(id % 3 < 2, 5, id % 9000) AS id_mov_caixa", "1 AS qtde_ato",
+        "CAST(10 AS DECIMAL(18,2)) AS taxa_1", "IF(id % 3 < 2, 7, id % 400) AS id_transacao",
+    )
+    names = spark.range(400).selectExpr("id AS id_transacao", "'aut' AS sector")
+    joined = lookup.lookup_join(
+        fees._lines(item), names, "id_transacao", "inner", by=["id_mov_caixa"]
+    )
+    found = loads(joined)
+    assert max(found) <= 3 * found[8]
+    assert joined.agg(F.sum("items")).first()[0] == 60_000
+
+
+def test_hot_transaction_and_movement_of_many_transactions_are_spread(spark, large_scale):
+    item = spark.range(60_000).selectExpr(
+        "IF(id % 3 < 2, 5, id % 900) AS id_mov_caixa", "1 AS qtde_ato",
+        "CAST(id % 50 AS DECIMAL(18,2)) AS taxa_1", "IF(id % 5 = 0, 7, id) AS id_transacao",
+    )
+    movements = spark.range(900).selectExpr(
+        "id AS id_mov_caixa", "IF(id % 3 = 0, 1, id) AS id_recepcao",
+        "TIMESTAMP_NTZ'2021-03-10' AS data", "'Liquidado' AS situacao_pgto",
+    )
+    receptions = spark.range(900).selectExpr("id AS id_recepcao", "id % 20 AS id_usuario")
+    codes = spark.range(60_000).selectExpr(
+        "id AS id_transacao", "CAST(id % 70 AS INT) AS esat_grat_codigo"
+    )
+    groups = spark.range(64).selectExpr("CAST(id AS INT) AS codigo")
+    rows = fees.movement_enriched(movements, item, receptions, codes, groups)
+    found = loads(rows)
+    assert max(found) <= 3 * found[8]
+    lines = fees._lines(item)
+    for step in (
+        lookup.spread_join(lines, movements, "id_mov_caixa", "inner", ["id_transacao"]),
+        lookup.spread_join(lines, codes, "id_transacao", "left", ["id_mov_caixa"]),
+    ):
+        found = loads(step)
+        assert max(found) <= 3 * found[8]
 
 
 # Properties on the star-schema tables.
@@ -237,11 +297,60 @@ def test_joining_movements_reuses_the_partitioning_of_their_sums(loaded, no_broa
     assert text.count("Exchange") == 3
 
 
-def test_large_lookup_is_not_broadcast(spark, loaded):
+def test_large_lookup_is_not_broadcast(spark, loaded, no_broadcast):
     t = loaded[0]
     acts = fees.fee_acts(
         t.movimento_caixa, t.item_movimento_caixa, t.recepcao_titulo, t.transacao_ato,
-        t.grupo_ato, R.sector_groups(spark), broadcast_rows=0,
+        t.grupo_ato, R.sector_groups(spark),
     )
     text = plan(acts)
     assert "_salt" in text and "SortMergeJoin" in text
+
+
+def test_month_run_has_one_plan_and_its_bounds_reach_the_scans(spark, loaded, no_broadcast):
+    """Items, movements and annotations of other months are cut by scalars in their scans."""
+    t = loaded[0]
+    text = plan(P.all_acts(t, 199603))
+    scans = re.split(r"\n\(\d+\) Scan parquet", text)[1:]
+
+    def bounded(*columns):
+        """Whether the filter right above each scan of these columns compares with scalars."""
+        found = [
+            s for s in scans if all(c in s.split("ReadSchema:")[1].split("\n")[0] for c in columns)
+        ]
+        key = "l_orderkey" if columns[0].startswith("l_") else "o_orderkey"
+        return [bool(re.search(rf"{key}#\d+L [<>]= Subquery", s.split("Condition")[1].split("\n")[0]))
+                for s in found]
+
+    assert bounded("l_extendedprice") and all(bounded("l_extendedprice"))  # items
+    assert bounded("l_returnflag") and all(bounded("l_returnflag"))  # annotations
+    assert bounded("o_orderstatus") and all(bounded("o_orderstatus"))  # movements of deeds
+
+
+def test_planning_starts_no_job(spark, loaded):
+    """Nothing is counted, collected or stored before the result is used."""
+    t, entered = loaded
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "plans only")
+    try:
+        payroll(t, entered, period=199603, values={"adm": 1.0})
+        payroll(t, entered)
+        assert list(tracker.getJobIdsForGroup("planning")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_acts_are_made_once(spark, loaded):
+    """Totals and shares read the same shuffled sums."""
+    t = loaded[0]
+    rows = P.allocation(t, R.sector_rules(spark))
+    rows.collect()
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    final = text.split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final or "ReusedQueryStage" in final or final.count("Scan") <= 20
+
+
+def test_deeds_join_items_of_proved_receptions_only(spark, loaded, no_broadcast):
+    t = loaded[0]
+    text = plan(P.all_deed_acts(t))
+    assert "LeftSemi" in text
