@@ -265,23 +265,90 @@ ORACLE_TABLES = [
 
 def oracle_sql() -> dict[str, str]:
     base = _with(BINDINGS)
+    faulty = f"""adjustments AS (SELECT
+        CASE s_suppkey % 9 WHEN 0 THEN 201912 WHEN 1 THEN 203101 ELSE 202103 END AS period,
+        s_suppkey AS id_usuario, CASE s_suppkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 6.0 ELSE 2.0 END
+          AS attitude, CASE WHEN s_suppkey % 8 = 0 THEN -1.0 ELSE 5.0 END AS overtime
+        FROM supplier, range(CASE WHEN s_suppkey % 15 = 0 THEN 2 ELSE 1 END)),
+      bonus_assignment AS (SELECT
+        CASE s_suppkey % 6 WHEN 0 THEN 'bonus' WHEN 1 THEN NULL ELSE 'esc' END AS category,
+        s_suppkey AS id_usuario,
+        CASE s_suppkey % 5 WHEN 0 THEN 0.5 WHEN 1 THEN NULL ELSE 1.0 END AS weight
+        FROM supplier, range(CASE WHEN s_suppkey % 20 = 0 THEN 3 ELSE 1 END))"""
+    assigned = "coalesce(category, '?') || '/' || id_usuario"
+    adjusted = "period || '/' || id_usuario"
+    # table, row key, column, what is compared, range
     violations = [
-        ("sector_rules", "sector || '/' || stage", "margin"),
-        ("bonus_rates", "category", "value"),
-        ("bonus_assignment", "category || '/' || id_usuario", "weight"),
-        ("adjustments", "CAST(id_usuario AS VARCHAR)", "attitude"),
-        ("adjustments", "CAST(id_usuario AS VARCHAR)", "overtime"),
+        ("sector_rules", "sector || '/' || stage", "margin", "margin", 0.1, 5.0),
+        ("bonus_rates", "category", "value", "value", 0.0, 2000.0),
+        ("f.bonus_assignment", assigned, "weight", "weight", 1.0, 10.0),
+        ("f.adjustments", adjusted, "attitude", "attitude", 1.0, 5.0),
+        ("f.adjustments", adjusted, "overtime", "overtime", 0.0, 1000.0),
+        ("f.adjustments", adjusted, "year", "period // 100", 2020.0, 2030.0),
+        ("run", "''", "year", "year", 2020.0, 2030.0),
     ]
 
-    def violation(table: str, key: str, column: str) -> str:
-        low, high = R.INPUT_RANGES[(table, column)]
+    def violation(table: str, key: str, column: str, value: str, low: float, high: float) -> str:
+        name = {"run": "payroll_params"}.get(table, table.removeprefix("f."))
         return (
-            f"SELECT '{table}' AS \"table\", {key} AS key, '{column}' AS \"column\","
-            f" {_at(column, 4, 'value')}, CAST({low} AS DOUBLE) AS low,"
-            f" CAST({high} AS DOUBLE) AS high FROM {table}"
-            f" WHERE {column} < {low} OR {column} > {high}"
+            f"SELECT '{name}' AS \"table\", {key} AS key,"
+            f" CASE WHEN {value} IS NULL THEN 'missing' ELSE 'range' END AS problem,"
+            f" '{column}' AS \"column\", {_at(f'CAST({value} AS DOUBLE)', 4, 'value')},"
+            f" CAST({low} AS DOUBLE) AS low, CAST({high} AS DOUBLE) AS high"
+            f" FROM {table.replace('f.', 'faulty_')}"
+            f" WHERE {value} IS NULL OR {value} < {low} OR {value} > {high}"
         )
 
+    def other(table: str, key: str, problem: str, column: str, value: str, rest: str) -> str:
+        return (
+            f"SELECT '{table}', {key}, '{problem}', '{column}', CAST({value} AS DOUBLE), NULL, NULL"
+            f" FROM faulty_{table} {rest}"
+        )
+
+    off = "WHERE id_usuario NOT IN (SELECT id_usuario FROM roster)"
+    violations_sql = " UNION ALL ".join(
+        [violation(*v) for v in violations]
+        + [
+            other("bonus_assignment", assigned, "unknown", "category", "NULL",
+                  "WHERE category IS NULL OR category NOT IN"
+                  " ('adm', 'esc', 'proc', 'ger', 'com', 'tap', 'fam')"),
+            other("bonus_assignment", assigned, "repeated", "entries", "COUNT(*)",
+                  "GROUP BY category, id_usuario HAVING COUNT(*) > 1"),
+            other("adjustments", adjusted, "repeated", "entries", "COUNT(*)",
+                  "GROUP BY period, id_usuario HAVING COUNT(*) > 1"),
+            other("bonus_assignment", assigned, "off roster", "id_usuario", "NULL", off),
+            other("adjustments", adjusted, "off roster", "id_usuario", "NULL", off),
+        ]
+    )
+    faulty = faulty.replace("adjustments AS", "faulty_adjustments AS").replace(
+        "bonus_assignment AS", "faulty_bonus_assignment AS"
+    )
+    monthly = _with(*PAYROLL_PARTS).replace(
+        BONUS.strip(),
+        f"""monthly_assignment AS (SELECT
+        CASE WHEN s_suppkey % 2 = 0 THEN 199603 ELSE 199604 END AS period,
+        CASE WHEN s_suppkey % 3 = 0 THEN 'esc' ELSE 'fam' END AS category,
+        s_suppkey AS id_usuario, 1 + (s_suppkey % 4) * 0.5 AS weight FROM supplier),
+      monthly_adjustments AS (SELECT m.period, s_suppkey AS id_usuario,
+        CAST(1 + s_suppkey % 5 AS DOUBLE) AS attitude,
+        CAST((s_suppkey % 3) * 12.5 AS DOUBLE) AS overtime
+        FROM supplier, (VALUES (199603), (199604)) AS m(period)),
+      bonus_wide AS (SELECT m.period, p.id_usuario,
+        {", ".join(
+            f"COALESCE((SELECT SUM(CAST({R.BONUS_VALUES.get(c, 0)!r} AS DOUBLE) * a.weight)"
+            f" FROM monthly_assignment a WHERE a.category = '{c}' AND a.period = m.period"
+            f" AND a.id_usuario = p.id_usuario), 0) AS {col}"
+            for c, col in R.BONUS_COLUMNS.items()
+        )}
+        FROM roster p, (VALUES (199603), (199604)) AS m(period))""",
+    )
+    monthly = monthly.replace(
+        "JOIN bonus_wide b USING (id_usuario)", "JOIN bonus_wide b USING (period, id_usuario)"
+    ).replace(
+        "LEFT JOIN adjustments j USING (id_usuario)",
+        "LEFT JOIN monthly_adjustments j USING (period, id_usuario)",
+    )
+
     names = " ".join(
         f"WHEN {i} THEN '{name}'" for i, name in enumerate(R.MONTH_NAMES, start=1)
     )
@@ -374,8 +441,12 @@ def oracle_sql() -> dict[str, str]:
         "adjustments_apply": _with(*PAYROLL_PARTS)
         + f"SELECT period, id_usuario, {_at('produtividade', 4)}, {_at('horas_extras', 4)}"
         " FROM payroll",
-        "input_violations": _with(BINDINGS, RULES, ROSTER, ADMIN, BONUS)
-        + " UNION ALL ".join(violation(*v) for v in violations),
+        "input_violations": _with(
+            BINDINGS, RULES, ROSTER, ADMIN, BONUS, faulty,
+            f"run AS (SELECT CAST({MONTH // 100} AS DOUBLE) AS year)",
+        )
+        + violations_sql,
+        "payroll_monthly_inputs": monthly + PAY_SELECT + " FROM payroll",
         "payroll_month": _with(*PAYROLL_PARTS)
         + PAY_SELECT
         + f" FROM payroll WHERE period = {MONTH}",
@@ -383,5 +454,7 @@ def oracle_sql() -> dict[str, str]:
         "payroll_export": _with(*PAYROLL_PARTS)
         + "SELECT period, id_usuario, nome_funcionario, "
         + ", ".join(_at(c, 4) for c in PAY)
+        + ", "
+        + ", ".join(_at(c, 2, f"csv_{c}") for c in PAY)
         + " FROM payroll",
     }

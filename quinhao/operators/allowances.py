@@ -35,11 +35,20 @@ def bonus_wide(people: DataFrame, assignments: DataFrame, rates: DataFrame) -> D
 
 
 def with_adjustments(people: DataFrame, adjustments: DataFrame) -> DataFrame:
-    """Attach attitude and overtime by employee, with defaults where none was entered."""
+    """Attach attitude and overtime by employee, with defaults where none was entered.
+
+    A person has one entry, or one in a period; a second one stops the run instead of paying
+    twice. ``input_violations`` lists such entries beforehand.
+    """
     keys = _keys(people, adjustments)
-    return people.join(
-        adjustments.select(*keys, "attitude", "overtime"), keys, "left"
-    ).withColumns(
+    twice = F.raise_error(
+        F.concat(F.lit("more than one adjustment for "), F.concat_ws("/", *keys))
+    ).cast("double")
+    single = F.count(F.lit(1)) == 1
+    entered = adjustments.groupBy(*keys).agg(
+        *[F.when(single, F.max(c)).otherwise(twice).alias(c) for c in ("attitude", "overtime")]
+    )
+    return people.join(entered, keys, "left").withColumns(
         {
             "attitude": F.coalesce(F.col("attitude"), F.lit(DEFAULT_ATTITUDE)),
             "overtime": F.coalesce(F.col("overtime"), F.lit(DEFAULT_OVERTIME)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,12 +92,15 @@ DEFAULT_OVERTIME = 0.0
 # Allowed range of every input: (table, column) -> (lowest, highest).
 INPUT_RANGES: dict[tuple[str, str], tuple[float, float]] = {
     ("sector_rules", "margin"): (0.1, 5.0),
+    ("payroll_params", "year"): (2020.0, 2030.0),
     ("payroll_params", "base_salary"): (0.0, 3000.0),
     ("payroll_params", "signer_allowance"): (100.0, 1000.0),
     ("bonus_rates", "value"): (0.0, 2000.0),
     ("bonus_assignment", "weight"): (1.0, 10.0),
     ("adjustments", "attitude"): (1.0, 5.0),
     ("adjustments", "overtime"): (0.0, 1000.0),
+    ("bonus_assignment", "year"): (2020.0, 2030.0),
+    ("adjustments", "year"): (2020.0, 2030.0),
 }
 
 MONTH_NAMES: tuple[str, ...] = (
@@ -132,6 +135,15 @@ def _values(spark: SparkSession, rows: Sequence[Sequence[object]], columns: str)
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({columns})")
 
 
+def _known(
+    chosen: Mapping[str, float] | None, names: Collection[str], what: str
+) -> dict[str, float]:
+    unknown = sorted(set(chosen or ()) - set(names))
+    if unknown:
+        raise ValueError(f"no such {what}: {unknown}")
+    return dict(chosen or {})
+
+
 def sector_rules(
     spark: SparkSession, margins: Mapping[str, float] | None = None
 ) -> DataFrame:
@@ -139,7 +151,7 @@ def sector_rules(
 
     Apostilles are paid with the margin of authentications unless given their own.
     """
-    chosen = dict(margins or {})
+    chosen = _known(margins, SECTORS, "sector")
     if "aut" in chosen:
         chosen.setdefault("apo", chosen["aut"])
     rows = [(s, st, float(chosen.get(s, m)), b) for s, st, m, b in SECTOR_RULES]
@@ -167,14 +179,16 @@ def bonus_rates(
     spark: SparkSession, values: Mapping[str, float] | None = None
 ) -> DataFrame:
     """(category, value) of the allowances with a set value."""
-    merged = {**BONUS_VALUES, **(values or {})}
+    merged = {**BONUS_VALUES, **_known(values, BONUS_COLUMNS, "category")}
     return _values(spark, [(c, float(v)) for c, v in merged.items()], "category, value")
 
 
-def payroll_params(spark: SparkSession, params: PayrollParams = PayrollParams()) -> DataFrame:
-    """The run's scalars as a one-row table, for the range check."""
-    return _values(
-        spark,
-        [(float(params.base_salary), float(params.signer_allowance))],
-        "base_salary, signer_allowance",
-    )
+def payroll_params(
+    spark: SparkSession, params: PayrollParams = PayrollParams(), period: int | None = None
+) -> DataFrame:
+    """The run's scalars, and its year if it has one, as a one-row table for the range check."""
+    row = [float(params.base_salary), float(params.signer_allowance)]
+    columns = "base_salary, signer_allowance"
+    if period is not None:
+        return _values(spark, [(float(period // 100), *row)], f"year, {columns}")
+    return _values(spark, [row], columns)

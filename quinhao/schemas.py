@@ -48,6 +48,9 @@ INPUT_SCHEMAS: dict[str, StructType] = {
     "adjustments": schema(id_usuario=ID, attitude=NUMBER, overtime=NUMBER),
 }
 
+# Columns that an input table may have besides.
+OPTIONAL: dict[str, StructType] = {name: schema(period=COUNT) for name in INPUT_SCHEMAS}
+
 
 class _Named:
     """DataFrames by name, each loaded when first asked for."""
@@ -80,12 +83,21 @@ class Inputs(_Named):
         super().__init__(INPUT_SCHEMAS, load)
 
 
-def conform(df: DataFrame, wanted: StructType, table: str) -> DataFrame:
-    """Select and cast ``df`` to ``wanted``; names match in any letter case."""
+def conform(
+    df: DataFrame, wanted: StructType, table: str, optional: StructType | None = None
+) -> DataFrame:
+    """Select and cast ``df`` to ``wanted``; names match in any letter case.
+
+    Columns of ``optional`` come first, if they are there.
+    """
     present = {c.lower(): c for c in df.columns}
     missing = [f.name for f in wanted.fields if f.name not in present]
     if missing:
         raise ValueError(f"table {table} lacks columns {missing}")
+    extra = [f for f in (optional or ()) if f.name in present]
     return df.select(
-        [F.col(f"`{present[f.name]}`").cast(f.dataType).alias(f.name) for f in wanted.fields]
+        [
+            F.col(f"`{present[f.name]}`").cast(f.dataType).alias(f.name)
+            for f in [*extra, *wanted.fields]
+        ]
     )

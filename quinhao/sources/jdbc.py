@@ -36,7 +36,9 @@ class Slices:
 def jdbc_options(
     table: str, connection: Mapping[str, str], slices: Mapping[str, Slices] | None = None
 ) -> dict[str, str]:
-    """Reader options of one table; a table with slices is read by range of its key."""
+    """Reader options of one table; large tables are read by range of their key."""
+    if table in SLICE_KEYS and table not in (slices or {}):
+        raise ValueError(f"large table {table} needs slices, or one task reads it all")
     options = {
         "fetchsize": "10000",
         "preferTimestampNTZ": "true",
@@ -54,15 +56,41 @@ def jdbc_options(
     return options
 
 
+def range_query(table: str) -> str:
+    """Query for the smallest and largest key of a large table."""
+    key = SLICE_KEYS[table].upper()
+    name = DATABASE_NAMES.get(table, table.upper())
+    return f"SELECT MIN({key}) AS LOWEST, MAX({key}) AS HIGHEST FROM {name}"
+
+
+def derive_slices(
+    spark: SparkSession, table: str, connection: Mapping[str, str], count: int
+) -> Slices:
+    """Slices over the whole key range, as the database tells it."""
+    options = {**connection, "query": range_query(table)}
+    row = spark.read.format("jdbc").options(**options).load().first()
+    lowest, highest = (0 if x is None else int(x) for x in row)
+    return Slices(lowest, max(highest, lowest + 1), count)
+
+
 def load_tables(
     spark: SparkSession,
     connection: Mapping[str, str],
     slices: Mapping[str, Slices] | None = None,
+    count: int | None = None,
 ) -> Tables:
-    """The eleven tables; ``connection`` holds url, user, password and driver."""
+    """The eleven tables; ``connection`` holds url, user, password and driver.
+
+    Large tables without ``slices`` are cut into ``count`` (default: one for each core) by their
+    smallest and largest key.
+    """
+    count = count or spark.sparkContext.defaultParallelism
 
     def load(name: str) -> DataFrame:
-        reader = spark.read.format("jdbc").options(**jdbc_options(name, connection, slices))
+        cut = dict(slices or {})
+        if name in SLICE_KEYS and name not in cut:
+            cut[name] = derive_slices(spark, name, connection, count)
+        reader = spark.read.format("jdbc").options(**jdbc_options(name, connection, cut))
         return conform(reader.load(), SCHEMAS[name], name)
 
     return Tables(load)

@@ -94,6 +94,34 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         "s_suppkey AS id_usuario",
         "CAST(1 + (s_suppkey % 4) * 0.5 AS DOUBLE) AS weight",
     )),
+    # Entries of two months, and entries with every kind of fault.
+    "monthly_adjustments": ("supplier", (
+        "EXPLODE(ARRAY(199603, 199604)) AS period",
+        "s_suppkey AS id_usuario",
+        "CAST(1 + s_suppkey % 5 AS DOUBLE) AS attitude",
+        "CAST((s_suppkey % 3) * 12.5 AS DOUBLE) AS overtime",
+    )),
+    "monthly_bonus_assignment": ("supplier", (
+        "IF(s_suppkey % 2 = 0, 199603, 199604) AS period",
+        "IF(s_suppkey % 3 = 0, 'esc', 'fam') AS category",
+        "s_suppkey AS id_usuario",
+        "CAST(1 + (s_suppkey % 4) * 0.5 AS DOUBLE) AS weight",
+    )),
+    "faulty_adjustments": ("supplier", (
+        "EXPLODE(SEQUENCE(1, IF(s_suppkey % 15 = 0, 2, 1))) AS entry",
+        "CASE s_suppkey % 9 WHEN 0 THEN 201912 WHEN 1 THEN 203101 ELSE 202103 END AS period",
+        "s_suppkey AS id_usuario",
+        "CASE s_suppkey % 7 WHEN 0 THEN CAST(NULL AS DOUBLE) WHEN 1 THEN 6.0D ELSE 2.0D END"
+        " AS attitude",
+        "CAST(IF(s_suppkey % 8 = 0, -1.0, 5.0) AS DOUBLE) AS overtime",
+    )),
+    "faulty_bonus_assignment": ("supplier", (
+        "EXPLODE(SEQUENCE(1, IF(s_suppkey % 20 = 0, 3, 1))) AS entry",
+        "CASE s_suppkey % 6 WHEN 0 THEN 'bonus' WHEN 1 THEN NULL ELSE 'esc' END AS category",
+        "s_suppkey AS id_usuario",
+        "CASE s_suppkey % 5 WHEN 0 THEN 0.5D WHEN 1 THEN CAST(NULL AS DOUBLE) ELSE 1.0D END"
+        " AS weight",
+    )),
 }
 
 
@@ -116,3 +144,8 @@ def load_tables(spark: SparkSession, root: str) -> Tables:
 
 def load_inputs(spark: SparkSession, root: str) -> Inputs:
     return Inputs(lambda name: _view(spark, root, name))
+
+
+def load_entries(spark: SparkSession, root: str, kind: str) -> Inputs:
+    """Other inputs over the same people: ``monthly`` or ``faulty`` ones."""
+    return Inputs(lambda name: _view(spark, root, f"{kind}_{name}").drop("entry"))

@@ -118,7 +118,7 @@ def test_input_violations(spark):
     found = input_violations(
         {
             "sector_rules": R.sector_rules(spark, {"esc": 5.1, "inv": 5.0, "proc": 0.05}),
-            "payroll_params": R.payroll_params(spark, R.PayrollParams(3000.01, 99.0)),
+            "payroll_params": R.payroll_params(spark, R.PayrollParams(3000.01, 99.0), 201912),
             "bonus_rates": R.bonus_rates(spark, {"ger": 2000.5}),
             "bonus_assignment": inputs(
                 spark, bonus_assignment=[("esc", 1, 0.9), ("fam", 2, 10.0)]
@@ -128,6 +128,7 @@ def test_input_violations(spark):
             ).adjustments,
         }
     )
+    assert found.where("problem <> 'range'").count() == 0
     assert collect(found, "table", "key", "column", "value") == [
         ("adjustments", "1", "attitude", 6.0),
         ("adjustments", "1", "overtime", -1.0),
@@ -135,12 +136,52 @@ def test_input_violations(spark):
         ("bonus_rates", "ger", "value", 2000.5),
         ("payroll_params", "", "base_salary", 3000.01),
         ("payroll_params", "", "signer_allowance", 99.0),
+        ("payroll_params", "", "year", 2019.0),
         ("sector_rules", "esc/conf", "margin", 5.1),
         ("sector_rules", "esc/lav", "margin", 5.1),
         ("sector_rules", "proc/lav", "margin", 0.05),
     ]
 
 
+def test_what_the_form_would_not_let_through(spark, roster):
+    """Empty values, second entries, unknown categories and people, and years out of range."""
+    assigned = spark.createDataFrame(
+        [(202103, "esc", 10, 1.0), (202104, "esc", 10, 1.0), (202103, "fam", 20, None),
+         (202103, "bonus", 20, 1.0), (202103, None, 20, 1.0), (203101, "esc", 77, 1.0)],
+        "period int, category string, id_usuario bigint, weight double",
+    )
+    adjusted = inputs(
+        spark, adjustments=[(10, 1.0, 0.0), (10, 2.0, 0.0), (None, 1.0, 0.0), (20, None, 1.0)]
+    ).adjustments
+    found = input_violations(
+        {"bonus_assignment": assigned, "adjustments": adjusted}, roster=roster
+    )
+    assert collect(found, "table", "key", "problem", "column", "value") == [
+        ("adjustments", "10", "repeated", "entries", 2.0),
+        ("adjustments", "20", "missing", "attitude", None),
+        ("adjustments", "?", "off roster", "id_usuario", None),
+        ("bonus_assignment", "202103/?/20", "unknown", "category", None),
+        ("bonus_assignment", "202103/bonus/20", "unknown", "category", None),
+        ("bonus_assignment", "202103/fam/20", "missing", "weight", None),
+        ("bonus_assignment", "203101/esc/77", "off roster", "id_usuario", None),
+        ("bonus_assignment", "203101/esc/77", "range", "year", 2031.0),
+    ]
+
+
+def test_a_second_adjustment_stops_the_run(spark):
+    paid = spark.createDataFrame([(10, 100.0)], "id_usuario bigint, produtividade double")
+    entered = inputs(spark, adjustments=[(10, 5.0, 12.5), (10, 5.0, 12.5)])
+    with pytest.raises(Exception, match="more than one adjustment for 10"):
+        adjustments_apply(paid, entered.adjustments).collect()
+
+
+def test_unknown_names_of_rules_are_errors(spark):
+    with pytest.raises(ValueError, match="no such sector"):
+        R.sector_rules(spark, {"autt": 2.0})
+    with pytest.raises(ValueError, match="no such category"):
+        R.bonus_rates(spark, {"bonus": 2.0})
+
+
 def test_apostilles_follow_the_margin_of_authentications(spark):
     margins = {(r.sector, r.stage): r.margin for r in R.sector_rules(spark, {"aut": 2.0}).collect()}
     assert margins[("apo", "fee")] == margins[("aut", "fee")] == 2.0

@@ -1,0 +1,75 @@
+"""The rules against a table written apart from them."""
+
+from quinhao import rules as R
+
+# ---- Fixed values: these must equal the office's own rules -------------------------------
+
+GROUPS = {"aut": "3, 8, 46, 33, 62, 55, 5", "apo": "63"}
+
+ACTS = {
+    "esc": """270, 94, 203, 272, 343, 216, 311, 229, 84, 130, 280, 244, 306, 352, 79, 207, 372, 88, 355, 350,
+    228, 208, 201, 100, 290, 188, 382, 131, 288, 293, 129, 113, 312, 303, 371, 313, 199, 369, 341, 89, 248, 361, 195, 365, 185,
+    297, 287, 305, 187, 86, 389, 101, 227, 356, 359, 308, 291, 395, 120, 357, 127""",
+    "inv": """309, 344, 321, 260, 186, 346, 370, 198, 374, 80, 323, 377, 226, 349, 304, 284, 302, 249, 146, 194, 232, 106, 173""",
+    "proc": """58, 7, 264, 237, 23, 316, 20, 256, 257, 250, 39, 383, 235, 6, 386, 271, 236, 385, 238, 251, 222, 259,
+    215, 217, 21, 25, 24, 390, 176, 241, 22, 384, 401""",
+    "dec": """242, 57, 335, 252, 398, 268, 218, 399, 108, 266, 110, 107, 267, 262, 179, 263, 275, 269, 274, 109,
+    172, 225, 230, 298, 180, 273, 147, 265, 178, 261, 245, 111""",
+}
+
+# sector: margin, stages, boosted
+SECTORS = {
+    "aut": (3.5, ["fee"], True),
+    "apo": (3.5, ["fee"], False),
+    "esc": (1.5, ["lav", "conf"], True),
+    "inv": (1.5, ["lav", "conf"], True),
+    "proc": (4.5, ["lav"], True),
+    "dec": (4.0, ["lav"], True),
+}
+
+ALLOWANCES = {"esc": 122.50, "proc": 122.50, "ger": 1041.25, "com": 612.50, "tap": 102.08, "fam": 51.27}
+
+# what is entered: lowest, highest
+FORM = {
+    "year": (2020, 2030), "margin": (0.1, 5.0), "base_salary": (0.0, 3000.0),
+    "signer_allowance": (100.0, 1000.0), "value": (0.0, 2000.0), "weight": (1.0, 10.0),
+    "attitude": (1.0, 5.0), "overtime": (0.0, 1000.0),
+}
+
+MONTHS = "Janeiro Fevereiro Março Abril Maio Junho Julho Agosto Setembro Outubro Novembro Dezembro"
+
+# ---- End of fixed values -----------------------------------------------------------------
+
+
+def codes(text):
+    return tuple(int(x) for x in text.split(","))
+
+
+def test_codes():
+    assert {s: codes(t) for s, t in GROUPS.items()} == R.FEE_GROUPS
+    assert {s: codes(t) for s, t in ACTS.items()} == R.ACT_CODES
+    assert [len(R.ACT_CODES[s]) for s in ("esc", "inv", "proc", "dec")] == [61, 23, 33, 32]
+
+
+def test_sectors():
+    assert set(R.SECTOR_RULES) == {
+        (sector, stage, margin, boosted)
+        for sector, (margin, stages, boosted) in SECTORS.items()
+        for stage in stages
+    }
+    assert len(R.SECTOR_RULES) == 8 and R.SECTORS == tuple(SECTORS)
+    assert R.STAGE_PREFIXES == {"lav": "Lavrad", "conf": "Conferid"}
+
+
+def test_money():
+    assert R.BONUS_VALUES == ALLOWANCES
+    assert (R.BASE_SALARY, R.SIGNER_ALLOWANCE) == (1225.0, 183.75)
+    assert (float(R.DEDUCTION), R.ADMIN_SHARE, R.TOP_FACTOR) == (0.275, 0.0067, 1.1)
+    assert (R.DEFAULT_ATTITUDE, R.DEFAULT_OVERTIME) == (1.0, 0.0)
+
+
+def test_ranges_and_months():
+    for (_, column), limits in R.INPUT_RANGES.items():
+        assert limits == FORM[column]
+    assert {column for _, column in R.INPUT_RANGES} == set(FORM)
+    assert R.MONTH_NAMES == tuple(MONTHS.split())

@@ -1,11 +1,14 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from small import DAY, collect, fee, tables
 
 from quinhao import rules as R
 from quinhao.plans.export import payroll_export
+from quinhao.plans.payroll import payroll
 from quinhao.schemas import INPUT_SCHEMAS, SCHEMAS, conform
+from quinhao.session import shared_folder
 from quinhao.sources import files, jdbc, star
 
 ROWS = {
@@ -19,7 +22,7 @@ ROWS = {
 def test_files_keep_the_schema(spark, tmp_path, fmt):
     source = tables(spark, **ROWS)
     for name, df in source.items():
-        df.write.format(fmt).save(f"{tmp_path}/{name}")
+        df.write.format(fmt).option("header", True).save(f"{tmp_path}/{name}")
     loaded = files.load_tables(spark, str(tmp_path), fmt)
     for name, df in loaded.items():
         assert [(f.name, f.dataType) for f in df.schema] == [
@@ -29,6 +32,38 @@ def test_files_keep_the_schema(spark, tmp_path, fmt):
         assert collect(getattr(loaded, name)) == collect(getattr(source, name))
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
+def test_a_missing_column_is_an_error(spark, tmp_path, fmt):
+    people = tables(spark, **ROWS).funcionarios.drop("data_saida")
+    people.write.format(fmt).option("header", True).save(f"{tmp_path}/funcionarios")
+    with pytest.raises(ValueError, match="funcionarios lacks columns .*data_saida"):
+        files.load_tables(spark, str(tmp_path), fmt).funcionarios.collect()
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_entries_of_a_month_are_paid_in_that_month(spark, tmp_path, fmt):
+    """Adjustments and assignments for two months, through the loader: nobody is paid twice."""
+    entries = {
+        "adjustments": ("id_usuario bigint, attitude double, overtime double, period int",
+                        [(10, 2.0, 10.0, 202103), (10, 3.0, 20.0, 202104)]),
+        "bonus_assignment": ("period int, category string, id_usuario bigint, weight double",
+                             [(202103, "ger", 10, 1.0), (202104, "ger", 10, 2.0)]),
+    }
+    for name, (kind, rows) in entries.items():
+        df = spark.createDataFrame(rows, kind)
+        df.write.format(fmt).option("header", True).save(f"{tmp_path}/{name}")
+    entered = files.load_inputs(spark, str(tmp_path), fmt)
+    assert entered.adjustments.columns == ["period", "id_usuario", "attitude", "overtime"]
+    t = tables(
+        spark, funcionarios=[(1, "Ana", "CLT", None)], usuario=[(10, 1, "False", "False")]
+    )
+    for period, overtime, allowance in ((202103, 10.0, 1041.25), (202104, 20.0, 2082.5)):
+        rows = payroll(t, entered, period=period, values={"adm": 0.0})
+        assert collect(rows, "id_usuario", "horas_extras", "funcao_gerencia") == [
+            (10, overtime, allowance)
+        ]
+
+
 def test_star_views_have_the_schema(spark):
     root = "/root/testdata/sf0.001"
     for loaded, wanted in (
@@ -53,11 +88,13 @@ def test_unknown_table(spark):
         tables(spark).nothing
 
 
+CONNECTION = {"url": "jdbc:x", "user": "u", "password": "p", "driver": "d"}
+
+
 def test_jdbc_options():
-    connection = {"url": "jdbc:x", "user": "u", "password": "p", "driver": "d"}
-    plain = jdbc.jdbc_options("usuario", connection)
+    plain = jdbc.jdbc_options("usuario", CONNECTION)
     assert plain["dbtable"] == '"TBL$USUARIO"' and "partitionColumn" not in plain
-    cut = jdbc.jdbc_options("livros_notas", connection, {"livros_notas": jdbc.Slices(1, 900, 8)})
+    cut = jdbc.jdbc_options("livros_notas", CONNECTION, {"livros_notas": jdbc.Slices(1, 900, 8)})
     assert cut["dbtable"] == "LIVROS_NOTAS"
     assert (cut["partitionColumn"], cut["lowerBound"], cut["upperBound"], cut["numPartitions"]) == (
         "id_recepcao", "1", "900", "8",
@@ -65,24 +102,48 @@ def test_jdbc_options():
     assert set(jdbc.SLICE_KEYS) <= set(SCHEMAS)
 
 
-def test_export(spark, tmp_path):
-    paid = spark.createDataFrame(
-        [(202103, "Ana", 10.129), (202104, "Ana", 2.0)],
-        "period int, nome_funcionario string, salario double",
+def test_large_tables_are_never_read_by_one_task():
+    for table in jdbc.SLICE_KEYS:
+        with pytest.raises(ValueError, match=f"{table} needs slices"):
+            jdbc.jdbc_options(table, CONNECTION)
+    assert jdbc.range_query("recibo") == (
+        "SELECT MIN(ID_RECIBO) AS LOWEST, MAX(ID_RECIBO) AS HIGHEST FROM RECIBO"
     )
-    for _ in range(2):  # a second run replaces the first
-        payroll_export(paid, str(tmp_path / "out"))
+
+
+def export_folders(spark):
+    root = Path(shared_folder(spark)) / "quinhao"
+    return sorted(p.name for p in root.glob("*")) if root.exists() else []
+
+
+def test_export(spark, tmp_path):
+    kind = "period int, nome_funcionario string, salario double"
+    march = spark.createDataFrame([(202103, "Ana", 10.129), (202103, "Bia", 0.125)], kind)
+    april = spark.createDataFrame([(202104, "Ana", 2.0)], kind)
+    before = export_folders(spark)
+    payroll_export(march, str(tmp_path / "out"))
+    payroll_export(april, str(tmp_path / "out"))  # leaves March alone
+    payroll_export(march, str(tmp_path / "out"))  # a second run replaces the first
+    assert export_folders(spark) == before  # and leaves nothing behind
     back = spark.read.parquet(f"{tmp_path}/out/parquet")
-    assert collect(back, *paid.columns) == collect(paid)
-    assert sorted(p.name for p in (tmp_path / "out/parquet").glob("period=*")) == [
-        "period=202103", "period=202104",
-    ]
+    assert collect(back, *march.columns) == collect(march.union(april))
+    for side in ("parquet", "csv"):
+        assert sorted(p.name for p in (tmp_path / "out" / side).glob("period=*")) == [
+            "period=202103", "period=202104",
+        ]
     text = spark.read.csv(f"{tmp_path}/out/csv", header=True)
     assert collect(text, "nome_funcionario", "salario", "period") == [
-        ("Ana", "10.13", 202103), ("Ana", "2.00", 202104),
+        ("Ana", "10.13", 202103), ("Ana", "2.00", 202104), ("Bia", "0.12", 202103),
     ]
 
 
+def test_a_payroll_that_is_not_used_leaves_no_table(spark):
+    before = export_folders(spark)
+    loaded = star.load_tables(spark, "/root/testdata/sf0.001")
+    payroll(loaded, star.load_inputs(spark, "/root/testdata/sf0.001"))
+    assert export_folders(spark) == before
+
+
 def test_rule_tables_are_literals(spark):
     """Literal tables fold into the plan; they are not parallelized Python lists."""
     for df in (R.sector_rules(spark), R.sector_groups(spark), R.sector_acts(spark)):
