@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 Q = 8
 WINDOW, STRIDE = 120, 60  # characters of an item that are searched together
-EDITS = 0.1  # edits allowed, as a share of a window's characters
+EDITS = 0.08  # edits allowed, as a share of a window's characters
 LEAST = 20  # shorter items are not searched: they would be found by accident
 BLOCK_CHARS = 4_000_000  # characters of the benchmark searched at once
-PIECE = 1 << 20  # characters of a long document looked at a time
+PIECE = 1 << 13  # characters of a long document looked at a time
 SIEVE_BITS = 22
 
 
@@ -152,6 +152,16 @@ def matches(points: np.ndarray, w: Windows) -> Iterator[tuple[int, int, int]]:
         bands = len(part) + 2 * WINDOW
         # band b holds the diagonals of steps b and b + 1
         key = np.concatenate([window * bands + band, window * bands + band - 1])
+        order = np.argsort(key)
+        ranked = key[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        shared = np.diff(np.append(first, len(ranked)))
+        enough = shared >= w.least[ranked[first] // bands]
+        if not enough.any():
+            continue
+        order = order[np.repeat(enough, shared)]
+        # a place of the window counts once, however often its q-gram comes up in the band
+        key = np.unique(key[order] * WINDOW + np.tile(w.place[entry], 2)[order]) // WINDOW
         key, shared = np.unique(key, return_counts=True)
         found, band = key // bands, key % bands
         for number, b in zip(*(x[shared >= w.least[found]].tolist() for x in (found, band))):
