@@ -1,0 +1,88 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quinhao.llm.common import ship
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.fixture(scope="session", autouse=True)
+def shipped(spark):
+    ship(spark)
+
+
+@pytest.fixture(scope="session")
+def make(spark):
+    """Documents from (doc_id, text) or (doc_id, text, lang) rows."""
+
+    def build(rows, partitions=3):
+        full = [
+            (r[0], r[1], r[2] if len(r) > 2 else "en", "s", len(r[1]) if r[1] else 0) for r in rows
+        ]
+        return spark.createDataFrame(full, SCHEMA).repartition(partitions)
+
+    return build
+
+
+CLASHING = (
+    "id", "tag", "marks", "set", "first", "root", "bucket", "size", "shard", "slot", "dim_0", "text_hash",
+    "n_words", "stratum", "_f", "_quality", "_doc", "_later", "_kept", "n_tokens", "n_removed",
+    "label", "kept", "score",
+)
+
+
+@pytest.fixture(scope="session")
+def clash():
+    """Adds columns named like those that operators use themselves."""
+
+    def add(docs):
+        return docs.withColumns({c: F.lit(f"own {c}") for c in CLASHING})
+
+    return add
+
+
+@pytest.fixture(scope="session")
+def odd_rows():
+    """Nulls, empty and blank texts, a very long one, ties, repeated rows, and missing ids."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(1, 8))) for _ in range(400)]
+    prose = " ".join(rnd.choice(words) + rnd.choice(["", "", "", ".", "\n"]) for _ in range(300))
+    long = " ".join(rnd.choice(words) for _ in range(60_000))
+    return [
+        (1, None), (2, ""), (3, " \t\n "), (4, "one"), (5, "one"), (6, prose), (7, prose),
+        (8, prose + " the end"), (9, long), (10, prose), (10, prose), (None, prose), (None, None),
+        (11, "a" * 3000), (12, "日本語 é ß ﬁ 😀 | * #"), (13, "x\ny\nx\n\n" * 40), (14, None, None),
+        (15, prose.upper(), None),
+    ]
+
+
+@pytest.fixture(scope="session")
+def odd(make, odd_rows):
+    return make(odd_rows)
+
+
+@pytest.fixture(scope="session")
+def empty(make):
+    return make([]).where("false")
+
+
+
+@pytest.fixture(scope="session")
+def rows_of():
+    def collect(df):
+        return sorted((tuple(r) for r in df.collect()), key=repr)
+
+    return collect
+
+
+@pytest.fixture(scope="session")
+def holds_schema():
+    def same(before, after):
+        strip = lambda s: [(f.name, f.dataType) for f in s.fields]
+        return strip(before.schema) == strip(after.schema)
+
+    return same
+
+
