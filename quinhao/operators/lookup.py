@@ -75,8 +75,5 @@ def within_bounds(facts: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     scan of the facts applies, so row groups of other months are skipped where keys grow with
     time. The join still decides, so the facts kept need not all be known.
     """
-    edges = keys.agg(F.min(key).alias("low"), F.max(key).alias("high"))
-    column = F.col(key)
-    return facts.where(
-        (column >= edges.select("low").scalar()) & (column <= edges.select("high").scalar())
-    )
+    edges = keys.agg(F.struct(F.min(key).alias("low"), F.max(key).alias("high"))).scalar()
+    return facts.where(F.col(key).between(edges["low"], edges["high"]))

@@ -55,9 +55,10 @@ def all_deed_acts(t: Tables, period: int | None = None) -> DataFrame:
     anotacoes, livros = t.recepcao_anotacoes, t.livros_notas
     if period is not None:
         livros = livros.where(in_period(F.col("data_reg"), period))
+        paid = movimento.join(livros.select("id_recepcao"), "id_recepcao", "left_semi")
+        item = within_bounds(item, paid, "id_mov_caixa")
         anotacoes = within_bounds(anotacoes, livros, "id_recepcao")
         movimento = within_bounds(movimento, livros, "id_recepcao")
-        item = within_bounds(item, movimento, "id_mov_caixa")
     pairs = stage_pairs(anotacoes, livros, period)
     return deed_acts(movimento, item, pairs, R.sector_acts(livros.sparkSession))
 
