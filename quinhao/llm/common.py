@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quinhao.session import materialize
+from quinhao import session
 
 __all__ = ["by_batch", "documents", "materialize", "mix", "ship", "table", "utf8_rows"]
 
@@ -34,6 +35,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; see ``session.materialize``.
+
+    The engine deletes the shuffle files of a plan when the driver collects it as garbage, so
+    this is asked for here, where a stored table has taken the plan's place.
+    """
+    stored = session.materialize(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return stored
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

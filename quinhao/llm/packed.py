@@ -24,8 +24,11 @@ MOST_OWNERS = 65_535  # in one row, as an entry counts its owners in 16 bits
 
 
 def bucket_bits(entries: int, partitions: int) -> int:
-    """Bits of the number of buckets, for so many entries and so many tasks at least."""
-    return max(1, int(max(entries / PER_BUCKET, 4 * partitions) - 1).bit_length())
+    """Bits of the number of buckets, for so many entries and about two for each task at least.
+
+    No more than that: the more buckets, the more rows name the same owner.
+    """
+    return max(1, int(max(entries / PER_BUCKET, 1.5 * partitions) - 1).bit_length())
 
 
 def split_key(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -13,10 +13,11 @@ the sketches, never exceeds the symmetric difference.
    Sets with too few non-empty parts are compared by single shingles instead.
 2. The same count over single shingles among the sets that are left: a set needs 3/4 of its own
    shared.
-3. Candidates agree on one of the n - ceil(3n/4) + 1 least shingles of each. In every group of
-   sets that agree, all are compared with one of them first, and joined if they are linked; then
-   only sets in different components are compared. Pairs are dropped by size and by the Hamming
-   distance of bit sketches, and what is left is verified on whole sets.
+3. Candidates agree on one of the n - ceil(3n/4) + 1 rarest shingles of each; how rare a shingle
+   is, is read off a table of counters of fixed size. Every set takes the least doc_id that it
+   meets so as its label. Sets of one label are compared with each other in blocks, where each
+   travels once; pairs of different labels, which are few, are listed. Pairs are dropped by size
+   and by the Hamming distance of bit sketches, and what is left is verified on whole sets.
 
 Sets that are equal are one class throughout. A key that many sets of a task have is shipped for
 two of them, as the task itself knows that they all share it.
@@ -49,7 +50,7 @@ PARTS = 0.58  # parts of a band's sketch, in elements of its largest sets but a
 LEAST_SIZE = 3  # smaller sets are linked with equal ones only
 FLUSH = 2_000_000  # keys that a task packs at a time
 ENTRY = np.dtype([("key", "<u4"), ("owner", "<u2")])
-OWNER = np.dtype([("set", "<i8"), ("unit", "u1"), ("need", "<u4")])
+OWNER = np.dtype([("set", "<i8"), ("unit", "u1"), ("need", "<u2")])
 REPLY = np.dtype([("set", "<i8"), ("unit", "u1"), ("need", "<u4"), ("count", "<u4")])
 SINGLES = 4  # added to the unit of a band for sets that are compared by single shingles
 
@@ -142,7 +143,7 @@ def _emit(
             continue  # a task ships equal sets once
         seen.add(name)
         for unit, need, own in keys_of(shingles):
-            owners.append((name, unit, need))
+            owners.append((name, unit, min(need, 65_535)))  # less for very large sets
             keys.append(own)
             held += len(own)
         if held >= FLUSH:
@@ -267,9 +268,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 names=["set", "shingles", "doc_id"],
             )
 
-    found = _texts(docs).join(wanted, "doc_id").select("text", "doc_id", "set")
-    kind = "set bigint, shingles binary, doc_id bigint"
-    return found.mapInArrow(run, kind).dropDuplicates(["set"])
+    found = _texts(docs).join(wanted, "doc_id").withColumn("hash", F.xxhash64("text"))
+    # repeated rows lie together already
+    found = found.dropDuplicates(["doc_id", "hash"]).select("text", "doc_id", "set")
+    return found.mapInArrow(run, "set bigint, shingles binary, doc_id bigint")
 
 
 def _unpacked(batches) -> Iterator[tuple[int, np.ndarray]]:
@@ -280,12 +282,55 @@ def _unpacked(batches) -> Iterator[tuple[int, np.ndarray]]:
 
 # --- candidates ------------------------------------------------------------------------------
 
-MEMBER = np.dtype([("set", "<i8"), ("root", "<i8"), ("doc", "<i8"), ("n", "<u4")])
+MEMBER = np.dtype([("set", "<i8"), ("doc", "<i8"), ("label", "<i8"), ("n", "<u4")])
 PAIRS = 2_000_000  # pairs a task holds before it yields them
+CELL_BITS = 22  # counters of shingles: 2 ** CELL_BITS of four bytes, whatever the corpus
+SPANS = 64  # rows in which they travel
 
 
-def _emit_prefixes(sets: DataFrame, bits: int) -> DataFrame:
-    """Packed rows of the keys by which candidates meet, from ``(set, shingles, doc_id, root)``."""
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (mix(shingles) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many sets have the shingles of each cell, in 2 ** CELL_BITS counters.
+
+    Cells put shingles in one order for all sets; which order it is, is a matter of speed.
+    """
+    size = (1 << CELL_BITS) // SPANS
+
+    def count(batches):
+        total = np.zeros(1 << CELL_BITS, dtype=np.uint32)
+        for _, shingles in _unpacked(batches):
+            np.add.at(total, _cells(shingles), 1)
+        spans = [k for k in range(SPANS) if total[k * size : (k + 1) * size].any()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(spans, type=pa.int64()),
+                pa.array([total[k * size : (k + 1) * size].tobytes() for k in spans], pa.binary()),
+            ],
+            names=["span", "counts"],
+        )
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(size, dtype=np.uint32)
+        for blob in rows.column("counts").to_pylist():
+            total += np.frombuffer(blob, dtype=np.uint32)
+        return pa.table(
+            {"span": rows.column("span")[:1], "counts": pa.array([total.tobytes()], pa.binary())}
+        )
+
+    kind = "span bigint, counts binary"
+    spans = sets.select("set", "shingles").mapInArrow(count, kind)
+    out = np.zeros(1 << CELL_BITS, dtype=np.uint32)
+    for row in spans.groupBy("span").applyInArrow(add, kind).collect():  # of fixed size
+        part = np.frombuffer(bytes(row["counts"]), dtype=np.uint32)
+        out[row["span"] * size : (row["span"] + 1) * size] = part
+    return out
+
+
+def _emit_rarest(sets: DataFrame, bits: int, counts) -> DataFrame:
+    """Packed rows of the keys by which candidates meet, from ``(set, shingles, doc_id, label)``."""
 
     def run(batches):
         owners, keys, held = [], [], 0
@@ -300,10 +345,11 @@ def _emit_prefixes(sets: DataFrame, bits: int) -> DataFrame:
 
         for batch in batches:
             more = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            for (doc_id, root), (name, shingles) in zip(more, _unpacked([batch])):
+            for (doc_id, label), (name, shingles) in zip(more, _unpacked([batch])):
                 n = len(shingles)
-                own = mix(shingles[: n - needed(n) + 1])
-                owners.append((name, root, doc_id, n))
+                rarest = np.argsort(counts.value[_cells(shingles)], kind="stable")
+                own = mix(shingles[rarest[: n - needed(n) + 1]])
+                owners.append((name, doc_id, label, n))
                 keys.append(own)
                 held += len(own)
                 if held >= FLUSH or len(owners) == MOST_OWNERS:
@@ -312,25 +358,37 @@ def _emit_prefixes(sets: DataFrame, bits: int) -> DataFrame:
         if owners:
             yield rows()
 
-    return sets.select("set", "shingles", "doc_id", "root").mapInArrow(run, SCHEMA)
+    return sets.select("set", "shingles", "doc_id", "label").mapInArrow(run, SCHEMA)
 
 
-def _pairs(table: pa.Table, across: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's groups whose sizes allow a link: each set with the one of its group's
-    least doc_id or, ``across``, with all of other roots."""
+def _grouped(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members in order of key and doc_id, and starts and sizes of the keys' groups."""
     entries, owners, _ = unpack(table, ENTRY, MEMBER, REPLY)
     order = np.lexsort((owners["doc"], entries["key"]))
     key, owners = entries["key"][order], owners[order]
-    if not len(key):
-        return
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    start = np.flatnonzero(new)
+    return owners, start, np.diff(np.append(start, len(key)))
+
+
+def _labels(table: pa.Table) -> pa.Table:
+    """(set, label) of the sets that meet others in a bucket."""
+    owners, start, sizes = _grouped(table)
+    met = np.repeat(sizes > 1, sizes)
+    label = np.repeat(owners["doc"][start], sizes)[met]
+    names = owners["set"][met]
+    order = np.lexsort((label, names))
+    names, label = names[order], label[order]
+    new = np.ones(len(names), dtype=bool)
+    new[1:] = names[1:] != names[:-1]
+    return pa.table({"set": pa.array(names[new]), "label": pa.array(label[new])})
+
+
+def _across(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket's groups with different labels, if their sizes allow a link."""
+    owners, start, sizes = _grouped(table)
     size = owners["n"].astype(np.int64)
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.append(start, len(key)))
-
-    def fitting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        a, b = np.broadcast_arrays(a, b)
-        fits = 4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])
-        return np.stack([owners["set"][a[fits]], owners["set"][b[fits]]], axis=1)
 
     def batch(found: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -338,22 +396,20 @@ def _pairs(table: pa.Table, across: bool) -> Iterator[pa.RecordBatch]:
             [pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"]
         )
 
-    if not across:
-        hub, other = np.repeat(start, sizes), np.arange(len(key))
-        yield batch([fitting(hub[hub != other], other[hub != other])])
-        return
     found: list[np.ndarray] = []
     held = 0
     for at, end in zip(start.tolist(), (start + sizes).tolist()):
-        roots = owners["root"][at:end]
-        if (roots == roots[0]).all():
+        labels = owners["label"][at:end]
+        if (labels == labels[0]).all():
             continue
-        for k in range(at, end - 1):
-            rest = np.arange(k + 1, end)
-            rest = rest[owners["root"][rest] != owners["root"][k]]
-            if len(rest):
-                found.append(fitting(np.array([k]), rest))
-                held += len(found[-1])
+        step = max(1, PAIRS // (end - at))
+        for low in range(0, end - at, step):
+            # a block of rows of the group's upper triangle
+            i, j = np.nonzero(labels[low : low + step, None] != labels[None, low:])
+            a, b = (x[j > i] + at + low for x in (i, j))
+            fits = 4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])
+            found.append(np.stack([owners["set"][a[fits]], owners["set"][b[fits]]], axis=1))
+            held += len(found[-1])
             if held >= PAIRS:
                 yield batch(found)
                 found, held = [], 0
@@ -369,48 +425,179 @@ def bit_sketch(shingles: np.ndarray, words: int) -> np.ndarray:
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets are linked: their sketches' distance decides most that are not."""
-    total = len(a) + len(b)
-    words = max(1, total // 64)
-    distance = int(np.bitwise_count(bit_sketch(a, words) ^ bit_sketch(b, words)).sum())
-    if 7 * distance > total:  # the sets differ in so many elements at least
-        return False
+    """Whether two whole sets are linked."""
     both = np.concatenate([a, b])
     both.sort()
     common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= 75 * (total - common)
+    return 100 * common >= 75 * (len(both) - common)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked ones of ``pairs(a, b)``."""
+def linked_pairs(
+    sets: list[np.ndarray], first: np.ndarray, second: np.ndarray
+) -> Iterator[tuple[int, int]]:
+    """Linked ones of the pairs (first, second) of places in ``sets``, less those that others
+    already connect.
 
-    def run(batches):
-        for batch in batches:
-            names = [batch.column(k).to_pylist() for k in (0, 1)]
-            blobs = [batch.column(k).to_pylist() for k in (2, 3)]
-            keep = [
-                linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-                for x, y in zip(*blobs)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(n, type=pa.int64()).filter(pa.array(keep, pa.bool_())) for n in names],
-                names=["a", "b"],
-            )
+    Sketches come before sets: sets whose sketches differ in more bits than linked sets in
+    elements are not linked.
+    """
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    fits = 4 * np.minimum(size[first], size[second]) >= 3 * np.maximum(size[first], size[second])
+    first, second = first[fits], second[fits]
+    words = 1 << min(12, max(4, int(size.max() // 8).bit_length()))
+    sketch = np.stack([bit_sketch(s, words) for s in sets])
+    step = max(1, 4_000_000 // words)
+    root = list(range(len(sets)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for low in range(0, len(first), step):
+        a, b = first[low : low + step], second[low : low + step]
+        distance = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(7 * distance <= size[a] + size[b])
+        near = near[np.argsort(distance[near], kind="stable")]  # what connects most comes first
+        for i, j in zip(a[near].tolist(), b[near].tolist()):
+            x, y = find(i), find(j)
+            if x != y and linked(sets[i], sets[j]):
+                root[max(x, y)] = min(x, y)
+                yield i, j
+
+
+BLOCK = 1000  # sets of one label that are compared in one task; larger groups are cut
+
+
+def _placed(labels: DataFrame) -> tuple[DataFrame, int]:
+    """(set, label, cuts, cut): in how many blocks a label's sets are, and which one a set is in;
+    and the number of blocks that hold all sets."""
+    whole = max(1, -(-labels.count() // BLOCK))
+    sizes = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts"))
+    placed = labels.join(sizes, "label").withColumn(
+        "cut", F.pmod(F.xxhash64("set"), F.col("cuts"))
+    )
+    return materialize(placed, "blocks"), whole
 
-    left = sets.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return met.mapInArrow(run, "a bigint, b bigint")
 
+def links_within(sets: DataFrame, placed: DataFrame, whole: int) -> DataFrame:
+    """(a, b): links that connect all linked sets of one label.
 
-def _candidates(sets: DataFrame, bits: int, across: bool) -> DataFrame:
-    empty = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    Small labels share tasks; of a large one, every two blocks meet in a task of their own.
+    """
+    low, high = F.least("cut", "other"), F.greatest("cut", "other")
+    small = F.pmod(F.xxhash64("label"), F.lit(whole))
+    rows = (
+        placed.join(sets.select("set", "shingles"), "set")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        .withColumn(
+            "task", F.when(F.col("cuts") == 1, small).otherwise(F.xxhash64("label", low, high))
+        )
+    )
 
     def work(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(_pairs(table, across)), schema=empty)
+        names, label, cut, other = (
+            np.array(table.column(c).to_pylist(), dtype=np.int64)
+            for c in ("set", "label", "cut", "other")
+        )
+        blobs = table.column("shingles").to_pylist()
+        meeting = np.stack([label, np.minimum(cut, other), np.maximum(cut, other)], axis=1)
+        found = []
+        order = np.lexsort((names, *meeting.T[::-1]))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (meeting[order[1:]] != meeting[order[:-1]]).any(axis=1)
+        for at in np.split(order, np.flatnonzero(new)[1:]):
+            if len(at) < 2:
+                continue
+            _, first, second = meeting[at[0]]
+            if first == second:
+                a, b = np.triu_indices(len(at), 1)
+            else:  # blocks compare their own sets elsewhere
+                a, b = (x.ravel() for x in np.meshgrid(
+                    np.flatnonzero(cut[at] == first), np.flatnonzero(cut[at] == second)
+                ))
+            own = [np.frombuffer(blobs[k], dtype=np.uint64) for k in at]
+            found += [(int(names[at[i]]), int(names[at[j]])) for i, j in linked_pairs(own, a, b)]
+        return _edges(found)
+
+    columns = rows.select("task", "set", "label", "cut", "other", "shingles")
+    return columns.groupBy("task").applyInArrow(work, "a bigint, b bigint")
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.Table:
+    columns = list(zip(*found)) if found else [(), ()]
+    return pa.table({n: pa.array(c, type=pa.int64()) for n, c in zip("ab", columns)})
+
+
+def links_across(pairs: DataFrame, sets: DataFrame, placed: DataFrame, whole: int) -> DataFrame:
+    """(a, b): links that connect all that the linked ones of ``pairs(a, b)`` connect.
+
+    A pair goes to the task of its two blocks, where each set is needed once for all its pairs.
+    """
+    block = F.xxhash64("label", "cut")
+    one = placed.select(F.col("set").alias("a"), block.alias("block_a"))
+    two = placed.select(F.col("set").alias("b"), block.alias("block_b"))
+    low, high = F.least("block_a", "block_b"), F.greatest("block_a", "block_b")
+    tasked = (
+        pairs.join(one, "a")
+        .join(two, "b")
+        .select("a", "b", F.pmod(F.xxhash64(low, high), F.lit(4 * whole)).alias("task"))
+    )
+    tasked = materialize(tasked, "pairs")
+    wanted = tasked.select(
+        F.col("task").alias("at"), F.explode(F.array("a", "b")).alias("set")
+    ).distinct()
+    needed_sets = wanted.join(sets.select("set", "shingles"), "set")
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = np.array(right.column("set").to_pylist(), dtype=np.int64)
+        if not len(names) or not left.num_rows:
+            return _edges([])
+        order = np.argsort(names)
+        blobs = right.column("shingles").to_pylist()
+        own = [np.frombuffer(blobs[k], dtype=np.uint64) for k in order]
+        names = names[order]
+        a, b = (
+            np.searchsorted(names, np.array(left.column(c).to_pylist(), dtype=np.int64))
+            for c in ("a", "b")
+        )
+        return _edges([(int(names[i]), int(names[j])) for i, j in linked_pairs(own, a, b)])
+
+    return (
+        tasked.groupBy("task")
+        .cogroup(needed_sets.groupBy("at"))
+        .applyInArrow(work, "a bigint, b bigint")
+    )
+
 
-    emitted = _emit_prefixes(sets, bits)
-    return emitted.groupBy("bucket").applyInArrow(work, "a bigint, b bigint").distinct()
+def candidate_links(sets: DataFrame, bits: int) -> DataFrame:
+    """(a, b): links that connect all linked sets of ``sets(set, shingles, doc_id)``."""
+    spark = sets.sparkSession
+    counts = spark.sparkContext.broadcast(frequencies(sets))  # of fixed size
+    alone = sets.withColumn("label", F.col("doc_id"))
+    labels = (
+        _emit_rarest(alone, bits, counts)
+        .groupBy("bucket")
+        .applyInArrow(_labels, "set bigint, label bigint")
+        .groupBy("set")
+        .agg(F.min("label").alias("label"))
+    )
+    placed, whole = _placed(materialize(labels, "labels"))
+    within = links_within(sets, placed, whole)
+    named = sets.join(placed.select("set", "label"), "set")
+    empty = pa.schema([(name, pa.int64()) for name in ("a", "b")])
+
+    def across(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(_across(table)), schema=empty)
+
+    pairs = (
+        _emit_rarest(named, bits, counts)
+        .groupBy("bucket")
+        .applyInArrow(across, "a bigint, b bigint")
+        .distinct()
+    )
+    return within.unionByName(links_across(pairs, sets, placed, whole))
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -433,14 +620,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     rest = _sharing(sets.mapInArrow(emit, SCHEMA), bits)
     sets = materialize(sets.join(rest, "set"), "near-sets")
-    starred = sets.withColumn("root", F.col("set"))
-    near = materialize(verified(_candidates(starred, bits, across=False), sets), "links")
-    roots = components(near)
-    rooted = sets.join(
-        roots.select(F.col("node").alias("set"), "root"), "set", "left"
-    ).withColumn("root", F.coalesce("root", "set"))
-    more = verified(_candidates(rooted, bits, across=True), sets)
-    return described, components(near.unionByName(more))
+    return described, components(candidate_links(sets, bits))
 
 
 def _bits(spark: SparkSession, shingles: int | None) -> int:
@@ -468,7 +648,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_set = materialize(rooted.join(least, "root").select("set", "component"), "components")
     return described.join(
         of_set, (F.col("first") == F.col("set")) & (F.col("n_shingles") > 0), "left"
-    ).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    ).select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias(
+            "component_id"
+        ),
+    )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
