@@ -31,6 +31,15 @@ def bucket_bits(entries: int, partitions: int) -> int:
     return max(1, int(max(entries / PER_BUCKET, 1.5 * partitions) - 1).bit_length())
 
 
+def reply_bits(entries: int) -> int:
+    """Bits of the number of buckets for replies to the owners of so many entries.
+
+    Replies are fewer and go from every bucket of entries to every one of these, so these are
+    no more than their own number asks for.
+    """
+    return max(5, int(max(1, entries / (8 * PER_BUCKET)) - 1).bit_length())
+
+
 def split_key(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket, and the 32 bits that tell keys of a bucket apart, of a scattered 64-bit key."""
     return (

@@ -41,6 +41,7 @@ from quinhao.llm.packed import (
     pack,
     pack_replies,
     reduce_buckets,
+    reply_bits,
     split_key,
     unpack,
 )
@@ -103,6 +104,7 @@ def _emit(
     sets: Iterator[tuple[int, np.ndarray]],
     keys_of: Callable[[np.ndarray], Iterator[tuple[int, int, np.ndarray]]],
     bits: int,
+    told_bits: int,
 ) -> Iterator[pa.RecordBatch]:
     """Packed rows of the keys of ``(set, shingles)``, and replies known at once."""
     owners: list[tuple[int, int, int]] = []
@@ -126,8 +128,7 @@ def _emit(
             for field in ("set", "unit", "need"):
                 replies[field] = names[field][told]
             replies["count"] = counts[told]
-            bucket = mix(names["set"][told].view(np.uint64)) >> np.uint64(64 - bits)
-            yield pack_replies(bucket.astype(np.int64), replies)
+            yield _pack_replies(replies, told_bits)
         bucket, short = split_key(key[~known], bits)
         entries = np.empty(len(short), dtype=ENTRY)
         entries["key"] = short
@@ -173,7 +174,11 @@ def _count_shared(table: pa.Table, bits: int) -> pa.RecordBatch:
         named[field] = owners[field]
     named["count"] = 1
     replies = _summed(np.concatenate([replies, named]))
-    bucket = mix(replies["set"].view(np.uint64)) >> np.uint64(64 - bits)
+    return _pack_replies(replies, bits)
+
+
+def _pack_replies(replies: np.ndarray, bits: int) -> pa.RecordBatch:
+    bucket = mix(np.ascontiguousarray(replies["set"]).view(np.uint64)) >> np.uint64(64 - bits)
     return pack_replies(bucket.astype(np.int64), replies)
 
 
@@ -237,7 +242,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
     )
 
 
-def _emit_documents(docs: DataFrame, bits: int) -> DataFrame:
+def _emit_documents(docs: DataFrame, bits: tuple[int, int]) -> DataFrame:
     def run(batches):
         def sets():
             for batch in batches:
@@ -245,7 +250,7 @@ def _emit_documents(docs: DataFrame, bits: int) -> DataFrame:
                     shingles = shingle_set(data)
                     yield identity(shingles)[0], shingles
 
-        yield from _emit(sets(), band_keys, bits)
+        yield from _emit(sets(), band_keys, *bits)
 
     return _texts(docs).where("doc_id IS NOT NULL").mapInArrow(run, SCHEMA)
 
@@ -609,22 +614,24 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("doc_id").alias("doc_id")
     )
     bits = _bits(spark, described.agg(F.sum("n_shingles")).first()[0])
-    some = _sharing(_emit_documents(docs, bits), bits)
+    some = _sharing(_emit_documents(docs, bits), bits[1])
     wanted = classes.join(some, "set").select("doc_id", "set")
     sets = materialize(_sets_of(docs, wanted), "near-sets")
     size = sets.agg(F.sum(F.octet_length("shingles"))).first()[0]
     bits = _bits(spark, (size or 0) // 8)
 
     def emit(batches):
-        yield from _emit(_unpacked(batches), single_keys, bits)
+        yield from _emit(_unpacked(batches), single_keys, *bits)
 
-    rest = _sharing(sets.mapInArrow(emit, SCHEMA), bits)
+    rest = _sharing(sets.mapInArrow(emit, SCHEMA), bits[1])
     sets = materialize(sets.join(rest, "set"), "near-sets")
-    return described, components(candidate_links(sets, bits))
+    return described, components(candidate_links(sets, bits[0]))
 
 
-def _bits(spark: SparkSession, shingles: int | None) -> int:
-    return bucket_bits(shingles or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def _bits(spark: SparkSession, shingles: int | None) -> tuple[int, int]:
+    """Bits of the number of buckets for keys, and for replies."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return bucket_bits(shingles or 0, partitions), reply_bits(shingles or 0)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -40,6 +40,7 @@ from quinhao.llm.packed import (
     pack,
     pack_replies,
     reduce_buckets,
+    reply_bits,
     split_key,
     unpack,
 )
@@ -153,7 +154,9 @@ def _rank_in(new: np.ndarray) -> np.ndarray:
     return np.arange(len(new)) - np.repeat(first, np.diff(np.append(first, len(new))))
 
 
-def _emit_runs(docs: DataFrame, bits: int, length: int, k: int, first: bool) -> DataFrame:
+def _emit_runs(
+    docs: DataFrame, bits: int, told_bits: int, length: int, k: int, first: bool
+) -> DataFrame:
     def flush(parts: list, owners: list) -> Iterator[pa.RecordBatch]:
         names = np.array(owners, dtype=OWNER)
         key, text, start, more = (np.concatenate([p[i] for p in parts]) for i in range(4))
@@ -178,7 +181,7 @@ def _emit_runs(docs: DataFrame, bits: int, length: int, k: int, first: bool) ->
         crowd = np.repeat(size > CROWD, size) & (_rank_in(new_key) >= 2)
         what = RANKED + (GONE * many[crowd] if not first else 0)
         told.append(_told(names[owner[crowd]], start[crowd], more[crowd], what))
-        yield _pack_told(np.concatenate(told), bits)
+        yield _pack_told(np.concatenate(told), told_bits)
         ship = ~crowd
         bucket, short = split_key(key[ship], bits)
         entries = np.empty(len(short), dtype=RUN)
@@ -259,7 +262,9 @@ def _marks(table: pa.Table) -> pa.RecordBatch:
     )
 
 
-def _emit_suffixes(rows: DataFrame, bits: int, length: int, first: bool) -> DataFrame:
+def _emit_suffixes(
+    rows: DataFrame, bits: int, told_bits: int, length: int, first: bool
+) -> DataFrame:
     """Packed suffixes of the runs that are to be ranked, of ``rows(id, tag, marks, text)``."""
 
     def flush(keys: list, starts: list, owners: list) -> Iterator[pa.RecordBatch]:
@@ -274,7 +279,7 @@ def _emit_suffixes(rows: DataFrame, bits: int, length: int, first: bool) -> Data
         rank = _rank_in(_groups(key))
         # suffixes that a task has more than twice: their partners are here
         known = rank >= (1 if first else 2)
-        yield _pack_told(_told(names[owner[known]], start[known], 0, GONE), bits)
+        yield _pack_told(_told(names[owner[known]], start[known], 0, GONE), told_bits)
         key, start, owner = key[~known], start[~known], owner[~known]
         entries = np.empty(len(key), dtype=SUFFIX)
         entries["key"], entries["start"] = key, start
@@ -344,22 +349,25 @@ def repeats(
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.col("text").cast("string")
     bytes_in = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    bits = bucket_bits(2 * bytes_in // (length - k + 2), partitions)
+    entries = 2 * bytes_in // (length - k + 2)  # two minimizers a window's width, on average
+    bits, back = bucket_bits(entries, partitions), reply_bits(entries)
 
     def match_runs(table: pa.Table) -> pa.RecordBatch:
-        return _match_runs(table, bits, first)
+        return _match_runs(table, back, first)
 
-    told = reduce_buckets(_emit_runs(docs, bits, length, k, first), match_runs)
+    told = reduce_buckets(_emit_runs(docs, bits, back, length, k, first), match_runs)
     marks = materialize(reduce_buckets(told, _marks, _MARKS), "marks")
     keyed = docs.select(*_identity(), text.alias("text")).where("text IS NOT NULL")
     rows = keyed.join(marks, ["id", "tag"])
-    windows = marks.agg(F.sum(F.octet_length("marks"))).first()[0] or 0
-    ranks = bucket_bits(windows // MARK.itemsize * (length - k) // 4, partitions)
+    told_runs = (marks.agg(F.sum(F.octet_length("marks"))).first()[0] or 0) // MARK.itemsize
+    windows = told_runs * (length - k) // 4
+    bits, ranked_back = bucket_bits(windows, partitions), reply_bits(windows)
 
     def match_suffixes(table: pa.Table) -> pa.RecordBatch:
-        return _match_suffixes(table, ranks, first)
+        return _match_suffixes(table, ranked_back, first)
 
-    found = reduce_buckets(_emit_suffixes(rows, ranks, length, first), match_suffixes)
+    suffixes = _emit_suffixes(rows, bits, ranked_back, length, first)
+    found = reduce_buckets(suffixes, match_suffixes)
     found = reduce_buckets(found, _marks, _MARKS)
     both = materialize(marks.unionByName(found), "marks")
     return both.groupBy("id", "tag").agg(F.collect_list("marks").alias("marks"))
