@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quinhao.llm.common import materialize
+from quinhao.llm.common import materialize, scratch
 
 HISTOGRAM = 1 << 16  # bins counted at once over all nodes, at least LEAST_BINS for each
 LEAST_BINS = 16
@@ -34,10 +34,15 @@ def position(text: Column) -> Column:
 
 
 def default_dimensions() -> dict[str, Column]:
+    """Language, source and place in the corpus.
+
+    Not the size: a dimension that gathers the large documents in a few shards leaves little to
+    choose a cut from.
+    """
     return {
-        "bytes": F.log2(F.col("size").cast("double")),
         "lang": position(F.col("lang")),
         "source": position(F.col("source")),
+        "doc_id": F.col("doc_id"),
     }
 
 
@@ -176,54 +181,55 @@ def kd_shards(
         ).alias("doc_hash"),
         *[c.alias(d) for d, c in value.items()],
     )
-    rows = materialize(state, "kd-rows")
-    # a text is one row here however many copies it has, as tasks take the least first; and the
-    # engine splits the join's large partitions
-    places = rows.groupBy("text", "size").agg(*[F.min(d).alias(d) for d in dims])
-    state = (
-        rows.drop(*dims)
-        .join(places, ["text", "size"])
-        .withColumn("text_hash", F.shiftrightunsigned("text", 64 - HASH_BITS))
-        .drop("text")
-    )
-    state = materialize(state, "kd-places")
-    total = state.agg(F.sum("size")).first()[0] or 0
-    parts = shards or max(1, -(-total // target_bytes))
-    state = state.withColumns({"first": F.lit(0), "parts": F.lit(parts)})
-    ranges: list[float] = []
-    while parts > 1:
-        found = (
-            state.where("parts > 1")
-            .groupBy("first", "parts")
-            .agg(
-                F.sum("size").alias("bytes"),
-                *[F.min(d).alias(f"{d}_low") for d in dims],
-                *[F.max(d).alias(f"{d}_high") for d in dims],
-            )
-            .collect()
+    with scratch(docs.sparkSession):
+        rows = materialize(state, "kd-rows")
+        # a text is one row here however many copies it has, as tasks take the least first; and the
+        # engine splits the join's large partitions
+        places = rows.groupBy("text", "size").agg(*[F.min(d).alias(d) for d in dims])
+        total = rows.agg(F.sum("size")).first()[0] or 0
+        parts = shards or max(1, -(-total // target_bytes))
+        state = (
+            rows.drop(*dims)
+            .join(places, ["text", "size"])
+            .withColumn("text_hash", F.shiftrightunsigned("text", 64 - HASH_BITS))
+            .withColumns({"first": F.lit(0), "parts": F.lit(parts)})
+            .drop("text")
         )
-        spans = [[float(r[f"{d}_high"] - r[f"{d}_low"]) for d in dims] for r in found]
-        if not found:
-            break
-        ranges = ranges or spans[0]
-        searches = []
-        for row, span in zip(found, spans):
-            wide = [s / whole if whole else 0.0 for s, whole in zip(span, ranges)]
-            dim = wide.index(max(wide))
-            share = (row["parts"] // 2) / row["parts"]
-            searches.append(
-                _Search(
-                    node=row["first"],
-                    dim=dim,
-                    start=float(row[f"{dims[dim]}_low"]),
-                    span=span[dim],
-                    goal=row["bytes"] * share,
-                    tolerance=row["bytes"] / row["parts"] * TOLERANCE,
+        state = materialize(state, "kd-places", keep=parts == 1 or not total)
+        ranges: list[float] = []
+        while parts > 1:
+            found = (
+                state.where("parts > 1")
+                .groupBy("first", "parts")
+                .agg(
+                    F.sum("size").alias("bytes"),
+                    *[F.min(d).alias(f"{d}_low") for d in dims],
+                    *[F.max(d).alias(f"{d}_high") for d in dims],
                 )
+                .collect()
             )
-        _find_cuts(state, searches, dims)
-        state = materialize(_split(state, searches, dims), "kd-level")
-        parts = -(-parts // 2)
+            spans = [[float(r[f"{d}_high"] - r[f"{d}_low"]) for d in dims] for r in found]
+            if not found:  # no rows
+                break
+            ranges = ranges or spans[0]
+            searches = []
+            for row, span in zip(found, spans):
+                wide = [s / whole if whole else 0.0 for s, whole in zip(span, ranges)]
+                dim = wide.index(max(wide))
+                share = (row["parts"] // 2) / row["parts"]
+                searches.append(
+                    _Search(
+                        node=row["first"],
+                        dim=dim,
+                        start=float(row[f"{dims[dim]}_low"]),
+                        span=span[dim],
+                        goal=row["bytes"] * share,
+                        tolerance=row["bytes"] / row["parts"] * TOLERANCE,
+                    )
+                )
+            _find_cuts(state, searches, dims)
+            parts = -(-parts // 2)
+            state = materialize(_split(state, searches, dims), "kd-level", keep=parts == 1)
     return state.select("doc_id", "size", "text_crc32", F.col("first").alias("shard"))
 
 
