@@ -10,7 +10,6 @@ of n bytes takes O(n log n), where rescanning all pairs takes O(n^2).
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Mapping
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -185,27 +184,10 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of what ``encode_decode`` gives.
-
-    The digests are taken where the ids are, so the ids themselves do not move.
-    """
-
-    def build():
-        codec = codec_for(ranks_file, pattern)
-
-        def apply(doc_ids, texts):
-            counts, of_ids, of_bytes = [], [], []
-            for text in texts:
-                ids = codec.encode(text) if text else b""
-                counts.append(len(ids) // 4)
-                of_ids.append(hashlib.sha256(ids).hexdigest())
-                of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            return doc_ids, counts, of_ids, of_bytes
-
-        return apply
-
-    return by_batch(
-        docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")),
-        build,
-        "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of what ``encode_decode`` gives."""
+    return encode_decode(docs, ranks_file, pattern).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
