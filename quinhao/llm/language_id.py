@@ -103,14 +103,19 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     Only the sample's packed bits reach the driver, BITS / 8 bytes a row. None without rows.
     """
     named = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    languages = named.select("lang").distinct().count()
+    counts = named.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_rows"))
+    languages = counts.count()
     if not languages:
         return None
     quota = max(LEAST, sample // languages)
+    # by hash, about twice the quota of each language, however many rows it has
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("_rows")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # tasks drop all but their own lowest rows before the shuffle
     chosen = (
         named.select("lang", "doc_id")
+        .join(counts, "lang")
+        .where(share < (2 * quota + 64) * (1 << 30))
+        .dropDuplicates(["lang", "doc_id"])
         .withColumn("_n", F.row_number().over(order))
         .where(F.col("_n") <= quota)
         .select("doc_id")
