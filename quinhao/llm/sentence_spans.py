@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from quinhao.llm.common import materialize
 
 MIN_WORDS = 20
-MAX_WORDS = 24  # longer sentences are cut into clauses
+MAX_WORDS = 24  # longer sentences are cut into clauses, which are no longer either
 CLAUSE = 6  # words between such cuts, on average
 
 # A sentence runs through its closing marks and the blanks after them; all pieces together are
@@ -39,7 +39,8 @@ def split_sentences(text: str) -> list[str]:
         clause: list[str] = []
         for word in words:
             clause.append(word)
-            if xxhash.xxh3_64_intdigest(word.strip().lower().encode()) % CLAUSE == 0:
+            mark = xxhash.xxh3_64_intdigest(word.strip().lower().encode()) % CLAUSE == 0
+            if mark or len(clause) == MAX_WORDS:
                 out.append("".join(clause))
                 clause = []
         if clause:
