@@ -6,6 +6,7 @@ import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -16,7 +17,9 @@ from pyspark.sql import types as T
 
 from quinhao import session
 
-__all__ = ["by_batch", "documents", "materialize", "mix", "ship", "table", "utf8_rows"]
+__all__ = [
+    "by_batch", "documents", "materialize", "mix", "scratch", "ship", "table", "utf8_rows",
+]
 
 _shipped: set[str] = set()
 
@@ -35,16 +38,34 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; see ``session.materialize``.
+_scratch: list[list[str]] = []  # paths stored in each open ``scratch`` block
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside the block are removed at its end, unless they are to be kept."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            session.remove(spark, path)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
 
     The engine deletes the shuffle files of a plan when the driver collects it as garbage, so
     this is asked for here, where a stored table has taken the plan's place.
     """
-    stored = session.materialize(df, name)
+    spark = df.sparkSession
+    path = session.fresh_path(spark, name)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
+    df.write.parquet(path)
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return stored
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quinhao.llm.common import materialize, mix, utf8_rows
+from quinhao.llm.common import materialize, mix, scratch, utf8_rows
 from quinhao.llm.components import components
 from quinhao.llm.packed import (
     MOST_OWNERS,
@@ -608,7 +608,7 @@ def candidate_links(sets: DataFrame, bits: int) -> DataFrame:
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, first, second) of all rows, and (set, root) of sets with links."""
     spark = docs.sparkSession
-    described = materialize(document_sets(docs), "sets")
+    described = materialize(document_sets(docs), "sets", keep=True)
     sized = described.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = sized.groupBy(F.col("first").alias("set")).agg(
         F.min("doc_id").alias("doc_id")
@@ -643,16 +643,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one doc_id are compared each for itself. Other columns are ignored; an empty table gives an
     empty result. Sets are told apart by 64-bit sums of 64-bit hashes.
     """
-    described, roots = links(docs)
-    sized = described.where("doc_id IS NOT NULL AND n_shingles > 0")
-    rooted = (
-        sized.groupBy(F.col("first").alias("set"))
-        .agg(F.min("doc_id").alias("least"))
-        .join(roots.withColumnRenamed("node", "set"), "set", "left")
-        .withColumn("root", F.coalesce("root", "set"))
-    )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    of_set = materialize(rooted.join(least, "root").select("set", "component"), "components")
+    with scratch(docs.sparkSession):
+        described, roots = links(docs)
+        sized = described.where("doc_id IS NOT NULL AND n_shingles > 0")
+        rooted = (
+            sized.groupBy(F.col("first").alias("set"))
+            .agg(F.min("doc_id").alias("least"))
+            .join(roots.withColumnRenamed("node", "set"), "set", "left")
+            .withColumn("root", F.coalesce("root", "set"))
+        )
+        least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+        members = rooted.join(least, "root").select("set", "component")
+        of_set = materialize(members, "components", keep=True)
     return described.join(
         of_set, (F.col("first") == F.col("set")) & (F.col("n_shingles") > 0), "left"
     ).select(

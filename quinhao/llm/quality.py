@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quinhao.llm.common import materialize
+from quinhao.llm.common import materialize, scratch
 
 ALPHA, DELTA = 0.02, 0.05
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -182,11 +182,16 @@ def _stratum(lang: str = "lang") -> Column:
     return F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("stratum")
 
 
-def _wide(cutoffs: DataFrame) -> DataFrame:
-    """One row per stratum, a column per rule."""
-    return cutoffs.groupBy("stratum").agg(
+FEW_STRATA = 100_000  # so many rows of a few numbers are broadcast
+
+
+def _limits(cutoffs: DataFrame) -> DataFrame:
+    """One row per stratum, a column per rule; to be broadcast if its rows are few."""
+    wide = cutoffs.groupBy("stratum").agg(
         *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_max_{r}") for r in CUTOFFS]
     )
+    wide = materialize(wide, "quality-cutoffs", keep=True)
+    return F.broadcast(wide) if wide.count() <= FEW_STRATA else wide
 
 
 def _base_failed() -> Column:
@@ -217,9 +222,10 @@ def quality(
     its own; repeated rows and null ids come back as they are; without labels, or without rows,
     only the base rules decide.
     """
-    features = materialize(features_of(docs), "quality")
-    cutoffs = select_cutoffs(features, labels, alpha, delta)
-    return features.join(_wide(cutoffs), "stratum", "left").select(
+    with scratch(docs.sparkSession):
+        features = materialize(features_of(docs), "quality", keep=True)
+        limits = _limits(select_cutoffs(features, labels, alpha, delta))
+    return features.join(limits, "stratum", "left").select(
         "doc_id", *FEATURES, _base_failed().alias("base_failed"), _passes().alias("kept")
     )
 
@@ -231,8 +237,9 @@ def kept_documents(
     name = "_quality"
     while name in docs.columns:
         name += "_"
-    cutoffs = select_cutoffs(features_of(docs), labels, alpha, delta)
-    limits = _wide(cutoffs).withColumnRenamed("stratum", f"{name}stratum")
+    with scratch(docs.sparkSession):
+        limits = _limits(select_cutoffs(features_of(docs), labels, alpha, delta))
+    limits = limits.withColumnRenamed("stratum", f"{name}stratum")
     measured = with_features(docs, name)
     judged = measured.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(f"{name}doc"),

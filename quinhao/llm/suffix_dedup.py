@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quinhao.llm.common import materialize, mix, utf8_rows
+from quinhao.llm.common import materialize, mix, scratch, utf8_rows
 from quinhao.llm.packed import (
     MOST_OWNERS,
     SCHEMA,
@@ -355,21 +355,21 @@ def repeats(
     def match_runs(table: pa.Table) -> pa.RecordBatch:
         return _match_runs(table, back, first)
 
-    told = reduce_buckets(_emit_runs(docs, bits, back, length, k, first), match_runs)
-    marks = materialize(reduce_buckets(told, _marks, _MARKS), "marks")
     keyed = docs.select(*_identity(), text.alias("text")).where("text IS NOT NULL")
-    rows = keyed.join(marks, ["id", "tag"])
-    told_runs = (marks.agg(F.sum(F.octet_length("marks"))).first()[0] or 0) // MARK.itemsize
-    windows = told_runs * (length - k) // 4
-    bits, ranked_back = bucket_bits(windows, partitions), reply_bits(windows)
-
-    def match_suffixes(table: pa.Table) -> pa.RecordBatch:
-        return _match_suffixes(table, ranked_back, first)
-
-    suffixes = _emit_suffixes(rows, bits, ranked_back, length, first)
-    found = reduce_buckets(suffixes, match_suffixes)
-    found = reduce_buckets(found, _marks, _MARKS)
-    both = materialize(marks.unionByName(found), "marks")
+    with scratch(spark):
+        told = reduce_buckets(_emit_runs(docs, bits, back, length, k, first), match_runs)
+        marks = materialize(reduce_buckets(told, _marks, _MARKS), "marks")
+        rows = keyed.join(marks, ["id", "tag"])
+        size = marks.agg(F.sum(F.octet_length("marks"))).first()[0] or 0
+        windows = size // MARK.itemsize * (length - k) // 4
+        bits, ranked_back = bucket_bits(windows, partitions), reply_bits(windows)
+
+        def match_suffixes(table: pa.Table) -> pa.RecordBatch:
+            return _match_suffixes(table, ranked_back, first)
+
+        suffixes = _emit_suffixes(rows, bits, ranked_back, length, first)
+        found = reduce_buckets(reduce_buckets(suffixes, match_suffixes), _marks, _MARKS)
+        both = materialize(marks.unionByName(found), "marks", keep=True)
     return both.groupBy("id", "tag").agg(F.collect_list("marks").alias("marks"))
 
 
