@@ -12,6 +12,7 @@ from quinhao.llm import (
     decontaminate,
     kd_shards,
     language_id,
+    oracle,
     parity_join,
     prefix_counts,
     quality,
@@ -114,5 +115,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: SQL expresses none of these methods; tests/llm holds them against brute force."""
-    return {}
+    """Of the others, models, alignments and merges, tests/llm holds against brute force."""
+    return oracle.oracle_sql()
