@@ -373,17 +373,16 @@ def repeats(
     return both.groupBy("id", "tag").agg(F.collect_list("marks").alias("marks"))
 
 
-def covered(size: int, blobs: list[bytes], length: int) -> np.ndarray:
+def covered(blobs: list[bytes], length: int) -> np.ndarray:
     """Starts and ends, in pairs, of the maximal runs of bytes under repeated windows."""
     marks = np.frombuffer(b"".join(blobs), dtype=MARK)
-    marks = marks[(marks["what"] & GONE) > 0]
-    step = np.zeros(size + 1, dtype=np.int32)
+    marks = np.sort(marks[(marks["what"] & GONE) > 0], order="start")
+    if not len(marks):
+        return np.zeros((0, 2), dtype=np.int64)
     start = marks["start"].astype(np.int64)
-    np.add.at(step, start, 1)
-    np.add.at(step, start + marks["more"] + length, -1)
-    inside = np.cumsum(step[:-1]) > 0
-    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-    return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1)
+    end = np.maximum.accumulate(start + marks["more"] + length)
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    return np.stack([start[new], end[np.append(new[1:] - 1, len(end) - 1)]], axis=1)
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
@@ -404,7 +403,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> D
         for batch in batches:
             out = []
             for data, blobs in zip(utf8_rows(batch.column(1)), batch.column(2).to_pylist()):
-                cut = covered(len(data), blobs, length) if blobs else np.zeros((0, 2), np.int64)
+                cut = covered(blobs or [], length)
                 ends = np.concatenate([[0], cut[:, 1]]).tolist()
                 starts = np.concatenate([cut[:, 0], [len(data)]]).tolist()
                 whole = data.tobytes()
