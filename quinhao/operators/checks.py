@@ -85,7 +85,12 @@ def _out_of_range(
 
 
 def _flagged(
-    df: DataFrame, name: str, keys: list[str], problem: str, column: str, value: Column | None = None
+    df: DataFrame,
+    name: str,
+    keys: list[str],
+    problem: str,
+    column: str,
+    value: Column | None = None,
 ) -> DataFrame:
     none = F.lit(None).cast("double")
     return df.select(
