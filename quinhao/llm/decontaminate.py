@@ -18,13 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-
 Q = 8
 WINDOW, STRIDE = 120, 60  # characters of an item that are searched together
 EDITS = 0.08  # edits allowed, as a share of a window's characters
 LEAST = 20  # shorter items are not searched: they would be found by accident
-BLOCK_CHARS = 4_000_000  # characters of the benchmark searched at once
+BLOCK_CHARS = 1_000_000  # characters of the benchmark searched at once
 PIECE = 1 << 13  # characters of a long document looked at a time
 SIEVE_BITS = 22
 
@@ -144,7 +142,8 @@ def matches(points: np.ndarray, w: Windows) -> Iterator[tuple[int, int, int]]:
             continue
         counts = w.starts[number + 1] - w.starts[number]
         total = int(counts.sum())
-        entry = np.arange(total) + np.repeat(w.starts[number] - (np.cumsum(counts) - counts), counts)
+        shift = w.starts[number] - (np.cumsum(counts) - counts)
+        entry = np.arange(total) + np.repeat(shift, counts)
         window = w.window[entry]
         diagonal = np.repeat(at, counts) - w.place[entry] + WINDOW  # never negative
         step = 2 * w.edits[window] + 1

@@ -137,7 +137,8 @@ def _split(state: DataFrame, searches: Sequence[_Search], dims: Sequence[str]) -
     ]
     cuts = _values(state.sparkSession, rows, "first, dim, start, span, cut, copy_cut")
     key, half = _key(dims), F.expr("parts DIV 2")
-    left = (key < F.col("cut")) | ((key == F.col("cut")) & (F.col("doc_hash") < F.col("copy_cut")))
+    at_cut = (key == F.col("cut")) & (F.col("doc_hash") < F.col("copy_cut"))
+    left = (key < F.col("cut")) | at_cut
     right = F.col("cut").isNotNull() & ~left
     return state.join(F.broadcast(cuts), "first", "left").select(
         *[c for c in state.columns if c not in ("first", "parts")],
@@ -169,7 +170,9 @@ def kd_shards(
     dimensions = default_dimensions() if dimensions is None else dimensions
     dims = [f"dim_{k}" for k in range(len(dimensions))]
     text = F.col("text").cast("string")
-    value = {d: F.coalesce(c.cast("double"), F.lit(-1.0)) for d, c in zip(dims, dimensions.values())}
+    value = {
+        d: F.coalesce(c.cast("double"), F.lit(-1.0)) for d, c in zip(dims, dimensions.values())
+    }
     sized = docs.withColumn("size", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("bigint"))
     state = sized.select(
         F.col("doc_id").cast("bigint"),
@@ -243,7 +246,9 @@ def with_slots(sharded: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     blocks = max(8, -(-known["n"] // (block_rows * ((known["last"] or 0) + 1))))
     block = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int")
     placed = sharded.withColumn("_block", block)
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    )
     starts = (
         placed.groupBy("shard", "_block")
         .agg(F.count(F.lit(1)).alias("_n"))
