@@ -22,6 +22,7 @@ from quinhao.llm.common import utf8_rows
 BITS = 8192
 SAMPLE = 4096  # labelled texts learnt from, shared evenly by the languages
 LEAST = 8  # but so many of each language, however many there are
+FEW_LANGUAGES = 10_000  # so many row counts are broadcast
 LANDMARKS = 384
 RIDGE = 1e-3
 BLOCK = 512  # texts scored at once
@@ -113,7 +114,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = (
         named.select("lang", "doc_id")
-        .join(counts, "lang")
+        .join(F.broadcast(counts) if languages <= FEW_LANGUAGES else counts, "lang")
         .where(share < (2 * quota + 64) * (1 << 30))
         .dropDuplicates(["lang", "doc_id"])
         .withColumn("_n", F.row_number().over(order))
