@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -51,19 +50,26 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             session.remove(spark, path)
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+# Lets the engine delete a query's shuffle files when it is done, not when the driver collects
+# the plan as garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    The engine deletes the shuffle files of a plan when the driver collects it as garbage, so
-    this is asked for here, where a stored table has taken the plan's place.
-    """
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; its shuffle files go at once."""
     spark = df.sparkSession
     path = session.fresh_path(spark, name)
     if _scratch and not keep:
         _scratch[-1].append(path)
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

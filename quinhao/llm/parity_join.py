@@ -614,7 +614,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("doc_id").alias("doc_id")
     )
     bits = _bits(spark, described.agg(F.sum("n_shingles")).first()[0])
-    some = _sharing(_emit_documents(docs, bits), bits[1])
+    # stored before texts move, so that the keys' shuffle files are gone by then
+    some = materialize(_sharing(_emit_documents(docs, bits), bits[1]), "near")
     wanted = classes.join(some, "set").select("doc_id", "set")
     sets = materialize(_sets_of(docs, wanted), "near-sets")
     size = sets.agg(F.sum(F.octet_length("shingles"))).first()[0]
