@@ -71,6 +71,19 @@ def test_found_just_where_a_window_is_within_its_edits(items):
         assert found == want, (trial, item)
 
 
+def test_a_tenth_of_a_window_may_be_edited():
+    """A passage of 120 characters with 10 to 12 of them replaced, far apart."""
+    rnd = random.Random(4)
+    text = dc.normal(text_of(rnd, 40))[:120].strip().ljust(120, "k")
+    w = dc.prepare([(1, text)])
+    for edits in (10, 11, 12):
+        body = list(text)
+        for k in range(edits):
+            body[k * 9] = "#"
+        doc = dc.codes(text_of(rnd, 9) + " " + "".join(body) + " " + text_of(rnd, 9))
+        assert [w.items[k] for k, _, _ in dc.matches(doc, w)] == [1], edits
+
+
 def test_planted_passages(make, clash, benchmark, items, rows_of, holds_schema):
     rnd = random.Random(3)
     rows = [(k, text_of(rnd, rnd.randrange(0, 120))) for k in range(60)]
