@@ -4,14 +4,18 @@ An item is cut into overlapping windows. If a window of m characters occurs some
 most e edits, the two share at least m + 1 - q * (e + 1) q-grams (the q-gram lemma), and these
 lie within 2 * e + 1 neighbouring diagonals. So shared q-grams are counted in overlapping bands of
 diagonals, bands below the bound are dropped, and the rest are verified by banded alignment.
+Short windows lie so densely that any SHORT + STEP characters in a row contain one of them.
+Beside them, RUN words in a row of an item, and items too short for windows, are found as they are.
 The benchmark is taken in blocks of bounded size, each against every document where it lies, so
 documents never move.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q = 8
-WINDOW, STRIDE = 120, 60  # characters of an item that are searched together
+WINDOW = 120  # characters at an item's end that are searched together
+SHORT, STEP = 60, 20  # so are these, from every place that is a multiple of STEP
+RUN = 13  # words in a row that are found wherever they stand
 EDITS = 0.1  # edits allowed, as a share of a window's characters
-LEAST = 20  # shorter items are not searched: they would be found by accident
+LEAST = 20  # shorter items are searched without edits, as whole words
 BLOCK_CHARS = 1_000_000  # characters of the benchmark searched at once
 PIECE = 1 << 13  # characters of a long document looked at a time
 SIEVE_BITS = 22
@@ -50,13 +56,74 @@ def grams(points: np.ndarray) -> np.ndarray:
     return out
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    base = 0x9E3779B97F4A7C15
+    return powers(base, 1 << bits), powers(pow(base, -1, 1 << 64), 1 << bits)
+
+
+def hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each part of the text from a start to an end; equal parts have equal ones."""
+    up, down = _powers(max(14, len(points).bit_length()))
+    sums = np.zeros(len(points) + 1, dtype=np.uint64)
+    np.cumsum(points * up[: len(points)], out=sums[1:])
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
+def word_runs(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all RUN words in a row of a normalised text."""
+    blanks = np.flatnonzero(points == 32)
+    starts, ends = np.append(0, blanks + 1), np.append(blanks, len(points))
+    return starts[: max(0, len(starts) - RUN + 1)], ends[RUN - 1 :]
+
+
+# Scripts without blanks, where a word may stand beside any other letter.
+UNSPACED = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x30FF),
+            (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+
+
+@cache
+def _in_words() -> np.ndarray:
+    """Whether a code point next to a word belongs to it."""
+    out = np.array([unicodedata.category(chr(k))[0] in "LNM" for k in range(0x110000)])
+    for first, last in UNSPACED:
+        out[first : last + 1] = False
+    out[ord("_")] = True
+    return out
+
+
+@dataclass
+class Slices(Sequence):
+    """Parts of one array, cut out when they are asked for."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.data[self.starts[k] : self.ends[k]]
+
+
 @dataclass
 class Windows:
-    """The windows of a block of items, and where each q-gram stands in them."""
+    """The windows of a block of items, and where each q-gram stands in them.
+
+    Runs of words and short items follow the windows; they have no edits and no q-grams.
+    """
 
     items: list  # item of each window
     offsets: np.ndarray  # of the window in its item
-    points: list[np.ndarray]
+    points: Slices
     edits: np.ndarray
     least: np.ndarray  # shared q-grams that a match has at least
     known: np.ndarray  # distinct q-grams, sorted
@@ -64,6 +131,8 @@ class Windows:
     window: np.ndarray
     place: np.ndarray
     sieve: np.ndarray
+    runs: tuple[np.ndarray, np.ndarray]  # sorted hashes of runs, and which they are
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # of short items, by their length
 
 
 def _sieved(values: np.ndarray) -> np.ndarray:
@@ -72,30 +141,53 @@ def _sieved(values: np.ndarray) -> np.ndarray:
 
 def prepare(rows: list[tuple]) -> Windows:
     """Windows of ``(item_id, text)`` rows."""
-    items, offsets, points = [], [], []
-    for item, text in rows:
-        own = codes(normal(text))
-        if len(own) < LEAST:
-            continue
-        last = max(0, len(own) - WINDOW)
-        for start in [*range(0, last, STRIDE), last]:
-            items.append(item)
-            offsets.append(start)
-            points.append(own[start : start + WINDOW])
-    sizes = np.array([len(p) for p in points], dtype=np.int64)
+    texts = [(item, codes(normal(text))) for item, text in rows]
+    data = np.concatenate([*[own for _, own in texts], np.zeros(0, np.uint32)])
+    windows, runs, short = [], [], []
+    begin = 0
+    for item, own in texts:
+        n = len(own)
+        if n >= LEAST:
+            last = max(0, n - SHORT)
+            parts = [(k, min(n, k + SHORT)) for k in [*range(0, last, STEP), last]]
+            if n > SHORT:  # those before it are two short windows
+                parts.append((max(0, n - WINDOW), n))
+            windows += [(item, begin, start, end) for start, end in parts]
+        elif n:
+            short.append((item, begin, 0, n))
+        runs += [(item, begin, start, end) for start, end in zip(*(x.tolist() for x in word_runs(own)))]
+        begin += n
+    every = [*windows, *runs, *short]
+    begins, offsets, ends = np.array([x[1:] for x in every], dtype=np.int64).reshape(-1, 3).T
+    points = Slices(data, begins + offsets, begins + ends)
+    sizes = (ends - offsets)[: len(windows)]
     # so few edits that the lemma's bound stays at one q-gram at least
     edits = np.minimum((sizes * EDITS).astype(np.int64), (sizes - Q) // Q)
-    each = [grams(p) for p in points]
+    each = [grams(points[k]) for k in range(len(windows))]
     value = np.concatenate([*each, np.zeros(0, np.uint64)])
-    window = np.repeat(np.arange(len(points)), [len(g) for g in each]).astype(np.int64)
+    window = np.repeat(np.arange(len(each)), [len(g) for g in each]).astype(np.int64)
     place = np.concatenate([*[np.arange(len(g)) for g in each], np.zeros(0, int)]).astype(np.int64)
     order = np.argsort(value, kind="stable")
     known, first = np.unique(value[order], return_index=True)
     sieve = np.zeros(1 << SIEVE_BITS, dtype=bool)
     sieve[_sieved(known)] = True
+
+    own_hash = np.zeros(len(every), dtype=np.uint64)
+    for k in range(len(windows), len(every)):
+        own_hash[k] = hashes(points[k], np.array([0]), np.array([len(points[k])]))[0]
+
+    def ranked(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        numbers = numbers[np.argsort(own_hash[numbers], kind="stable")]
+        return own_hash[numbers], numbers
+
+    numbers = np.arange(len(windows) + len(runs), len(every))
+    lengths = (ends - offsets)[numbers]
     return Windows(
-        items, np.array(offsets, dtype=np.int64), points, edits, sizes + 1 - Q * (edits + 1),
+        [x[0] for x in every], offsets, points, np.append(edits, np.zeros(len(runs) + len(short), int)),
+        sizes + 1 - Q * (edits + 1),
         known, np.append(first, len(value)).astype(np.int64), window[order], place[order], sieve,
+        ranked(np.arange(len(windows), len(windows) + len(runs))),
+        {int(n): ranked(numbers[lengths == n]) for n in np.unique(lengths)},
     )
 
 
@@ -124,9 +216,45 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, limit: int
 
 def matches(points: np.ndarray, w: Windows) -> Iterator[tuple[int, int, int]]:
     """(window, place, edits) of verified windows in a normalised document, one per item."""
+    done = set()
+    yield from _near(points, w, done)
+    yield from _equal(points, w, done)
+
+
+def _equal(points: np.ndarray, w: Windows, done: set) -> Iterator[tuple[int, int, int]]:
+    """Runs of words, and short items that no letter or digit adjoins."""
+
+    def found(begin, part, starts, ends, known, numbers):
+        values = hashes(part, starts, ends)
+        low = np.searchsorted(known, values)
+        hit = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == values)
+        for k in hit.tolist():
+            own = part[starts[k] : ends[k]]
+            for number in numbers[low[k] : np.searchsorted(known, values[k], "right")].tolist():
+                if w.items[number] not in done and np.array_equal(w.points[number], own):
+                    done.add(w.items[number])
+                    yield number, begin + int(starts[k]), 0
+
+    if len(w.runs[0]):
+        starts, ends = word_runs(points)
+        for k in range(0, len(starts), PIECE // 8):
+            own, its = starts[k : k + PIECE // 8], ends[k : k + PIECE // 8]
+            begin = int(own[0])
+            yield from found(begin, points[begin : its[-1]], own - begin, its - begin, *w.runs)
+    if w.short and len(points):
+        free = np.concatenate([[True], ~_in_words()[points], [True]])  # from one before the text
+        for piece in range(0, len(points), PIECE):
+            part = points[piece : piece + PIECE + LEAST]
+            for n, own in w.short.items():
+                starts = np.arange(max(0, len(part) - n + 1))
+                starts = starts[free[piece + starts] & free[piece + starts + n + 1]]
+                yield from found(piece, part, starts, starts + n, *own)
+
+
+def _near(points: np.ndarray, w: Windows, done: set) -> Iterator[tuple[int, int, int]]:
+    """Windows within their edits."""
     if not len(w.known) or len(points) < Q:
         return
-    done = set()
     for piece in range(0, len(points), PIECE):
         # neighbouring pieces share enough text for any match to lie in one of them whole
         part = points[piece : piece + PIECE + 4 * WINDOW]
@@ -190,8 +318,10 @@ def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> It
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, item_start, doc_start, edits) of every document with part of an item.
 
-    One row per row of ``docs`` and item: the first window found, where it starts in the item,
-    about where in the normalised document, and its edits. Null and empty texts have none.
+    One row per row of ``docs`` and item: the first window found, or else the first run of RUN
+    words, where it starts in the item, about where in the normalised document, and its edits.
+    Items under LEAST characters are found as they are, without letters or digits beside them.
+    Null and empty texts have none.
     Items of one id count as one; a row that is repeated is reported as often; other columns
     are ignored; an empty table on either side gives an empty result.
     """

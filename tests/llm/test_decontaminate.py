@@ -84,6 +84,43 @@ def test_a_tenth_of_a_window_may_be_edited():
         assert [w.items[k] for k, _, _ in dc.matches(doc, w)] == [1], edits
 
 
+def found_in(w, doc):
+    return {w.items[k] for k, _, _ in dc.matches(dc.codes(dc.normal(doc)), w)}
+
+
+def test_a_part_is_found_wherever_it_is_cut():
+    """80 characters of an item, with 6 edits too, and 13 words of any length."""
+    rnd = random.Random(6)
+    text = dc.normal(text_of(rnd, 40))[:233].strip().ljust(233, "k")
+    w = dc.prepare([(1, text)])
+    for start in range(len(text) - dc.SHORT - dc.STEP + 1):
+        part = text[start : start + dc.SHORT + dc.STEP]
+        for body in (part, edited(rnd, part, 6)):
+            assert found_in(w, f"{text_of(rnd, 8)} {body} {text_of(rnd, 8)}") == {1}, start
+    words = [rnd.choice(["a", "to", "it", "we", "of"]) for _ in range(60)]
+    w = dc.prepare([(2, " ".join(words))])
+    for start in range(60 - dc.RUN + 1):
+        part = " ".join(words[start : start + dc.RUN])
+        assert found_in(w, f"{text_of(rnd, 8)} {part} {text_of(rnd, 8)}") == {2}, start
+        cut = " ".join(words[start : start + 5])
+        assert found_in(w, f"{text_of(rnd, 8)} {cut} {text_of(rnd, 8)}") == set(), start
+
+
+def test_short_items_are_found_as_whole_words(make, spark):
+    items = [(1, "Blue  Whale"), (2, "42"), (3, "富士山"), (4, ""), (5, "(x)"), (6, "blue whale")]
+    w = dc.prepare(items)
+    assert found_in(w, "A blue\nwhale.") == {1, 6}
+    assert found_in(w, "blue whale") == {1, 6}
+    assert found_in(w, "true blue whales, 142 or 420, f(x), 4 2, 富士") == set()
+    assert found_in(w, "it is 42!") == found_in(w, "42") == {2}
+    assert found_in(w, "私は富士山に登る (x)") == {3, 5}
+    assert found_in(w, "w " * dc.PIECE + "42 " + "w " * 9) == {2}
+    docs = make([(1, "so 42"), (2, "so 421"), (3, None), (4, "")])
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    assert {tuple(r)[:2] for r in dc.contamination(docs, benchmark).collect()} == {(1, 2)}
+    assert {r.doc_id for r in dc.clean_documents(docs, benchmark).collect()} == {2, 3, 4}
+
+
 def test_planted_passages(make, clash, benchmark, items, rows_of, holds_schema):
     rnd = random.Random(3)
     rows = [(k, text_of(rnd, rnd.randrange(0, 120))) for k in range(60)]
