@@ -2,14 +2,16 @@
 
 From every sentence on, the shortest run of at least two sentences and MIN_WORDS words is one
 span. Spans are hashed and joined over all documents; the first occurrence, that of the lowest
-doc_id and then of the lowest place, stays, and the sentences of all others are removed. Long
-sentences are first cut into clauses where their words say so, so that text without full stops
-has spans too, and the same ones wherever it stands.
+doc_id and then of the lowest place, stays, and the sentences of all others are removed.
+Sentences are first cut into clauses where their words say so, so that a passage has the same spans
+whatever stands before and after it in its first and last sentence, and text without full stops has
+spans too. In scripts without blanks every letter is a word, and two count as one.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,38 +23,59 @@ from pyspark.sql import types as T
 from quinhao.llm.common import materialize
 
 MIN_WORDS = 20
-MAX_WORDS = 24  # longer sentences are cut into clauses, which are no longer either
-CLAUSE = 6  # words between such cuts, on average
+MAX_WORDS = 24  # clauses are no longer
+CLAUSE = 6  # words of a clause, on average
+MEMO = 1 << 16  # words whose marks a task keeps
 
 # A sentence runs through its closing marks and the blanks after them; all pieces together are
 # the text.
-SENTENCES = re.compile(r"[^.!?\n]+[.!?\n]*\s*|[.!?\n]+\s*").findall
+STOPS = ".!?\n\u3002\uff01\uff1f\uff0e\uff61\u061f\u06d4\u0964"
+SENTENCES = re.compile(rf"[^{STOPS}]+[{STOPS}]*\s*|[{STOPS}]+\s*").findall
+# Thai to Lao, Burmese, Khmer, kana, ideographs
+UNSPACED = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u9fff\uf900-\ufaff"
+    "\U00020000-\U0003ffff"
+)
+LETTERS = re.compile(f"[{UNSPACED}]")
 WORDS = re.compile(r"\s*\S+\s*").findall
+MIXED_WORDS = re.compile(rf"\s*(?:[{UNSPACED}]|[^\s{UNSPACED}]+)\s*").findall
+
+
+@lru_cache(MEMO)
+def ends_clause(word: str) -> bool:
+    return xxhash.xxh3_64_intdigest(word.strip().lower().encode()) % CLAUSE == 0
 
 
 def split_sentences(text: str) -> list[str]:
     out = []
+    words_of = WORDS if text.isascii() or not LETTERS.search(text) else MIXED_WORDS
     for sentence in SENTENCES(text):
-        if sentence.count(" ") < MAX_WORDS or len(words := WORDS(sentence)) <= MAX_WORDS:
-            out.append(sentence)
-            continue
         clause: list[str] = []
-        for word in words:
+        for word in words_of(sentence):
             clause.append(word)
-            mark = xxhash.xxh3_64_intdigest(word.strip().lower().encode()) % CLAUSE == 0
-            if mark or len(clause) == MAX_WORDS:
+            if ends_clause(word) or len(clause) == MAX_WORDS:
                 out.append("".join(clause))
                 clause = []
         if clause:
             out.append("".join(clause))
+        elif not sentence.strip():
+            out.append(sentence)  # blanks only
     return out
 
 
+def n_words(words: list[str]) -> int:
+    """Words between blanks, but two letters of a script without blanks as one."""
+    whole = " ".join(words)
+    if whole.isascii() or not (letters := len(LETTERS.findall(whole))):
+        return len(words)
+    return len(LETTERS.sub(" ", whole).split()) + (letters + 1) // 2
+
+
 def spans(sentences: list[str], min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
     """(hash, first sentence, end) of every span; blanks and letter case don't matter."""
     words = [s.lower().split() for s in sentences]
     full = [k for k, w in enumerate(words) if w]  # blank pieces are no sentences
-    sizes = [len(words[k]) for k in full]
+    sizes = [n_words(words[k]) for k in full]
     digests = [xxhash.xxh3_128_digest(" ".join(words[k]).encode()) for k in full]
     found = []
     end = total = 0

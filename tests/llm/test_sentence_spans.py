@@ -91,6 +91,32 @@ def test_long_passages_stay_once_wherever_they_stand(make):
     assert plain in got[0].text and stopped in got[100].text
 
 
+def test_passages_inside_short_sentences_at_both_ends(make):
+    """51 words in sentences of 15, 21 and 15, led in and followed by words of each document."""
+    rnd = random.Random(7)
+    for trial in range(4):
+        words = ["".join(rnd.choice("klmnop") for _ in range(5)) for _ in range(51)]
+        middle = " ".join(words[15:36])
+        body = f"{' '.join(words[:15])}. {middle}. {' '.join(words[36:])}"
+        own = lambda: " ".join("".join(rnd.choice("abcdef") for _ in range(6)) for _ in range(5))
+        rows = [(k, f"{sentence(rnd)} {own()} {body} {own()}. {sentence(rnd)}") for k in range(12)]
+        got = {r.doc_id: r.text for r in ss.without_repeats(make(rows)).collect()}
+        assert got[0] == rows[0][1]
+        assert all(middle not in got[k] for k in range(1, 12)), trial
+
+
+def test_passages_without_blanks(make):
+    rnd = random.Random(8)
+    letters = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(n))
+    parts = "。".join(letters(30) for _ in range(5))
+    for body in (parts, letters(150)):
+        rows = [(k, f"{letters(25)}{body}{letters(25)}。{letters(40)}") for k in range(12)]
+        assert all("".join(ss.split_sentences(t)) == t for _, t in rows)
+        got = {r.doc_id: r.text for r in ss.without_repeats(make(rows)).collect()}
+        assert got[0] == rows[0][1]
+        assert all(body[50:100] not in got[k] and len(got[k]) >= 90 for k in range(1, 12))
+
+
 def test_odd_rows_and_empty(odd, odd_rows, empty, rows_of):
     assert rows_of(ss.without_repeats(odd).select("doc_id", "text")) == brute(
         [r[:2] for r in odd_rows], ss.MIN_WORDS
