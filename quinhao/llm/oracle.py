@@ -52,5 +52,65 @@ FROM sized s LEFT JOIN reach r ON r.doc_id = s.doc_id
 """
 
 
+# Whole texts compared.
+CHUNK_RECIPES = """
+WITH texts AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents)
+SELECT doc_id, MAX(doc_id) OVER (PARTITION BY t) AS keep_id,
+  COUNT(*) OVER (PARTITION BY t) AS group_size,
+  doc_id = MAX(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM texts
+"""
+
+# Every document that shares a term with an item, scored.
+LEXICAL_RANK = r"""
+WITH doc_terms AS (SELECT doc_id, unnest(regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM documents),
+item_terms AS (SELECT item_id, unnest(regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark),
+lengths AS (SELECT doc_id, COUNT(*) AS n FROM doc_terms GROUP BY doc_id),
+totals AS (SELECT CAST(COUNT(*) AS BIGINT) AS docs, CAST(SUM(n) AS BIGINT) AS terms FROM lengths),
+uses AS (SELECT doc_id, term, COUNT(*) AS tf FROM doc_terms GROUP BY doc_id, term),
+weights AS (SELECT term, CAST(FLOOR(1000 * LN(CAST(2 * ANY_VALUE(docs) + 2 AS DOUBLE)
+    / (2 * COUNT(*) + 1))) AS BIGINT) AS w FROM uses, totals GROUP BY term),
+parts AS (SELECT u.doc_id, u.term, w * ((1000000000 * tf)
+    // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // terms)))) AS part
+  FROM uses u JOIN lengths USING (doc_id) JOIN weights USING (term), totals),
+scores AS (SELECT item_id, doc_id, CAST(SUM(part) AS BIGINT) AS score
+  FROM item_terms JOIN parts USING (term) GROUP BY item_id, doc_id),
+ranked AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY item_id
+    ORDER BY score DESC, doc_id) AS INT) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+# Cut by code points; the text that was cut is the one to restore.
+FILL_IN_MIDDLE = """
+WITH texts AS (SELECT doc_id, COALESCE(text, '') AS t, length(COALESCE(text, '')) AS n,
+    sha256('1:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+draws AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM texts),
+cuts AS (SELECT *, LEAST(h1 % (n + 1), h2 % (n + 1)) AS a, GREATEST(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+      OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM draws)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>'
+      || substr(t, a + 1, b - a)
+    ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>'
+      || substr(t, a + 1, b - a) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM cuts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": SUFFIX_DEDUP, "op10_parity_join": PARITY_JOIN}
+    return {
+        "op1_suffix_dedup": SUFFIX_DEDUP,
+        "op10_parity_join": PARITY_JOIN,
+        "op11_chunk_recipes": CHUNK_RECIPES,
+        "op12_lexical_rank": LEXICAL_RANK,
+        "op13_fill_in_middle": FILL_IN_MIDDLE,
+    }

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quinhao.llm import (
     bpe,
+    chunk_recipes,
     decontaminate,
+    fill_in_middle,
     kd_shards,
     language_id,
+    lexical_rank,
     oracle,
     parity_join,
     prefix_counts,
@@ -99,6 +102,18 @@ def parity_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicates(documents(spark, sf_dir))
 
 
+def chunk_recipes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_recipes.copies(documents(spark, sf_dir))
+
+
+def lexical_rank_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.rank(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def fill_in_middle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_suffix_dedup": suffix_dedup_query,
@@ -111,6 +126,9 @@ def queries() -> dict[str, Query]:
         "op8_language_id": language_id_query,
         "op9_quality_rules": quality_query,
         "op10_parity_join": parity_join_query,
+        "op11_chunk_recipes": chunk_recipes_query,
+        "op12_lexical_rank": lexical_rank_query,
+        "op13_fill_in_middle": fill_in_middle_query,
     }
 
 
