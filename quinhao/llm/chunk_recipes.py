@@ -1,10 +1,11 @@
 """Exact copies found by recipes of content-defined chunks, in DataFrame operations only.
 
 A text is cut into pieces (a word with the white space after it, 32 characters of a longer one), and
-a chunk ends after a piece whose hash says so, every 128th on average, or after MOST pieces. Equal
-chunks of a task are put together before anything moves, so text that many documents share moves
-once from each task; what remains of a document after that is its recipe, the list of its chunks'
-identifiers, at about a hundredth of its size. Copies are rows with equal recipes.
+a chunk ends after a piece whose hash says so, every 128th on average, or MOST pieces after the
+last one did. Equal chunks of a task are put together before anything moves, so text that many
+documents share moves once from each task; what remains of a document after that is its recipe, the
+list of its chunks' identifiers, at about a hundredth of its size. Copies are rows with equal
+recipes.
 
 Identifiers are verified: where two different chunks have one hash, they are numbered, and the
 number is part of the identifier. So equal recipes mean equal texts, whatever the hash does.
@@ -30,16 +31,23 @@ MOST = 1024  # pieces in a chunk
 def cut_chunks(docs: DataFrame, *columns: str | Column, hash_bits: int = 64) -> DataFrame:
     """``columns`` of ``docs`` with ``chunks``, the parts of the text in order, and their ``hashes``.
 
-    Fewer ``hash_bits`` make different chunks meet, which changes no result.
+    Fewer ``hash_bits`` make different chunks meet, which changes no result. Store the result before
+    it is read twice: a filter moved below these steps would repeat them for every piece.
     """
     whole = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")
     pieces = docs.select(*columns, whole).select(
         "*", F.regexp_extract_all("_text", F.lit(PIECE), F.lit(0)).alias("_pieces")
     )
-    ends = F.expr(
+    hits = F.expr(
         f"""filter(transform(_pieces, (p, i) ->
-              CASE WHEN i + 1 = size(_pieces) OR (i + 1) % {MOST} = 0
-                     OR pmod(xxhash64(p), {EVERY}) = 0 THEN i + 1 END), e -> e IS NOT NULL)"""
+              CASE WHEN i + 1 = size(_pieces) OR pmod(xxhash64(p), {EVERY}) = 0 THEN i + 1 END),
+              e -> e IS NOT NULL)"""
+    )
+    ends = F.expr(  # a long way to the next hit is cut into equal steps from the last one
+        f"""flatten(transform(_hits, (e, k) ->
+              CASE WHEN e - coalesce(get(_hits, k - 1), 0) <= {MOST} THEN array(e)
+                ELSE concat(sequence(coalesce(get(_hits, k - 1), 0) + {MOST}, e - 1, {MOST}),
+                            array(e)) END))"""
     )
     chunks = F.expr(
         """transform(_ends, (e, k) ->
@@ -48,17 +56,18 @@ def cut_chunks(docs: DataFrame, *columns: str | Column, hash_bits: int = 64) ->
     )
     short = f"shiftright(xxhash64(c), {64 - hash_bits})"
     return (
-        pieces.select("*", ends.alias("_ends"))
+        pieces.select("*", hits.alias("_hits"))
+        .select("*", ends.alias("_ends"))
         .select("*", chunks.alias("chunks"))
         .select("*", F.expr(f"transform(chunks, c -> {short})").alias("hashes"))
-        .drop("_text", "_pieces", "_ends")
+        .drop("_text", "_pieces", "_hits", "_ends")
     )
 
 
 def chunk_store(chunked: DataFrame) -> DataFrame:
     """(hash, chunk, uses): every different chunk once. Tasks put their own together first."""
-    used = chunked.select(F.explode(F.arrays_zip("hashes", "chunks")).alias("c"))
-    return used.groupBy(F.col("c.hashes").alias("hash"), F.col("c.chunks").alias("chunk")).agg(
+    used = chunked.select(F.explode_outer(F.arrays_zip("hashes", "chunks")).alias("c"))
+    return used.where("c IS NOT NULL").groupBy(F.col("c.hashes").alias("hash"), F.col("c.chunks").alias("chunk")).agg(
         F.count(F.lit(1)).alias("uses")
     )
 
@@ -164,8 +173,8 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
 def restored(chunked: DataFrame, store: DataFrame) -> DataFrame:
     """(row, text) put together again from ``hashes`` and a chunk store without crowded hashes."""
-    places = chunked.select("row", F.posexplode("hashes").alias("place", "hash"))
-    parts = places.join(store.select("hash", "chunk"), "hash").groupBy("row")
+    places = chunked.select("row", F.posexplode_outer("hashes").alias("place", "hash"))
+    parts = places.join(store.select("hash", "chunk"), "hash", "left").groupBy("row")
     return parts.agg(F.array_sort(F.collect_list(F.struct("place", "chunk"))).alias("c")).select(
         "row", F.array_join("c.chunk", "").alias("text")
     )

@@ -36,7 +36,7 @@ SEGMENT_DOCS = 8192
 SEGMENT_WORDS = 1 << 18  # a segment ends with the document that reaches this
 BLOCK_TERMS = 20_000  # terms of items in a block, on average
 MOST_BLOCKS = 8  # blocks that a task has scores of at once; beyond, it hands them on
-STEP = 128  # documents scored at once, at least
+STEP = 128  # documents of small groups that are scored at once
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _KEEP = bytes(range(0x80, 0x100)) + b"0123456789" + LOWER.encode()
@@ -166,13 +166,12 @@ def scan(segment: Segment, weights: dict[bytes, int], best: Best) -> int:
     starts = np.cumsum(sizes) - sizes
     scored, at = 0, 0
     while at < len(order) and bound[order[at]] >= best.floor:
-        end, chosen = at, []
-        while end < len(order) and bound[order[end]] >= best.floor:
-            g = order[end]
-            chosen.append(members[starts[g] : starts[g] + sizes[g]])
+        end = at + 1  # a group that is large alone, or some that are small together
+        held_docs = sizes[order[at]]
+        while end < len(order) and held_docs + sizes[order[end]] <= STEP:
+            held_docs += sizes[order[end]]
             end += 1
-            if sum(map(len, chosen)) >= STEP:
-                break
+        chosen = [members[starts[g] : starts[g] + sizes[g]] for g in order[at:end]]
         docs = np.concatenate(chosen)
         scores = np.zeros(len(docs), np.int64)
         for places, part, weight in held:
