@@ -340,7 +340,7 @@ def oracle_sql() -> dict[str, str]:
             f" AND a.id_usuario = p.id_usuario), 0) AS {col}"
             for c, col in R.BONUS_COLUMNS.items()
         )}
-        FROM roster p, (VALUES (199603), (199604)) AS m(period))""",
+        FROM roster p, (SELECT DISTINCT period FROM payroll_production) m)""",
     )
     monthly = monthly.replace(
         "JOIN bonus_wide b USING (id_usuario)", "JOIN bonus_wide b USING (period, id_usuario)"
@@ -349,6 +349,36 @@ def oracle_sql() -> dict[str, str]:
         "LEFT JOIN monthly_adjustments j USING (period, id_usuario)",
     )
 
+    by_month = {
+        "movimento_caixa": (_period("data"), "movimento_caixa"),
+        "livros_notas": (_period("data_reg"), "livros_notas"),
+        "item_movimento_caixa": (
+            _period("m.data"), "item_movimento_caixa LEFT JOIN movimento_caixa m USING (id_mov_caixa)"
+        ),
+        "recibo": (f"CASE WHEN arquivado = 'True' THEN {_period('data_arquivado')} END", "recibo"),
+        "item_recibo": (
+            f"CASE WHEN r.arquivado = 'True' THEN {_period('r.data_arquivado')} END",
+            "item_recibo LEFT JOIN recibo r USING (id_recibo)",
+        ),
+        "recepcao_titulo": ("home", "recepcao_titulo LEFT JOIN homes USING (id_recepcao)"),
+        "recepcao_anotacoes": ("home", "recepcao_anotacoes LEFT JOIN homes USING (id_recepcao)"),
+    }
+    layout = (
+        _with(
+            BINDINGS,
+            f"""homes AS (SELECT id_recepcao, COALESCE(MIN(moved), MIN(book)) AS home FROM (
+            SELECT id_recepcao, {_period("data")} AS moved, NULL AS book FROM movimento_caixa
+            UNION ALL SELECT id_recepcao, NULL, {_period("data_reg")} FROM livros_notas)
+            GROUP BY id_recepcao)""",
+        )
+        + " UNION ALL ".join(
+            f"SELECT '{name}' AS \"table\", COALESCE({period}, 0) AS period, COUNT(*) AS n, "
+            + ("CAST(SUM(taxa_1) AS DOUBLE)" if "item" in name else "CAST(NULL AS DOUBLE)")
+            + f" AS fees FROM {source} GROUP BY COALESCE({period}, 0)"
+            for name, (period, source) in by_month.items()
+        )
+    )
+
     names = " ".join(
         f"WHEN {i} THEN '{name}'" for i, name in enumerate(R.MONTH_NAMES, start=1)
     )
@@ -450,6 +480,10 @@ def oracle_sql() -> dict[str, str]:
         "payroll_month": _with(*PAYROLL_PARTS)
         + PAY_SELECT
         + f" FROM payroll WHERE period = {MONTH}",
+        "payroll_layout": _with(*PAYROLL_PARTS)
+        + PAY_SELECT
+        + f" FROM payroll WHERE period = {MONTH}",
+        "layout_tables": layout,
         "payroll_all": _with(*PAYROLL_PARTS) + PAY_SELECT + " FROM payroll",
         "payroll_export": _with(*PAYROLL_PARTS)
         + "SELECT period, id_usuario, nome_funcionario, "

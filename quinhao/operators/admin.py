@@ -14,17 +14,21 @@ from quinhao.rules import ADMIN_SHARE
 
 
 def admin_pool(
-    recibo: DataFrame, item_recibo: DataFrame, as_of: dt.date | None = None
+    recibo: DataFrame,
+    item_recibo: DataFrame,
+    as_of: dt.date | None = None,
+    bounds: bool = True,
 ) -> DataFrame:
     """One row: fees of receipts archived in the month of ``as_of`` (default: this month).
 
-    Items outside the range of the month's receipts are not read. Items are summed per receipt
-    before they move, so a huge receipt is one row in the join.
+    Items outside the range of the month's receipts are not read; turn these ``bounds`` off where
+    the items come from partitions of the month. Items are summed per receipt before they move, so a
+    huge receipt is one row in the join.
     """
     archived = recibo.where(
         (F.col("arquivado") == "True") & in_month_of(F.col("data_arquivado"), as_of)
     ).select("id_recibo")
-    items = within_bounds(item_recibo, archived, "id_recibo")
+    items = within_bounds(item_recibo, archived, "id_recibo") if bounds else item_recibo
     per_receipt = items.groupBy("id_recibo").agg(money_sum("taxa_1").alias("fees"))
     return per_receipt.join(archived, "id_recibo").agg(money_sum("fees").alias("fees"))
 

@@ -114,16 +114,6 @@ def proved_acts(pairs: DataFrame, sector_acts: DataFrame) -> DataFrame:
     )
 
 
-def fees_by_reception(movimento: DataFrame, item: DataFrame) -> DataFrame:
-    """Fees of all settled movements of a reception; receptions without one are left out."""
-    per_movement = item.groupBy("id_mov_caixa").agg(money_sum("taxa_1").alias("fees"))
-    return (
-        per_movement.join(settled_movements(movimento), "id_mov_caixa")
-        .groupBy("id_recepcao")
-        .agg(money_sum("fees").alias("fees"))
-    )
-
-
 def settled_movements(movimento: DataFrame) -> DataFrame:
     return movimento.where(F.col("situacao_pgto") == "Liquidado").select(
         "id_mov_caixa", "id_recepcao"

@@ -41,21 +41,12 @@ def fee_acts(
     the movements reuse the partitioning of their sums.
     """
     sectors = transaction_sectors(transacao, grupo, sector_groups)
-    names = sorted({row.sector for row in sector_groups.select("sector").collect()})
-    items = item.select("id_mov_caixa", "id_transacao", "qtde_ato", "taxa_1")
-    if not engine_broadcasts(sectors):  # the items move, so equal ones are added up first
-        items = _lines(items)
-    else:
-        items = items.withColumns({"items": F.lit(1)})
-    per_movement = (
-        lookup_join(items, sectors, "id_transacao", "inner", by=["id_mov_caixa"])
-        .groupBy("id_mov_caixa")
-        .agg(*[c for i, name in enumerate(names) for c in _sums_of(i, F.col("sector") == name)])
-    )
+    names = sector_names(sector_groups)
+    per_movement = movement_sums(item, sectors, names, "inner")
     dated = movimento.where(in_period(F.col("data"), period)).select(
         "id_mov_caixa", "id_recepcao", period_of(F.col("data")).alias("period")
     )
-    added = [c for i in range(len(names)) for c in _added(i)]
+    added = added_up(names)
     per_reception = (
         per_movement.join(dated, "id_mov_caixa").groupBy("id_recepcao", "period").agg(*added)
     )
@@ -64,23 +55,61 @@ def fee_acts(
         .groupBy("period", "id_usuario")
         .agg(*added)
     )
-    rows = F.inline(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("sector"),
-                    F.col(f"acts_{i}").cast("double").alias("acts"),
-                    F.col(f"fees_{i}").alias("fees"),
-                    F.col(f"items_{i}").alias("items"),
-                )
-                for i, name in enumerate(names)
-            ]
+    return (
+        per_user.select("period", "id_usuario", F.inline(sector_rows(names)))
+        .where(F.col("items") > 0)
+        .select(
+            "period",
+            "sector",
+            F.lit(FEE_STAGE).alias("stage"),
+            "id_usuario",
+            F.col("acts").cast("double").alias("acts"),
+            "fees",
         )
     )
+
+
+def sector_names(sector_groups: DataFrame) -> list[str]:
+    return sorted({row.sector for row in sector_groups.select("sector").collect()})
+
+
+def movement_sums(
+    item: DataFrame, sectors: DataFrame, names: list[str], how: str, *more: Column
+) -> DataFrame:
+    """Per movement: acts, fees and number of the items of each sector, in columns of its own.
+
+    An "inner" join leaves out items of no sector; a "left" one keeps them for the sums ``more``.
+    """
+    items = item.select("id_mov_caixa", "id_transacao", "qtde_ato", "taxa_1")
+    if not engine_broadcasts(sectors):  # the items move, so equal ones are added up first
+        items = _lines(items)
+    else:
+        items = items.withColumns({"items": F.lit(1)})
+    of_sector = [c for i, name in enumerate(names) for c in _sums_of(i, F.col("sector") == name)]
     return (
-        per_user.select("period", "id_usuario", rows)
-        .where(F.col("items") > 0)
-        .select("period", "sector", F.lit(FEE_STAGE).alias("stage"), "id_usuario", "acts", "fees")
+        lookup_join(items, sectors, "id_transacao", how, by=["id_mov_caixa"])
+        .groupBy("id_mov_caixa")
+        .agg(*of_sector, *more)
+    )
+
+
+def added_up(names: list[str]) -> list[Column]:
+    """The columns of ``movement_sums``, added up."""
+    return [c for i in range(len(names)) for c in _added(i)]
+
+
+def sector_rows(names: list[str]) -> Column:
+    """The columns of ``movement_sums`` as an array of (sector, acts, fees, items)."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("sector"),
+                F.col(f"acts_{i}").alias("acts"),
+                F.col(f"fees_{i}").alias("fees"),
+                F.col(f"items_{i}").alias("items"),
+            )
+            for i, name in enumerate(names)
+        ]
     )
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quinhao.functions.money import money_sum, net, or_zero
 from quinhao.rules import SECTORS, TOP_FACTOR
 
+POOL = ["period", "sector", "stage"]
+
 # Totals and maxima hold one row per calendar month, sector and stage: their size depends on
 # the calendar and the rules, not on the rows behind them, so they may be broadcast.
 
@@ -26,21 +28,63 @@ def sector_totals(acts: DataFrame) -> DataFrame:
 def pool_allocation(acts: DataFrame, totals: DataFrame, rules: DataFrame) -> DataFrame:
     """Each producer's part: net fees times share of acts times margin percent.
 
-    ``acts`` holds every producer, on the roster or not. It is read here and behind ``totals``,
-    so pass a stored table when it is costly.
+    ``acts`` holds every producer, on the roster or not. For totals that exist already; where they
+    come from the same acts, ``share_out`` reads these once.
     """
-    keys = ["period", "sector", "stage"]
-    share = F.try_divide(F.col("acts"), F.col("total_acts"))
+    both = acts.select(*POOL, "id_usuario", "acts").join(
+        F.broadcast(totals.select(*POOL, "total_acts", "net")), POOL
+    )
+    return _shares(both, rules)
+
+
+def share_out(acts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``pool_allocation`` by the acts' own totals, from rows that may still have to be added up."""
+    return _shares(with_totals(acts), rules)
+
+
+def with_totals(acts: DataFrame) -> DataFrame:
+    """Acts per (period, sector, stage, user), with net fees and acts of their pool beside them.
+
+    One aggregation yields producers and totals together, so ``acts`` is read once. A total then
+    goes to every slice of its pool, and producers meet it in the slice that their id is dealt to:
+    the window over a slice holds a part of a pool's producers, however many these are.
+    """
+    slices = int(acts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pool, user = [F.col(c) for c in POOL], F.col("id_usuario")
+    whole = F.col("_whole") == 1
+    every = F.sequence(F.lit(0), F.lit(slices - 1))
+    own = F.array(F.pmod(F.xxhash64(user), F.lit(slices)).cast("int"))
+    dealt = (
+        acts.groupingSets([[*pool, user], pool], *pool, user)
+        .agg(
+            F.sum("acts").cast("double").alias("acts"),
+            money_sum("fees").alias("fees"),
+            F.grouping("id_usuario").alias("_whole"),
+        )
+        .withColumn("_slice", F.explode(F.when(whole, every).otherwise(own)))
+    )
+    there = Window.partitionBy(*POOL, "_slice")
     return (
-        acts.select(*keys, "id_usuario", "acts")
-        .join(F.broadcast(totals.select(*keys, "total_acts", "net")), keys)
-        .join(F.broadcast(rules.select("sector", "stage", "margin")), ["sector", "stage"])
-        .select(
-            *keys,
-            "id_usuario",
-            "acts",
-            (F.col("net").cast("double") * share * F.col("margin") / 100).alias("production"),
+        dealt.withColumns(
+            {
+                "total_acts": F.max(F.when(whole, F.col("acts"))).over(there),
+                "net": net(F.max(F.when(whole, F.col("fees"))).over(there)),
+            }
         )
+        .where(~whole)
+        .select(*POOL, "id_usuario", "acts", "total_acts", "net")
+    )
+
+
+def _shares(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    share = F.try_divide(F.col("acts"), F.col("total_acts"))
+    return rows.join(
+        F.broadcast(rules.select("sector", "stage", "margin")), ["sector", "stage"]
+    ).select(
+        *POOL,
+        "id_usuario",
+        "acts",
+        (F.col("net").cast("double") * share * F.col("margin") / 100).alias("production"),
     )
 
 
@@ -101,14 +145,13 @@ def boosted_total(
             for s in sectors
         ]
     )
-    tops = wide.groupBy("period").agg(
-        *[F.max(s).alias(f"top_{s}") for s in sectors if s in boosted]
-    )
+    # all maxima, also where nothing is boosted: then both sides of the join need the same sums,
+    # and the engine makes these once
+    tops = wide.groupBy("period").agg(*[F.max(s).alias(f"top_{s}") for s in sectors])
     total = F.lit(0.0)
     for s in sectors:
-        value = F.col(s)
-        if s in boosted:
-            value = F.when(value == F.col(f"top_{s}"), value * F.lit(factor)).otherwise(value)
+        value, times = F.col(s), F.lit(factor if s in boosted else 1.0)
+        value = F.when(value == F.col(f"top_{s}"), value * times).otherwise(value)
         total = total + or_zero(value)
     return wide.join(F.broadcast(tops), "period").select(
         "period", "id_usuario", total.alias("production")

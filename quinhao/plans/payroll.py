@@ -77,7 +77,8 @@ def run_rates(
     fixed = R.bonus_rates(roster.sparkSession, values)
     if values and "adm" in values:
         return fixed
-    share = admin_share(admin_pool(t.recibo, t.item_recibo, as_of), inputs.bonus_assignment, roster)
+    pool = admin_pool(t.recibo, t.item_recibo, as_of, bounds=not t.pruned)
+    share = admin_share(pool, inputs.bonus_assignment, roster)
     return fixed.unionByName(share.select(F.lit("adm").alias("category"), "value"))
 
 

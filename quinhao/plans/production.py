@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from quinhao import rules as R
 from quinhao.functions.periods import in_period, period_of
+from quinhao.operators.acts import act_rows, add_up
 from quinhao.operators.deeds import deed_acts, stage_pairs
 from quinhao.operators.fees import fee_acts
 from quinhao.operators.lookup import within_bounds
 from quinhao.operators.pool import (
     boosted_total,
-    pool_allocation,
     sector_production,
-    sector_totals,
+    share_out,
     top_boost,
 )
 from quinhao.schemas import Tables
@@ -36,7 +36,7 @@ def active_periods(t: Tables, period: int | None = None) -> DataFrame:
 
 def all_fee_acts(t: Tables, period: int | None = None) -> DataFrame:
     item = t.item_movimento_caixa
-    if period is not None:
+    if period is not None and not t.pruned:
         month = t.movimento_caixa.where(in_period(F.col("data"), period))
         item = within_bounds(item, month, "id_mov_caixa")
     return fee_acts(
@@ -53,7 +53,7 @@ def all_fee_acts(t: Tables, period: int | None = None) -> DataFrame:
 def all_deed_acts(t: Tables, period: int | None = None) -> DataFrame:
     movimento, item = t.movimento_caixa, t.item_movimento_caixa
     anotacoes, livros = t.recepcao_anotacoes, t.livros_notas
-    if period is not None:
+    if period is not None and not t.pruned:
         livros = livros.where(in_period(F.col("data_reg"), period))
         paid = movimento.join(livros.select("id_recepcao"), "id_recepcao", "left_semi")
         item = within_bounds(item, paid, "id_mov_caixa")
@@ -63,19 +63,40 @@ def all_deed_acts(t: Tables, period: int | None = None) -> DataFrame:
     return deed_acts(movimento, item, pairs, R.sector_acts(livros.sparkSession))
 
 
+def all_act_rows(t: Tables, period: int | None = None) -> DataFrame:
+    """What makes up the acts and fees of all six sectors; the items are read once."""
+    movimento, item = t.movimento_caixa, t.item_movimento_caixa
+    anotacoes, livros = t.recepcao_anotacoes, t.livros_notas
+    if period is not None and not t.pruned:
+        livros = livros.where(in_period(F.col("data_reg"), period))
+        month = in_period(F.col("data"), period)
+        paid = movimento.join(livros.select("id_recepcao"), "id_recepcao", "left_semi")
+        keys = movimento.where(month).select("id_mov_caixa").union(paid.select("id_mov_caixa"))
+        item = within_bounds(item, keys, "id_mov_caixa")
+        anotacoes = within_bounds(anotacoes, livros, "id_recepcao")
+        movimento = within_bounds(movimento, livros, "id_recepcao", or_where=month)
+    spark = livros.sparkSession
+    return act_rows(
+        movimento,
+        item,
+        t.recepcao_titulo,
+        t.transacao_ato,
+        t.grupo_ato,
+        stage_pairs(anotacoes, livros, period),
+        R.sector_groups(spark),
+        R.sector_acts(spark),
+        period,
+    )
+
+
 def all_acts(t: Tables, period: int | None = None) -> DataFrame:
     """Acts and fees of all six sectors, for one period or all."""
-    return all_fee_acts(t, period).unionByName(all_deed_acts(t, period))
+    return add_up(all_act_rows(t, period))
 
 
 def allocation(t: Tables, rules: DataFrame, period: int | None = None) -> DataFrame:
-    """Every producer's part of every pool.
-
-    The acts are the costly part and are read twice, for the totals and for the shares; both read
-    the same shuffled sums, so the engine makes these once. Nothing runs until the result is used.
-    """
-    acts = all_acts(t, period)
-    return pool_allocation(acts, sector_totals(acts), rules)
+    """Every producer's part of every pool. Nothing runs until the result is used."""
+    return share_out(all_act_rows(t, period), rules)
 
 
 def boosted_production(t: Tables, rules: DataFrame, period: int | None = None) -> DataFrame:

@@ -70,10 +70,14 @@ class _Named:
 
 
 class Tables(_Named):
-    """The eleven operational tables, each in the shape given by ``SCHEMAS``."""
+    """The eleven operational tables, each in the shape given by ``SCHEMAS``.
 
-    def __init__(self, load: Callable[[str], DataFrame]):
+    ``pruned`` tables hold no more than the partitions that one month's payroll needs.
+    """
+
+    def __init__(self, load: Callable[[str], DataFrame], pruned: bool = False):
         super().__init__(SCHEMAS, load)
+        self.pruned = pruned
 
 
 class Inputs(_Named):

@@ -25,20 +25,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/quinhao/{name}-{uuid.uuid4().hex}"
+_made: dict[str, list[str]] = {}  # application -> folders that were named for it
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, there until ``remove`` or ``release``."""
+    path = f"{shared_folder(spark)}/quinhao/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
-    For a costly table that a plan reads more than once: later readers prune its columns,
-    see its true size, and a lost executor does not send them back to the raw tables.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def release(spark: SparkSession) -> None:
+    """Remove everything this application stored, once no result is needed any more."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        remove(spark, path)
 
 
 @contextmanager
@@ -55,5 +55,8 @@ def stored(df: DataFrame, name: str) -> Iterator[DataFrame]:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, wherever Spark keeps it."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    if path in made:
+        made.remove(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

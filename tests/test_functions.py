@@ -1,12 +1,14 @@
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quinhao import session
 from quinhao.functions.money import half_even
 from quinhao.functions.periods import bounds, in_month_of, in_period, month_name
-from quinhao.session import materialize, shared_folder
+from quinhao.session import fresh_path, release, shared_folder, stored
 
 
 def test_half_even_is_numpy_rounding(spark):
@@ -43,9 +45,22 @@ def test_month_name(spark):
     assert {r[0] for r in df.collect()} == {"Março", "Dezembro"}
 
 
-def test_materialize_keeps_rows_and_types_in_the_shared_folder(spark):
+def test_stored_tables_are_in_the_shared_folder_and_go(spark):
     df = spark.sql("SELECT CAST(1.5 AS DECIMAL(28,2)) AS a, 'x' AS b, CAST(NULL AS INT) AS c")
-    stored = materialize(df, "t")
-    assert stored.dtypes == df.dtypes
-    assert stored.collect() == df.collect()
-    assert shared_folder(spark).split(":")[-1] in stored.inputFiles()[0]
+    with stored(df, "t") as there:
+        (file,) = there.inputFiles()
+        assert there.dtypes == df.dtypes and there.collect() == df.collect()
+        assert shared_folder(spark).split(":")[-1] in file
+        assert os.path.exists(file.removeprefix("file:").replace("///", "/"))
+    assert not os.path.exists(file.removeprefix("file:").replace("///", "/"))
+
+
+def test_release_removes_what_was_left(spark):
+    mine = [fresh_path(spark, "left") for _ in range(2)]
+    for path in mine:
+        spark.range(3).write.parquet(path)
+    others = session._made[spark.sparkContext.applicationId][:-2]
+    session._made[spark.sparkContext.applicationId] = mine[:]
+    release(spark)
+    session._made[spark.sparkContext.applicationId] = others
+    assert not any(os.path.exists(path.removeprefix("file:")) for path in mine)

@@ -1,0 +1,144 @@
+"""Tables laid out by month: nothing is lost, and a month reads what belongs to it."""
+
+import datetime as dt
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+from small import DAY, NEXT_MONTH, collect, fee, inputs, tables
+from test_scale import SF, brute_force, scans, skewed
+
+from quinhao.operators.admin import admin_pool
+from quinhao.plans import production as P
+from quinhao.plans.payroll import payroll
+from quinhao.schemas import SCHEMAS
+from quinhao.sources import layout, star
+
+OLD = dt.datetime(1999, 1, 5)
+
+
+@pytest.fixture(scope="module")
+def star_layout(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("layout"))
+    layout.write_layout(star.load_tables(spark, SF), root)
+    return root
+
+
+def test_every_row_is_kept(spark, tmp_path):
+    """Rows of unknown movements, receipts and receptions too, and those without a date."""
+    data = skewed()
+    data["movimento_caixa"] += [(9000, 5, None, "Liquidado"), (9001, None, DAY, None)]
+    data["item_movimento_caixa"] += [(99_999, 1, fee(3), 7), (None, 1, fee(3), None)]
+    data["livros_notas"] += [(8000, None, 270, 1), (8001, OLD, 270, 1)]
+    data["recibo"] = [(1, "True", DAY), (2, "False", DAY), (3, "True", None)]
+    data["item_recibo"] = [(1, fee(1)), (1, fee(1)), (2, fee(2)), (3, fee(4)), (4, fee(8))]
+    t = tables(spark, **data)
+    layout.write_layout(t, str(tmp_path))
+    back = layout.load_tables(spark, str(tmp_path))
+    for name, df in t.items():
+        got = getattr(back, name)
+        assert got.columns == SCHEMAS[name].names
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize("period", [202103, 202104, 202105])
+def test_month_against_brute_force(spark, tmp_path, period):
+    """Receptions have movements in other months than their books, and a third of them are one."""
+    data = skewed(seed=11)
+    layout.write_layout(tables(spark, **data), str(tmp_path))
+    month = layout.load_month(spark, str(tmp_path), period)
+    got = collect(
+        P.all_acts(month, period), "period", "sector", "stage", "id_usuario", "acts", "fees"
+    )
+    assert sorted(got) == [r for r in brute_force(data) if r[0] == period]
+
+
+def test_old_reception_adds_its_own_months_only(spark, tmp_path):
+    """Booked this month, with movements of 1999 and of next month, and noted in 1999."""
+    months = [dt.datetime(y, m, 3) for y in range(1999, 2022) for m in range(1, 13)]
+    data = {
+        "movimento_caixa": [(n, n, d, "Liquidado") for n, d in enumerate(months)]
+        + [(1000, 7777, OLD, "Liquidado"), (1001, 7777, NEXT_MONTH, "Liquidado")],
+        "item_movimento_caixa": [(n, 1, fee(1), 1) for n in range(len(months))]
+        + [(1000, 1, fee(10), 1), (1001, 1, fee(20), 1)],
+        "recepcao_titulo": [(7777, 1)],
+        "recepcao_anotacoes": [(7777, 5, "Lavrado", "False")],
+        "livros_notas": [(7777, DAY, 270, 1)],
+    }
+    layout.write_layout(tables(spark, **data), str(tmp_path))
+    month = layout.load_month(spark, str(tmp_path), 202103)
+    days = {r.data for r in month.movimento_caixa.collect()}
+    assert {(d.year, d.month) for d in days} == {(1999, 1), (2021, 3), (2021, 4)}
+    assert month.item_movimento_caixa.count() == 3 + 2
+    (deed,) = P.all_deed_acts(month, 202103).collect()
+    assert (deed.id_usuario, deed.acts, deed.fees) == (5, 1.0, fee(30))
+
+
+def test_receipt_archived_late_adds_no_range(spark, tmp_path):
+    """An outlying key: the least receipt is archived in the month of the largest ones."""
+    receipts = [(n, "True", dt.datetime(2000 + n // 12, n % 12 + 1, 2)) for n in range(1, 240)]
+    receipts.append((0, "True", receipts[-1][2]))
+    data = {"recibo": receipts, "item_recibo": [(n, fee(n)) for n in range(240)]}
+    layout.write_layout(tables(spark, **data), str(tmp_path))
+    day = receipts[-1][2].date()
+    month = layout.load_month(spark, str(tmp_path), 202103, day)
+    assert month.item_recibo.count() == 2
+    pool = admin_pool(month.recibo, month.item_recibo, day, bounds=False)
+    assert pool.first().fees == fee(239)
+    whole = tables(spark, **data)
+    assert admin_pool(whole.recibo, whole.item_recibo, day).first().fees == fee(239)
+
+
+def test_payroll_from_the_layout(spark, star_layout):
+    t, entered = star.load_tables(spark, SF), star.load_inputs(spark, SF)
+    day = dt.date(1996, 3, 15)
+    month = layout.load_month(spark, star_layout, 199603, day)
+    got = payroll(month, entered, period=199603, as_of=day)
+    assert collect(got) == collect(payroll(t, entered, period=199603, as_of=day))
+    every = layout.load_tables(spark, star_layout)
+    assert collect(payroll(every, entered, as_of=day)) == collect(payroll(t, entered, as_of=day))
+
+
+def rows_read(df) -> int:
+    df.collect()
+
+    def count(node):
+        kind = node.getClass().getSimpleName()
+        if kind.startswith("Reused"):
+            return 0
+        if kind == "AdaptiveSparkPlanExec":
+            return count(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return count(node.plan())
+        own = 0
+        if kind == "FileSourceScanExec":
+            own = node.metrics().apply("numOutputRows").value()
+        below = [s.apply(i) for s in (node.children(), node.subqueries()) for i in range(s.size())]
+        return own + sum(map(count, below))
+
+    return count(df._jdf.queryExecution().executedPlan())
+
+
+def test_a_month_reads_under_a_tenth_of_all_months(spark, star_layout):
+    entered = star.load_inputs(spark, SF)
+    day = dt.date(1996, 3, 15)
+    month = layout.load_month(spark, star_layout, 199603, day)
+    every = layout.load_tables(spark, star_layout)
+    one = rows_read(payroll(month, entered, period=199603, as_of=day))
+    assert 0 < 10 * one < rows_read(payroll(every, entered, as_of=day))
+
+
+def test_partitions_are_pruned_when_the_query_runs(spark, star_layout):
+    month = layout.load_month(spark, star_layout, 199603)
+    for df in (month.item_movimento_caixa, month.recepcao_anotacoes, month.recepcao_titulo):
+        df.collect()
+        found = scans(df._jdf.queryExecution().executedPlan())
+        assert any("dynamicpruning" in s for s in found)
+
+
+def test_empty_layout(spark, tmp_path):
+    t = tables(spark)
+    layout.write_layout(t, str(tmp_path))
+    month = layout.load_month(spark, str(tmp_path), 202103)
+    assert P.all_acts(month, 202103).collect() == []
+    assert payroll(month, inputs(spark), period=202103).collect() == []
