@@ -13,7 +13,7 @@ documents never move.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 
@@ -31,6 +31,8 @@ LEAST = 20  # shorter items are searched without edits, as whole words
 BLOCK_CHARS = 1_000_000  # characters of the benchmark searched at once
 PIECE = 1 << 13  # characters of a long document looked at a time
 SIEVE_BITS = 22
+ALIGNED = 2048  # candidates aligned at once
+POINTS_EACH = 1 << 12  # characters held that count as much as one
 
 
 def normal(text: str | None) -> str:
@@ -191,34 +193,99 @@ def prepare(rows: list[tuple]) -> Windows:
     )
 
 
-def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, limit: int) -> int:
-    """Fewest edits between the pattern and any part of ``text`` on diagonals low to high.
+def align(
+    patterns: np.ndarray, texts: list[np.ndarray], lows: np.ndarray, width: int, limit: int
+) -> np.ndarray:
+    """For each pattern, the fewest edits to any part of its text in a band of diagonals.
 
-    The alignment may start anywhere on these; only cells of the band are filled. A result
-    above ``limit`` says no more than that.
+    The band starts at diagonal ``lows`` and is ``width`` wide; an alignment may start on any of
+    these and may leave them by ``limit``. Patterns are rows of equal length, and one step fills one
+    row of cells of them all. Those with more than ``limit`` edits everywhere are given up on the
+    way; a result above ``limit`` says no more than that.
     """
-    low, high = low - limit, high + limit
-    width = high - low + 1
-    padded = np.full(width + len(pattern), 0xFFFFFFFF, dtype=np.uint32)  # matches nothing
-    start, end = max(low, 0), min(low + len(padded), len(text))
-    if end > start:
-        padded[start - low : end - low] = text[start:end]
-    steps = np.arange(width)
-    row = np.zeros(width, dtype=np.int64)
-    for k, point in enumerate(pattern):
-        new = row + (padded[k : k + width] != point)
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        row = np.minimum.accumulate(new - steps) + steps
-        if k & 15 == 15 and row.min() > limit:
-            break
-    return int(row.min())
-
-
-def matches(points: np.ndarray, w: Windows) -> Iterator[tuple[int, int, int]]:
-    """(window, place, edits) of verified windows in a normalised document, one per item."""
-    done = set()
-    yield from _near(points, w, done)
-    yield from _equal(points, w, done)
+    n, length = patterns.shape
+    width += 2 * limit
+    padded = np.full((n, width + length), 0xFFFFFFFF, dtype=np.uint32)  # matches nothing
+    for own, text, low in zip(padded, texts, (lows - limit).tolist()):
+        start, end = max(low, 0), min(low + width + length, len(text))
+        if end > start:
+            own[start - low : end - low] = text[start:end]
+    out = np.full(n, limit + 1, dtype=np.int64)
+    alive = np.arange(n)
+    steps = np.arange(width, dtype=np.int16)
+    row = np.zeros((n, width), dtype=np.int16)
+    for k in range(length):
+        new = row + (padded[:, k : k + width] != patterns[:, k : k + 1])
+        np.minimum(new[:, :-1], row[:, 1:] + np.int16(1), out=new[:, :-1])
+        new -= steps
+        np.minimum.accumulate(new, axis=1, out=new)
+        row = new + steps
+        if k & 7 == 7:
+            near = row.min(axis=1) <= limit
+            if not near.all():
+                alive, row, padded, patterns = alive[near], row[near], padded[near], patterns[near]
+                if not len(alive):
+                    return out
+    out[alive] = row.min(axis=1)
+    return out
+
+
+@dataclass
+class Candidate:
+    """A window that shares enough q-grams with a part of a document, in a band of diagonals."""
+
+    number: int  # of the window
+    low: int  # first diagonal of the band
+    piece: int  # where the part starts in the document
+    part: np.ndarray
+
+
+def verify(found: list[Candidate], w: Windows) -> np.ndarray:
+    """Edits of each candidate, all of one length and number of edits at once."""
+    edits = np.zeros(len(found), dtype=np.int64)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, c in enumerate(found):
+        groups.setdefault((len(w.points[c.number]), int(w.edits[c.number])), []).append(k)
+    for (_, limit), own in groups.items():
+        for start in range(0, len(own), ALIGNED):
+            some = own[start : start + ALIGNED]
+            edits[some] = align(
+                np.stack([w.points[found[k].number] for k in some]),
+                [found[k].part for k in some],
+                np.array([found[k].low for k in some]),
+                2 * (2 * limit + 1),
+                limit,
+            )
+    return edits
+
+
+def matches(texts: Iterable[np.ndarray], w: Windows) -> Iterator[list[tuple[int, int, int]]]:
+    """For each normalised document, (window, place, edits) of verified windows, one per item.
+
+    Candidates of many documents are aligned together.
+    """
+    held: list[tuple[np.ndarray, list[Candidate]]] = []
+    size = 0
+    for points in texts:
+        held.append((points, list(_near(points, w))))
+        size += len(held[-1][1]) + len(points) // POINTS_EACH
+        if size >= ALIGNED:
+            yield from _verified(held, w)
+            held, size = [], 0
+    yield from _verified(held, w)
+
+
+def _verified(held, w: Windows) -> Iterator[list[tuple[int, int, int]]]:
+    edits = iter(verify([c for _, found in held for c in found], w).tolist())
+    for points, found in held:
+        done, rows = set(), []
+        for c in found:
+            n = next(edits)
+            if n <= w.edits[c.number] and w.items[c.number] not in done:
+                done.add(w.items[c.number])
+                rows.append((c.number, c.piece + max(c.low, 0), n))
+        rows += _equal(points, w, done)
+        yield rows
 
 
 def _equal(points: np.ndarray, w: Windows, done: set) -> Iterator[tuple[int, int, int]]:
@@ -251,8 +318,8 @@ def _equal(points: np.ndarray, w: Windows, done: set) -> Iterator[tuple[int, int
                 yield from found(piece, part, starts, starts + n, *own)
 
 
-def _near(points: np.ndarray, w: Windows, done: set) -> Iterator[tuple[int, int, int]]:
-    """Windows within their edits."""
+def _near(points: np.ndarray, w: Windows) -> Iterator[Candidate]:
+    """Windows that share enough q-grams to be within their edits."""
     if not len(w.known) or len(points) < Q:
         return
     for piece in range(0, len(points), PIECE):
@@ -275,32 +342,38 @@ def _near(points: np.ndarray, w: Windows, done: set) -> Iterator[tuple[int, int,
         window = w.window[entry]
         diagonal = np.repeat(at, counts) - w.place[entry] + WINDOW  # never negative
         step = 2 * w.edits[window] + 1
-        band = diagonal // step
         bands = len(part) + 2 * WINDOW
-        # band b holds the diagonals of steps b and b + 1
-        key = np.concatenate([window * bands + band, window * bands + band - 1])
-        order = np.argsort(key)
-        ranked = key[order]
+        cell = window * bands + diagonal // step + 1
+        # band b holds the diagonals of cells b and b + 1
+        ranked = np.sort(cell)
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        shared = np.diff(np.append(first, len(ranked)))
-        enough = shared >= w.least[ranked[first] // bands]
-        if not enough.any():
+        own = np.diff(np.append(first, len(ranked)))
+        cells = ranked[first]
+        joined = np.append(cells[1:] == cells[:-1] + 1, False)
+        shared = own + np.where(joined, np.append(own[1:], 0), 0)
+        enough = shared >= w.least[cells // bands]
+        # bands whose first cell is empty
+        alone = ~np.concatenate([[False], joined[:-1]]) & (own >= w.least[cells // bands])
+        band = np.union1d(cells[enough], cells[alone] - 1)
+        if not len(band):
             continue
-        order = order[np.repeat(enough, shared)]
         # a place of the window counts once, however often its q-gram comes up in the band
-        key = np.unique(key[order] * WINDOW + np.tile(w.place[entry], 2)[order]) // WINDOW
-        key, shared = np.unique(key, return_counts=True)
-        found, band = key // bands, key % bands
-        for number, b in zip(*(x[shared >= w.least[found]].tolist() for x in (found, band))):
-            if w.items[number] in done:
-                continue
-            limit = int(w.edits[number])
-            step = 2 * limit + 1
-            low = b * step - WINDOW
-            edits = align(w.points[number], part, low, low + 2 * step - 1, limit)
-            if edits <= limit:
-                done.add(w.items[number])
-                yield number, piece + max(low, 0), edits
+        key = [
+            cell[mine] * WINDOW + w.place[entry[mine]] - after * WINDOW
+            for after in (0, 1)
+            for mine in [np.flatnonzero(_among(band, cell - after))]
+        ]
+        key, shared = np.unique(np.unique(np.concatenate(key)) // WINDOW, return_counts=True)
+        number = key // bands
+        chosen = shared >= w.least[number]
+        for n, b in zip(number[chosen].tolist(), (key % bands)[chosen].tolist(), strict=True):
+            step = 2 * int(w.edits[n]) + 1
+            yield Candidate(n, (b - 1) * step - WINDOW, piece, part)
+
+
+def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted ``known``."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Windows]:
@@ -338,12 +411,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, shared=shared):
             w = shared.value
             for batch in batches:
+                ids = batch.column(0).to_pylist()
+                texts = (codes(normal(t)) for t in batch.column(1).to_pylist())
                 rows = [
                     (doc_id, w.items[k], int(w.offsets[k]), place, edits)
-                    for doc_id, text in zip(
-                        batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                    )
-                    for k, place, edits in matches(codes(normal(text)), w)
+                    for doc_id, found in zip(ids, matches(texts, w), strict=True)
+                    for k, place, edits in found
                 ]
                 columns = list(zip(*rows)) if rows else [()] * len(names)
                 yield pa.RecordBatch.from_arrays(
@@ -365,10 +438,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, shared=shared):
             w = shared.value
             for batch in batches:
-                clean = [
-                    next(matches(codes(normal(t)), w), None) is None
-                    for t in batch.column(at).to_pylist()
-                ]
+                texts = (codes(normal(t)) for t in batch.column(at).to_pylist())
+                clean = [not found for found in matches(texts, w)]
                 yield batch.filter(pa.array(clean, type=pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

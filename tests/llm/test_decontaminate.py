@@ -67,7 +67,7 @@ def test_found_just_where_a_window_is_within_its_edits(items):
             for k in range(len(w.items))
             if distance("".join(map(chr, w.points[k])), doc) <= w.edits[k]
         }
-        found = {w.items[k] for k, _, _ in dc.matches(dc.codes(doc), w)}
+        found = {w.items[k] for k, _, _ in next(dc.matches([dc.codes(doc)], w))}
         assert found == want, (trial, item)
 
 
@@ -81,11 +81,11 @@ def test_a_tenth_of_a_window_may_be_edited():
         for k in range(edits):
             body[k * 9] = "#"
         doc = dc.codes(text_of(rnd, 9) + " " + "".join(body) + " " + text_of(rnd, 9))
-        assert [w.items[k] for k, _, _ in dc.matches(doc, w)] == [1], edits
+        assert [w.items[k] for k, _, _ in next(dc.matches([doc], w))] == [1], edits
 
 
 def found_in(w, doc):
-    return {w.items[k] for k, _, _ in dc.matches(dc.codes(dc.normal(doc)), w)}
+    return {w.items[k] for k, _, _ in next(dc.matches([dc.codes(dc.normal(doc))], w))}
 
 
 def test_a_part_is_found_wherever_it_is_cut():
@@ -165,8 +165,26 @@ def test_band_alignment_equals_full_alignment():
         text = "".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 40)))
         pattern = "".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 25)))
         want = distance(pattern, text)
-        got = dc.align(dc.codes(pattern), dc.codes(text), -len(pattern), len(text), 25)
-        assert got == want
+        lows, width = np.array([-len(pattern)]), len(pattern) + len(text) + 1
+        got = dc.align(dc.codes(pattern)[None], [dc.codes(text)], lows, width, 25)
+        assert got == [want]
+
+
+def test_documents_aligned_together_are_aligned_each_for_itself(monkeypatch):
+    rnd = random.Random(8)
+    items = [(k, text_of(rnd, rnd.randrange(8, 60))) for k in range(12)]
+    w = dc.prepare(items)
+    docs = []
+    for k in range(60):
+        body = list(rnd.choice(items)[1])
+        for _ in range(rnd.randrange(0, 9)):
+            body[rnd.randrange(len(body))] = "#"
+        docs.append(dc.codes(dc.normal(text_of(rnd, 9) + " " + "".join(body) + " " + text_of(rnd, 9))))
+    together = list(dc.matches(docs, w))
+    assert together == [next(dc.matches([d], w)) for d in docs]
+    assert 5 < sum(map(bool, together))
+    monkeypatch.setattr(dc, "ALIGNED", 3)
+    assert list(dc.matches(docs, w)) == together
 
 
 def test_odd_rows_and_empty_tables(odd, empty, benchmark, spark):
