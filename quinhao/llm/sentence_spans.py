@@ -1,7 +1,6 @@
-"""Repeated passages, found as sliding spans of consecutive sentences.
+"""Repeated passages, found as sliding spans of consecutive clauses, parts of sentences.
 
-From every sentence on, the shortest run of at least two sentences and MIN_WORDS words is one
-span. Spans are hashed and joined over all documents; the first occurrence, that of the lowest
+From every clause on, the shortest run of at least two of them and MIN_WORDS words is one span. Spans are hashed and joined over all documents; the first occurrence, that of the lowest
 doc_id and then of the lowest place, stays, and the sentences of all others are removed.
 Sentences are first cut into clauses where their words say so, so that a passage has the same spans
 whatever stands before and after it in its first and last sentence, and text without full stops has
@@ -15,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,30 +92,39 @@ def spans(sentences: list[str], min_words: int = MIN_WORDS) -> list[tuple[int, i
 
 
 def _spans_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """(span, doc_id): the distinct spans of each row."""
+    """(span, doc_id, again): the distinct spans of each row, and those it has more than once."""
 
     def run(batches):
         for batch in batches:
-            ids, values = [], []
+            ids, values, marks = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {h for h, _, _ in spans(split_sentences(text), min_words)}
-                ids.append(np.full(len(own), doc_id, dtype=np.int64))
-                values.append(np.fromiter(own, dtype=np.int64, count=len(own)))
+                every = np.array(
+                    [h for h, _, _ in spans(split_sentences(text), min_words)], dtype=np.int64
+                )
+                own = np.unique(every)
+                repeats = len(own) < len(every)
+                ids.append(np.full(len(own) + repeats, doc_id, dtype=np.int64))
+                values += [own, own[:1]] if repeats else [own]
+                marks += [np.zeros(len(own), bool), np.ones(int(repeats), bool)]
             if ids:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(values)), pa.array(np.concatenate(ids))],
-                    names=["span", "doc_id"],
+                    [pa.array(np.concatenate(c)) for c in (values, ids, marks)],
+                    names=["span", "doc_id", "again"],
                 )
 
-    return docs.mapInArrow(run, "span bigint, doc_id bigint")
+    return docs.mapInArrow(run, "span bigint, doc_id bigint, again boolean")
 
 
 def later_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, spans): the spans of each document that a document of lower id has too."""
+    """(doc_id, spans): the spans of each document that a document of lower id has too.
+
+    Documents with a span of their own twice are there as well, with no spans if they share none.
+    """
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where(
         "doc_id IS NOT NULL AND text IS NOT NULL"
     )
-    found = materialize(_spans_of(texts, min_words), "spans")
+    stored = materialize(_spans_of(texts, min_words), "spans")
+    found = stored.where("NOT again").drop("again")
     # tasks keep one sum a span, so a frequent span is a few rows when it moves
     repeated = (
         found.groupBy("span")
@@ -124,12 +133,14 @@ def later_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     # the engine splits this join's large partitions, so a span that many documents share is
     # joined in several tasks
-    return (
+    later = (
         found.join(repeated.hint("shuffle_merge"), "span")
         .where("doc_id > first")
-        .groupBy("doc_id")
-        .agg(F.collect_set("span").alias("spans"))
+        .select("doc_id", "span")
     )
+    alone = stored.where("again").select("doc_id", F.lit(None).cast("bigint").alias("span"))
+    # a null is not collected
+    return later.union(alone).groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
 
 
 def without_repeats(
@@ -149,6 +160,7 @@ def without_repeats(
     )
     joined = docs.join(later, docs["doc_id"].cast("bigint") == F.col(key), "left").drop(key)
     at = docs.columns.index("text")
+    key_at = docs.columns.index("doc_id")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     fields = list(docs.schema.fields)
     fields[at] = T.StructField("text", T.StringType())
@@ -158,9 +170,11 @@ def without_repeats(
         fields += [T.StructField(c, T.LongType()) for c in ("n_sentences", "n_removed")]
     schema = T.StructType(fields)
 
-    def clean(text, known):
+    def clean(text, known, named):
         if text is None:
             return None, 0, 0
+        if known is None and named:  # nothing of it is there twice
+            return text, len(split_sentences(text)) if counts else 0, 0
         sentences = split_sentences(text)
         keep = [True] * len(sentences)
         seen = set(known or ())
@@ -176,7 +190,8 @@ def without_repeats(
     def run(batches):
         for batch in batches:
             known = batch.column(batch.num_columns - 1).to_pylist()
-            rows = [clean(t, k) for t, k in zip(batch.column(at).to_pylist(), known)]
+            named = pc.is_valid(batch.column(key_at)).to_pylist()
+            rows = [clean(*r) for r in zip(batch.column(at).to_pylist(), known, named)]
             columns = list(batch.columns[:-1])
             columns[at] = pa.array([r[0] for r in rows], type=pa.string())
             if chars is not None:
