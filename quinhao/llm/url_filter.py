@@ -4,25 +4,33 @@ One smoothed variable-order Markov model is counted on the URLs that rules accep
 those they reject. A context that was rarely seen leans on the next shorter one. The difference
 of the two log-likelihoods, divided by the URL's length, is compared with a threshold calibrated
 on labelled URLs that were not counted.
+
+The models are exact counts in a distributed table, one row for each different string of a byte and
+the five before it; they grow with the labelled URLs, and no task or driver holds a model. What a
+byte adds to a URL's score depends on that string alone, so each different one is scored once, by
+joins with the counts of its six endings, and URLs meet the scores of their strings in blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quinhao.llm.common import mix, utf8_rows
+from quinhao.llm.common import materialize, scratch, utf8_rows
 
 ORDERS = 6  # contexts of 0 to 5 bytes
-SLOTS = 1 << 15  # counters for each order and class: what the driver gathers is bounded by them
+SHORT = 2  # orders so low that all their strings, 256 and 65,536 at most, can be broadcast
 LEAN = 2.0  # weight of the shorter context, in counts
 FOLDS = 5  # one in so many labelled URLs calibrates instead of being counted
 STEP = 0.01  # grid of thresholds
 BOUND = 10.0
+BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 19  # URLs that meet their strings' scores together
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -51,101 +59,169 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> C
     return chain
 
 
-def _slots(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all bytes of the URLs: counters of context and of context with byte, by order; ends.
+def grams(rows: list[np.ndarray]) -> np.ndarray:
+    """For all bytes of the URLs, each with the five bytes before it: 48 bits, the byte lowest.
 
     Each URL is read after ORDERS - 1 zero bytes, so contexts never reach into its neighbour.
     """
     pad = np.zeros(ORDERS - 1, dtype=np.uint8)
-    data = np.concatenate([x for row in rows for x in (pad, row)]).astype(np.uint64)
-    sizes = np.array([len(r) for r in rows])
-    starts = np.cumsum(sizes + ORDERS - 1) - sizes
-    at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(
-        sizes.sum()
-    )
-    context = np.zeros(len(at), dtype=np.uint64)
-    contexts, grams = [], []
-    for order in range(ORDERS):
-        if order:
-            context = context | data[at - order] << np.uint64(8 * order)
-        tag = np.uint64(order + 1) << np.uint64(56)
-        contexts.append(mix(context | tag) % np.uint64(SLOTS))
-        tag = np.uint64(order + 17) << np.uint64(56)
-        grams.append(mix(context | data[at] | tag) % np.uint64(SLOTS))
-    return np.array(contexts, dtype=np.int64), np.array(grams, dtype=np.int64), np.cumsum(sizes)
-
-
-def count_grams(labelled: DataFrame) -> np.ndarray:
-    """Counters of (class, context or gram, order, slot), summed over ``(url, accepted)`` rows.
-
-    Each task adds up its own rows first; at most 2 * 2 * ORDERS * SLOTS sums reach the driver.
-    """
-    shape = (2, 2, ORDERS, SLOTS)
+    data = np.concatenate([pad, *[x for row in rows for x in (row, pad)]]).astype(np.int64)
+    gram = np.zeros(len(data), dtype=np.int64)
+    for back in range(ORDERS):
+        gram[back:] |= data[: len(data) - back] << (8 * back)
+    sizes = np.array([len(r) for r in rows], dtype=np.int64)
+    starts = np.cumsum(sizes + len(pad)) - sizes
+    shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    return gram[shift + np.arange(sizes.sum())]
+
+
+def count_grams(labelled: DataFrame) -> DataFrame:
+    """(gram, n_0, n_1): uses of each string in rejected and accepted ``(url, accepted)`` rows."""
 
     def run(batches):
-        sums = np.zeros(shape, dtype=np.int64)
         for batch in batches:
             accepted = np.array(batch.column(1).to_pylist(), dtype=bool)
             rows = list(utf8_rows(batch.column(0)))
-            for cls in (0, 1):
-                own = [r for r, a in zip(rows, accepted) if a == bool(cls) and len(r)]
-                if own:
-                    contexts, grams, _ = _slots(own)
-                    for order in range(ORDERS):
-                        for part, slots in ((0, contexts), (1, grams)):
-                            sums[cls, part, order] += np.bincount(slots[order], minlength=SLOTS)
-        flat = sums.ravel()
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at, type=pa.int64()), pa.array(flat[at], type=pa.int64())],
-            names=["slot", "n"],
-        )
+            mine = np.repeat(accepted, [len(r) for r in rows])
+            gram, place = np.unique(grams(rows), return_inverse=True)
+            sums = [np.bincount(place[mine == cls], minlength=len(gram)) for cls in (False, True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, type=pa.int64()) for x in (gram, *sums)], names=["gram", "n_0", "n_1"]
+            )
 
-    sums = (
+    return (
         labelled.select("url", "accepted")
-        .mapInArrow(run, "slot bigint, n bigint")
-        .groupBy("slot")
-        .agg(F.sum("n").alias("n"))
-        .toPandas()
+        .mapInArrow(run, "gram bigint, n_0 bigint, n_1 bigint")
+        .groupBy("gram")
+        .agg(F.sum("n_0").alias("n_0"), F.sum("n_1").alias("n_1"))
+    )
+
+
+def _endings(gram: str) -> Column:
+    """(order, ending, context): the last bytes of a string, by the length of the context."""
+    return F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(order).alias("order"),
+                    F.col(gram).bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("ending"),
+                    F.shiftright(
+                        F.col(gram).bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)), 8
+                    ).alias("context"),
+                )
+                for order in range(ORDERS)
+            ]
+        )
+    )
+
+
+def gram_ratios(wanted: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gram, ratio) of each different ``gram`` of ``wanted``: accepted over rejected, as a log."""
+    sums = [F.sum(c).alias(c) for c in ("n_0", "n_1")]
+    hits = (
+        counts.select(_endings("gram").alias("e"), "n_0", "n_1")
+        .groupBy("e.order", "e.ending", "e.context")
+        .agg(*sums)
     )
-    counts = np.zeros(int(np.prod(shape)), dtype=np.float32)
-    counts[sums["slot"].to_numpy(dtype=np.int64)] = sums["n"].to_numpy(dtype=np.float32)
-    return counts.reshape(shape)
-
-
-def ratios(rows: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
-    """Log-likelihood under the accepted model less the rejected one, a byte; empty: 0."""
-    out = np.zeros(len(rows))
-    full = [k for k, r in enumerate(rows) if len(r)]
-    if not full:
-        return out
-    contexts, grams, ends = _slots([rows[k] for k in full])
+    hits = materialize(hits, "endings")
+    seen = hits.groupBy("order", "context").agg(
+        F.sum("n_0").alias("s_0"), F.sum("n_1").alias("s_1")
+    )
+    hits = hits.drop("context")
+    needs = wanted.select("gram").distinct().select("gram", _endings("gram").alias("e"))
+    needs = needs.select("gram", "e.*")
+    low, high = F.col("order") < SHORT, F.col("order") >= SHORT
+    known = (
+        needs.where(low)
+        .join(F.broadcast(hits.where(low)), ["order", "ending"], "left")
+        .join(F.broadcast(seen.where(low)), ["order", "context"], "left")
+    ).unionByName(
+        needs.where(high)
+        .join(hits.where(high), ["order", "ending"], "left")
+        .join(seen.where(high), ["order", "context"], "left")
+    )
+    own = [
+        F.coalesce(F.sum(F.when(F.col("order") == k, F.col(c))), F.lit(0)).alias(f"{c}_{k}")
+        for k in range(ORDERS)
+        for c in ("n_0", "n_1", "s_0", "s_1")
+    ]
     logs = []
     for cls in (0, 1):
-        p = np.full(contexts.shape[1], 1 / 256)
-        for order in range(ORDERS):
-            seen, hits = counts[cls, 0, order][contexts[order]], counts[cls, 1, order][grams[order]]
-            p = (np.minimum(hits, seen) + LEAN * p) / (seen + LEAN)
-        logs.append(np.log(p))
-    sums = np.concatenate([[0.0], np.cumsum(logs[1] - logs[0])])[np.concatenate([[0], ends])]
-    out[full] = np.diff(sums) / np.diff(np.concatenate([[0], ends]))
-    return out
-
-
-def with_scores(pages: DataFrame, counts: np.ndarray, *keep: str) -> DataFrame:
-    """The columns ``keep`` and ``score`` of every row's ``url``."""
+        p = F.lit(1 / 256)
+        for k in range(ORDERS):
+            p = (F.col(f"n_{cls}_{k}") + LEAN * p) / (F.col(f"s_{cls}_{k}") + LEAN)
+        logs.append(F.ln(p))
+    return known.groupBy("gram").agg(*own).select("gram", (logs[1] - logs[0]).alias("ratio"))
+
+
+def _blocks(pages: DataFrame) -> DataFrame:
+    """(block, rows, grams): some rows together, ``url`` last, and the strings of their URLs."""
+    names = pages.columns
+
+    def run(batches):
+        number = count(TaskContext.get().partitionId() << 32)
+        for batch in batches:
+            sizes = [len(r) for r in utf8_rows(batch.column(len(names) - 1))]
+            start = held = 0
+            for k, size in enumerate(sizes):
+                held += size
+                end = k + 1
+                if held >= BLOCK_BYTES or end - start == BLOCK_ROWS or end == len(sizes):
+                    part = batch.slice(start, end - start)
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema) as out:
+                        out.write_batch(part)
+                    own = np.unique(grams(list(utf8_rows(part.column(len(names) - 1)))))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([next(number)], pa.int64()),
+                            pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                            pa.array([own], pa.list_(pa.int64())),
+                        ],
+                        names=["block", "rows", "grams"],
+                    )
+                    start, held = end, 0
+
+    return pages.mapInArrow(run, "block bigint, rows binary, grams array<bigint>")
+
+
+def with_scores(pages: DataFrame, counts: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` and ``score`` of every row's ``url``: mean ratio of its bytes.
+
+    A frequent string is a row for each block of URLs, however many of them have it.
+    """
     kept = pages.select(*keep, "url")
     schema = kept.drop("url").schema.add("score", "double")
-    shared = pages.sparkSession.sparkContext.broadcast(counts)  # of fixed size
+    blocks = materialize(_blocks(kept), "url-blocks")
+    wanted = blocks.select("block", F.explode("grams").alias("gram"))
+    scores = (
+        wanted.join(gram_ratios(wanted, counts), "gram")
+        .groupBy("block")
+        .agg(F.collect_list(F.struct("gram", "ratio")).alias("scores"))
+    )
 
     def run(batches):
         for batch in batches:
-            scores = ratios(list(utf8_rows(batch.column(len(keep)))), shared.value)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(scores, type=pa.float64())], names=schema.names
-            )
+            for k in range(batch.num_rows):
+                rows = pa.ipc.open_stream(batch.column(0)[k].as_buffer()).read_all()
+                rows = rows.combine_chunks().to_batches()[0]
+                found = batch.column(1)[k].values
+                out = np.zeros(rows.num_rows)
+                if found is not None and len(found):
+                    known = found.field("gram").to_numpy(zero_copy_only=False)
+                    ratio = found.field("ratio").to_numpy(zero_copy_only=False)
+                    order = np.argsort(known)
+                    known, ratio = known[order], ratio[order]
+                    urls = list(utf8_rows(rows.column(rows.num_columns - 1)))
+                    sizes = np.array([len(u) for u in urls])
+                    value = ratio[np.searchsorted(known, grams(urls))]
+                    ends = np.concatenate([[0.0], np.cumsum(value)])[np.cumsum(sizes)]
+                    sums = np.diff(np.concatenate([[0.0], ends]))
+                    out = sums / np.maximum(sizes, 1)
+                columns = [*rows.columns[:-1], pa.array(out, type=pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return blocks.join(scores, "block", "left").select("rows", "scores").mapInArrow(run, schema)
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -185,13 +261,17 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
         .withColumn("_by", best_rule(F.col("host"), F.col("path"), rules))
         .select("page_id", "url", "host", "path", F.col("_by.rule"), F.col("_by.verdict"))
     )
-    labelled = ruled.where("verdict IS NOT NULL").select(
-        "url", (F.col("verdict") == "allow").alias("accepted")
+    ruled = ruled.withColumns(
+        {"_in": F.col("verdict") == "allow", "_held": F.crc32(F.col("url")) % FOLDS == 0}
+    )
+    learnt = ruled.where("verdict IS NOT NULL AND NOT _held").select(
+        "url", F.col("_in").alias("accepted")
     )
-    held = F.crc32(F.col("url")) % FOLDS == 0
-    counts = count_grams(labelled.where(~held))
-    threshold = calibrate(with_scores(labelled.where(held), counts, "accepted"))
-    scored = with_scores(ruled, counts, "page_id", "host", "path", "rule", "verdict")
+    keep = ("page_id", "host", "path", "rule", "verdict", "_in", "_held")
+    with scratch(pages.sparkSession):
+        scored = materialize(with_scores(ruled, count_grams(learnt), *keep), "scores", keep=True)
+    held = scored.where("verdict IS NOT NULL AND _held")
+    threshold = calibrate(held.select("score", F.col("_in").alias("accepted")))
     own = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return scored.select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "score"

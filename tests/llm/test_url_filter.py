@@ -69,7 +69,7 @@ def test_learns_what_rules_accept(spark):
 
 
 def test_ratio_equals_plain_markov_models(spark):
-    """Against counts in dictionaries, without hashed counters."""
+    """Against counts in dictionaries."""
     rnd = random.Random(2)
     rows = [(f"{rnd.choice(['ab', 'ba'])}{'x' * rnd.randrange(4)}é{k % 9}", k % 3 == 0) for k in range(200)]
     counts = uf.count_grams(spark.createDataFrame(rows, "url string, accepted boolean").repartition(3))
@@ -94,10 +94,69 @@ def test_ratio_equals_plain_markov_models(spark):
             total += math.log(p)
         return total
 
-    urls = ["abx", "baxé1", "zzz", "", "é"]
-    got = uf.ratios([np.frombuffer(u.encode(), np.uint8) for u in urls], counts)
-    want = [(log(seen[1], u) - log(seen[0], u)) / max(1, len(u.encode())) for u in urls]
-    assert np.allclose(got, want, atol=1e-6)
+    urls = ["abx", "baxé1", "zzz", "", "é", None, "abx", "ab" * 50_000]
+    rows = spark.createDataFrame(list(enumerate(urls)), "k bigint, url string").repartition(2)
+    got = {r.k: r.score for r in uf.with_scores(rows, counts, "k").collect()}
+    texts = [u or "" for u in urls]
+    want = [(log(seen[1], u) - log(seen[0], u)) / max(1, len(u.encode())) for u in texts]
+    assert np.allclose([got[k] for k in range(len(urls))], want, atol=1e-9)
+
+
+def test_counts_are_exact_however_many_strings(spark):
+    """No two strings share a counter: a large corpus of other URLs changes nothing for these."""
+    rnd = random.Random(4)
+    rows = [("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789/") for _ in range(40)), k % 2 == 0)
+            for k in range(8000)]
+    counts = uf.count_grams(spark.createDataFrame(rows, "url string, accepted boolean"))
+    want = {}
+    for url, accepted in rows:
+        data = b"\0" * 5 + url.encode()
+        for at in range(5, len(data)):
+            key = int.from_bytes(data[at - 5 : at + 1], "big"), accepted
+            want[key] = want.get(key, 0) + 1
+    got = {}
+    for r in counts.collect():
+        got |= {(r.gram, False): r.n_0} if r.n_0 else {}
+        got |= {(r.gram, True): r.n_1} if r.n_1 else {}
+    assert got == want and len(want) > 250_000
+
+
+def test_verdicts_stay_when_the_labelled_set_grows_tenfold(spark):
+    """The same URLs ten times over: same shares, so the models' contexts weigh alike."""
+    rnd = random.Random(6)
+    labelled = [
+        f"http://{'a.org' if good else 'b.com/de'}/{rnd.choice(['news', 'art'] if good else ['bet', 'xxl'])}"
+        f"/{rnd.randrange(100)}"
+        for good in [rnd.random() < 0.5 for _ in range(1500)]
+    ]
+    others = [f"http://s{k}.net/{w}/{k}" for k in range(60) for w in ("news", "art", "bet", "xxl")]
+
+    def verdicts(times):
+        got = uf.judge_urls(pages(spark, others + labelled * times), URL_RULES).collect()
+        return [r.verdict for r in sorted(got, key=lambda r: r.page_id)[: len(others)]]
+
+    once = verdicts(1)
+    assert set(once) == {"allow", "block"} and verdicts(10) == once
+
+
+def test_odd_rows(spark):
+    """Clashing columns, repeated rows, ties, very long URLs and missing ids."""
+    urls = [None, "", "x", "http://a.org/" + "y" * 300_000, "http://q.net/1", "http://q.net/1",
+            "http://b.com/de/1", "http://a.org/1"]
+    rows = [(None if k == 4 else k // 2, u, "own", "own", "own") for k, u in enumerate(urls)]
+    df = spark.createDataFrame(
+        rows, "page_id bigint, url string, verdict string, _held string, gram string"
+    )
+    df = df.union(df)
+    got = uf.judge_urls(df, URL_RULES).collect()
+    assert sorted((r.page_id, r.host, r.path) for r in got if r.page_id is not None) == sorted(
+        (r[0], *plain(r[1])) for r in rows * 2 if r[0] is not None
+    )
+    assert sum(r.page_id is None for r in got) == 2
+    scores = {}
+    for r in got:
+        scores.setdefault((r.host, r.path), set()).add((r.verdict, r.score))
+    assert all(len(s) == 1 for key, s in scores.items() if key[0])
 
 
 def test_threshold_is_the_best_on_the_grid(spark):
