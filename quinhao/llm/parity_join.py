@@ -25,6 +25,7 @@ two of them, as the task itself knows that they all share it.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -223,22 +224,25 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, first, second): size and identity of each row's set."""
+    """(doc_id, n_shingles, first, second, text_sha256): size and identity of each row's set."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for data in utf8_rows(batch.column(1)):
                 shingles = shingle_set(data)
-                rows.append((len(shingles), *identity(shingles)))
-            columns = list(zip(*rows)) if rows else [()] * 3
+                text = hashlib.sha256(data).hexdigest()
+                rows.append((len(shingles), *identity(shingles), text))
+            *columns, texts = list(zip(*rows)) if rows else [()] * 4
+            numbers = [pa.array(c, type=pa.int64()) for c in columns]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, type=pa.int64()) for c in columns]],
-                names=["doc_id", "n_shingles", "first", "second"],
+                [batch.column(0), *numbers, pa.array(texts, type=pa.string())],
+                names=["doc_id", "n_shingles", "first", "second", "text_sha256"],
             )
 
     return _texts(docs).mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, first bigint, second bigint"
+        run,
+        "doc_id bigint, n_shingles bigint, first bigint, second bigint, text_sha256 string",
     )
 
 
@@ -644,6 +648,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one doc_id are compared each for itself. Other columns are ignored; an empty table gives an
     empty result. Sets are told apart by 64-bit sums of 64-bit hashes.
     """
+    return _judged(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with each row's text_sha256 and ``member_of``, a number of its component.
+
+    Sets that are linked have one number; a text without shingles has none.
+    """
     with scratch(docs.sparkSession):
         described, roots = links(docs)
         sized = described.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -654,7 +666,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .withColumn("root", F.coalesce("root", "set"))
         )
         least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-        members = rooted.join(least, "root").select("set", "component")
+        members = rooted.join(least, "root").select(
+            "set", "component", F.col("root").alias("member_of")
+        )
         of_set = materialize(members, "components", keep=True)
     return described.join(
         of_set, (F.col("first") == F.col("set")) & (F.col("n_shingles") > 0), "left"
@@ -664,25 +678,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias(
             "component_id"
         ),
+        "text_sha256",
+        "member_of",
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their columns, less near duplicates: of every component the
-    document of the least doc_id stays, of repeated rows one, and every row without an id."""
-    key = "_kept"
-    while key in docs.columns:
-        key += "_"
+    """The rows of ``docs``, with their columns, less near duplicates.
+
+    Of every component one text stays, that of the component's least doc_id; of several such texts
+    of that id, the one of least SHA-256. Of rows with one id and text one stays, that of the least
+    hash of its other columns. Different texts of one id are told apart, so a text that is linked
+    with nothing stays whatever its namesakes are. Every row without an id stays.
+    """
+    own = ["_id", "_digest", "_row"]
+    while set(own) & set(docs.columns):
+        own = [f"{c}_" for c in own]
+    key, mark, row = own
+    alone = F.when(F.col("member_of").isNull(), F.col("text_sha256"))
     kept = (
-        near_duplicates(docs)
+        _judged(docs)
         .where("doc_id = component_id")
-        .select(F.col("doc_id").alias(key))
-        .distinct()
+        .groupBy(F.col("doc_id").alias(key), "member_of", alone.alias("_alone"))
+        .agg(F.min("text_sha256").alias(mark))
+        .select(key, mark)
+    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.where("doc_id IS NOT NULL").select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row),
+        F.col("doc_id").cast("bigint").alias(key),
+        F.sha2(text, 256).alias(mark),
     )
-    named = docs.where("doc_id IS NOT NULL")
+    plain = [F.col(f"{row}.`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
     named = (
-        named.join(kept, named["doc_id"].cast("bigint") == F.col(key), "left_semi")
-        .dropDuplicates(["doc_id"])
-        .select(*[f"`{c}`" for c in docs.columns])
+        named.join(kept, [key, mark], "left_semi")
+        .groupBy(key, mark)
+        .agg(F.min_by(row, F.xxhash64(*plain)).alias(row))
+        .select(f"{row}.*")
     )
     return named.unionByName(docs.where("doc_id IS NULL"))

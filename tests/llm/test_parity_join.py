@@ -1,5 +1,6 @@
 """Near-duplicate components against brute force."""
 
+import hashlib
 import random
 import string
 
@@ -154,6 +155,24 @@ def test_one_of_each(make, clash, rows_of, holds_schema):
     assert sum(d is None for d, _ in got) == 2
 
 
+def test_two_texts_of_one_id(make, rows_of):
+    """A near copy goes, whatever other text has its id; clean texts stay, run after run."""
+    rnd = random.Random(12)
+    body = [f"w{rnd.randrange(999)}" for _ in range(80)]
+    near = " ".join([*body[:-1], "other"])
+    clean = [" ".join(f"c{rnd.randrange(999)}" for _ in range(50)) for _ in range(3)]
+    rows = [
+        (5, " ".join(body)), (5, clean[0]), (9, near), (9, clean[1]), (11, near), (11, clean[2]),
+        (5, near + " more"), (7, ""), (7, " "), (7, None), (7, ""),
+    ]
+    survivor = min((" ".join(body), near + " more"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    want = {(5, survivor), (5, clean[0]), (9, clean[1]), (11, clean[2]), (7, " ")}
+    for partitions in (1, 3):
+        got = rows_of(parity_join.one_of_each(make(rows, partitions)).select("doc_id", "text"))
+        assert {(d, t) for d, t in got if (t or "").strip() or t == " "} == want
+        assert len(got) == len(want) + 1  # of the empty and the null text, which are equal, one
+
+
 def test_empty(empty):
     assert parity_join.near_duplicates(empty).count() == 0
     assert parity_join.one_of_each(empty).count() == 0
