@@ -686,10 +686,10 @@ def _judged(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with their columns, less near duplicates.
 
-    Of every component one text stays, that of the component's least doc_id; of several such texts
-    of that id, the one of least SHA-256. Of rows with one id and text one stays, that of the least
-    hash of its other columns. Different texts of one id are told apart, so a text that is linked
-    with nothing stays whatever its namesakes are. Every row without an id stays.
+    Of every component the text of its least doc_id stays. Of rows with one id and text one stays,
+    that of the least hash of its other columns. Different texts of one id are told apart, so a text
+    that is linked with nothing stays whatever its namesakes are; two near copies that both have
+    their component's least id may both stay. Every row without an id stays.
     """
     own = ["_id", "_digest", "_row"]
     while set(own) & set(docs.columns):
