@@ -1,13 +1,17 @@
 import datetime as dt
+from collections import Counter
 from pathlib import Path
 
+import duckdb
 import pytest
 from small import DAY, collect, fee, tables
+from test_scale import brute_force, skewed
 
 from quinhao import rules as R
+from quinhao.plans import production as P
 from quinhao.plans.export import payroll_export
 from quinhao.plans.payroll import payroll
-from quinhao.schemas import INPUT_SCHEMAS, SCHEMAS, conform
+from quinhao.schemas import INPUT_SCHEMAS, SCHEMAS, Tables, conform
 from quinhao.session import shared_folder
 from quinhao.sources import files, jdbc, star
 
@@ -88,27 +92,69 @@ def test_unknown_table(spark):
         tables(spark).nothing
 
 
-CONNECTION = {"url": "jdbc:x", "user": "u", "password": "p", "driver": "d"}
-
-
-def test_jdbc_options():
-    plain = jdbc.jdbc_options("usuario", CONNECTION)
-    assert plain["dbtable"] == '"TBL$USUARIO"' and "partitionColumn" not in plain
-    cut = jdbc.jdbc_options("livros_notas", CONNECTION, {"livros_notas": jdbc.Slices(1, 900, 8)})
-    assert cut["dbtable"] == "LIVROS_NOTAS"
-    assert (cut["partitionColumn"], cut["lowerBound"], cut["upperBound"], cut["numPartitions"]) == (
-        "id_recepcao", "1", "900", "8",
+@pytest.fixture(scope="module")
+def office():
+    """The tables in an embedded database, which runs the queries that the reader would send."""
+    db = duckdb.connect()
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "date": "DATE",
+             "timestamp_ntz": "TIMESTAMP", "decimal(18,2)": "DECIMAL(18,2)"}
+    for name, schema in SCHEMAS.items():
+        columns = ", ".join(f"{f.name} {kinds[f.dataType.simpleString()]}" for f in schema.fields)
+        db.execute(f"CREATE TABLE {jdbc.database_name(name)} ({columns})")
+        rows = skewed(seed=21).get(name, [])
+        if rows:
+            marks = ", ".join("?" * len(schema.fields))
+            db.executemany(f"INSERT INTO {jdbc.database_name(name)} VALUES ({marks})", rows)
+    day = "TIMESTAMP '2021-03-10'"
+    db.execute(f"INSERT INTO RECIBO SELECT i, 'True', {day} + INTERVAL (i % 3) MONTH FROM range(30) t(i)")
+    db.execute("INSERT INTO ITEM_RECIBO SELECT i % 30, i FROM range(200) t(i)")
+    db.execute("INSERT INTO ITEM_RECIBO VALUES (NULL, 5)")
+    return db
+
+
+@pytest.mark.parametrize("period", [None, 202103])
+@pytest.mark.parametrize("table", sorted(jdbc.SLICE_KEYS))
+def test_slices_hold_every_row_once_and_alike(office, table, period):
+    source = jdbc.source_query(table, period)
+    cuts = [r[0] for r in office.execute(jdbc.cuts_query(table, source, 7)).fetchall()]
+    parts = [
+        office.execute(f"SELECT * FROM {source} WHERE {p}").fetchall()
+        for p in jdbc.predicates(table, cuts)
+    ]
+    whole = office.execute(f"SELECT * FROM {source}").fetchall()
+    assert Counter(r for p in parts for r in p) == Counter(whole) and len(whole) > 0
+    assert len(parts) > 1 and all(parts)  # gaps in the keys leave no slice empty
+
+
+def test_slices_without_keys():
+    assert jdbc.predicates("recibo", []) == ["1 = 1"]
+    assert jdbc.predicates("recibo", [4]) == ["1 = 1"]
+    assert jdbc.predicates("recibo", [9, 4]) == ["ID_RECIBO < 9 OR ID_RECIBO IS NULL", "ID_RECIBO >= 9"]
+
+
+@pytest.mark.parametrize("period", [202103, 202104])
+def test_rows_of_a_month_are_all_its_payroll_needs(spark, office, period):
+    """The month's queries, run by the embedded database, against brute force over everything."""
+
+    def load(name):
+        found = office.execute(f"SELECT * FROM {jdbc.source_query(name, period)}").fetchall()
+        return spark.createDataFrame(found, SCHEMAS[name])
+
+    got = collect(
+        P.all_acts(Tables(load, pruned=True), period),
+        "period", "sector", "stage", "id_usuario", "acts", "fees",
     )
-    assert set(jdbc.SLICE_KEYS) <= set(SCHEMAS)
+    assert sorted(got) == [r for r in brute_force(skewed(seed=21)) if r[0] == period]
 
 
-def test_large_tables_are_never_read_by_one_task():
-    for table in jdbc.SLICE_KEYS:
-        with pytest.raises(ValueError, match=f"{table} needs slices"):
-            jdbc.jdbc_options(table, CONNECTION)
-    assert jdbc.range_query("recibo") == (
-        "SELECT MIN(ID_RECIBO) AS LOWEST, MAX(ID_RECIBO) AS HIGHEST FROM RECIBO"
+def test_receipts_go_by_their_own_month(office):
+    source = jdbc.source_query("item_recibo", 202103, dt.date(2021, 4, 30))
+    days = office.execute(
+        f"SELECT DISTINCT month(DATA_ARQUIVADO) FROM {source} JOIN RECIBO USING (ID_RECIBO)"
     )
+    assert days.fetchall() == [(4,)]
+    assert jdbc.source_query("usuario", 202103) == '"TBL$USUARIO"'
+    assert set(jdbc.SLICE_KEYS) == set(jdbc.MONTH_OF) <= set(SCHEMAS)
 
 
 def export_folders(spark):
