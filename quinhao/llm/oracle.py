@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-# Every 400-byte window by its hash; runs of repeated ones; what lies between the runs.
+# Every 400-byte window by its hash; runs of repeated ones; what lies between the runs, and of that
+# the characters whose bytes are all there.
 SUFFIX_DEDUP = r"""
 WITH bytes AS (SELECT doc_id, hex(encode(COALESCE(text, ''))) AS h,
     CAST(octet_length(encode(COALESCE(text, ''))) AS BIGINT) AS n_bytes FROM documents),
@@ -17,15 +18,22 @@ spans AS (SELECT doc_id, span, MIN(i) AS first, MAX(i) + 400 AS last
     FROM numbered GROUP BY doc_id, span),
 cut AS (SELECT doc_id, COUNT(*) AS n_spans, SUM(last - first) AS n_removed,
     list(first ORDER BY first) AS firsts, list(last ORDER BY first) AS lasts
-    FROM spans GROUP BY doc_id)
-SELECT b.doc_id, b.n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed,
-  CAST(COALESCE(n_spans, 0) AS BIGINT) AS n_spans,
-  sha256(CASE WHEN n_spans IS NULL THEN unhex(h) ELSE unhex(array_to_string(list_transform(
+    FROM spans GROUP BY doc_id),
+pieces AS (SELECT b.doc_id, b.n_bytes, COALESCE(n_removed, 0) AS n_removed,
+    COALESCE(n_spans, 0) AS n_spans,
+    CASE WHEN n_spans IS NULL THEN [h] ELSE list_transform(
     range(1, n_spans + 2), lambda k: substr(h,
       2 * (CASE WHEN k = 1 THEN 0 ELSE lasts[k - 1] END) + 1,
       2 * ((CASE WHEN k > n_spans THEN n_bytes ELSE firsts[k] END)
-        - (CASE WHEN k = 1 THEN 0 ELSE lasts[k - 1] END)))), '')) END) AS kept_sha256
-FROM bytes b LEFT JOIN cut USING (doc_id)
+        - (CASE WHEN k = 1 THEN 0 ELSE lasts[k - 1] END)))) END AS kept
+  FROM bytes b LEFT JOIN cut USING (doc_id))
+SELECT doc_id, n_bytes, CAST(n_removed AS BIGINT) AS n_removed,
+  CAST(n_spans AS BIGINT) AS n_spans,
+  sha256(unhex(array_to_string(kept, ''))) AS kept_sha256,
+  decode(unhex(array_to_string(list_transform(kept, lambda piece: regexp_replace(regexp_replace(
+    piece, '^([89AB].)+', ''), '^((?:..)*?)([CD].|E.([89AB].)?|F.([89AB].){0,2})$', '\1')),
+    ''))) AS text
+FROM pieces
 """
 
 # All pairs that share a shingle, counted; links; what links reach.

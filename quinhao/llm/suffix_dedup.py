@@ -386,14 +386,14 @@ def covered(blobs: list[bytes], length: int) -> np.ndarray:
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
-    """(doc_id, n_bytes, kept, starts, ends) of every row: its bytes without repeated strings,
-    and the removed runs.
+    """(doc_id, n_bytes, kept, text, starts, ends) of every row: its bytes without repeated
+    strings, these as text, and the removed runs.
 
     Matches lie within documents, the same one included, and are judged on the input. A null text
     counts as empty. Repeated rows come back as they are; for ``keep="first"`` they are one
     document, for ``"none"`` each other's copies, as are equal texts without an id. Other columns
-    are ignored; an empty table gives an empty result. ``kept`` need not be valid UTF-8.
-    Fingerprints have 64 bits.
+    are ignored; an empty table gives an empty result. ``kept`` need not be valid UTF-8; ``text``
+    has the characters that are kept whole. Fingerprints have 64 bits.
     """
     marks = repeats(docs, length, keep)
     keyed = docs.select(F.col("doc_id").cast("bigint"), *_identity(), F.col("text").cast("string"))
@@ -407,22 +407,24 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> D
                 ends = np.concatenate([[0], cut[:, 1]]).tolist()
                 starts = np.concatenate([cut[:, 0], [len(data)]]).tolist()
                 whole = data.tobytes()
-                kept = b"".join(whole[a:b] for a, b in zip(ends, starts)) if len(cut) else whole
-                out.append((len(data), kept, cut[:, 0], cut[:, 1]))
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            columns = list(zip(*out)) if out else [()] * 4
+                parts = [whole[a:b] for a, b in zip(ends, starts)]
+                text = "".join(part.decode("utf-8", "ignore") for part in parts)
+                out.append((len(data), b"".join(parts), text, cut[:, 0], cut[:, 1]))
+            places = pa.list_(pa.int64())
+            kinds = [pa.int64(), pa.binary(), pa.string(), places, places]
+            columns = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, type=t) for c, t in zip(columns, kinds)]],
-                names=["doc_id", "n_bytes", "kept", "starts", "ends"],
+                names=["doc_id", "n_bytes", "kept", "text", "starts", "ends"],
             )
 
-    return rows.mapInArrow(
-        run, "doc_id bigint, n_bytes bigint, kept binary, starts array<bigint>, ends array<bigint>"
-    )
+    places = "starts array<bigint>, ends array<bigint>"
+    schema = f"doc_id bigint, n_bytes bigint, kept binary, text string, {places}"
+    return rows.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) with every repeated string removed."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) without any repeated string."""
     cleaned = dedup_bytes(docs, length, keep="none")
     return cleaned.select(
         "doc_id",
@@ -430,4 +432,5 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
         F.size("starts").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        "text",
     )

@@ -67,6 +67,24 @@ def test_removed_bytes_equal_brute_force(make, clash, keep, seed, rows_of):
     assert have == sorted(want, key=repr)
 
 
+def whole_characters(text: str, gone: np.ndarray) -> str:
+    ends = np.cumsum([len(c.encode()) for c in text])
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else []
+    return "".join(c for c, a, b in zip(text, starts, ends) if not gone[a:b].any())
+
+
+def test_text_has_the_characters_that_are_kept_whole(make, rows_of):
+    shared = b"\xa9 a passage of \xe4\xb8".decode("latin-1")  # bytes of two characters, cut
+    middle = shared.encode("latin-1")
+    rows = [
+        (1, (b"one\xc3" + middle + b"\xad1").decode()),
+        (2, (b"two \xc2" + middle + b"\xaa2").decode()),
+    ]
+    got = rows_of(suffix_dedup.dedup_bytes(make(rows), len(middle), "none").select("kept", "text"))
+    want = [(b"one\xc3\xad1", "one1"), (b"two \xc2\xaa2", "two 2")]
+    assert got == sorted([(bytearray(a), b) for a, b in want], key=repr)
+
+
 def test_digests(make, rows_of):
     rows = made_rows(7)
     got = rows_of(suffix_dedup.digests(make(rows), 24))
@@ -75,7 +93,7 @@ def test_digests(make, rows_of):
         edge = np.diff(np.concatenate([[0], gone.astype(int)]))
         want.append(
             (doc_id, len((row[1] or "").encode()), int(gone.sum()), int((edge == 1).sum()),
-             hashlib.sha256(kept).hexdigest())
+             hashlib.sha256(kept).hexdigest(), whole_characters(row[1] or "", gone))
         )
     assert got == sorted(want, key=repr)
 
