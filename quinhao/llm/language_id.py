@@ -6,10 +6,15 @@ bounded sample of labelled texts gives Nystroem landmarks; kernel ridge regressi
 per language, is solved in the landmarks' space. As the kernel is a dot product of bits, the
 solution folds into one weight per bit and language, and texts are scored by batched matrix
 products.
+
+A long text would set nearly all bits. It is cut into sections of equal size, and its score is the
+mean of theirs, so that a text of any length is judged, whole, on sets as large as a page's.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,25 +30,31 @@ LEAST = 8  # but so many of each language, however many there are
 FEW_LANGUAGES = 10_000  # so many row counts are broadcast
 LANDMARKS = 384
 RIDGE = 1e-3
-BLOCK = 512  # texts scored at once
-PIECE = 1 << 20  # bytes of a long text looked at a time
+BLOCK = 512  # sections scored at once
+SECTION = 1 << 13  # bytes of a section at most
+
+
+def sections(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A text's bytes in the fewest sections of at most SECTION bytes, as even as can be; each
+    goes three bytes into the next one, so that no n-gram is lost."""
+    count = max(1, -(-len(data) // SECTION))
+    for k in range(count):
+        yield data[k * len(data) // count : (k + 1) * len(data) // count + 3]
 
 
 def presence(data: np.ndarray, out: np.ndarray) -> None:
-    """Set in ``out`` (BITS long) the bits of the n-grams of a text's bytes."""
-    for start in range(0, len(data), PIECE):
-        part = data[start : start + PIECE + 3]
-        lower = (part >= 65) & (part <= 90)
-        b = (part + (lower * np.uint8(32))).astype(np.uint32)
-        code = b
-        for n in range(1, 5):
-            if n > 1:
-                code = (code[:-1] << np.uint32(8)) | b[n - 1 :]
-            if not len(code):
-                break
-            h = (code + np.uint32(n * 0x3C6EF372 & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
-            h ^= h >> np.uint32(15)
-            out[(h * np.uint32(0x85EBCA6B)) >> np.uint32(19)] = 1
+    """Set in ``out`` (BITS long) the bits of the n-grams of a section."""
+    lower = (data >= 65) & (data <= 90)
+    b = (data + (lower * np.uint8(32))).astype(np.uint32)
+    code = b
+    for n in range(1, 5):
+        if n > 1:
+            code = (code[:-1] << np.uint32(8)) | b[n - 1 :]
+        if not len(code):
+            break
+        h = (code + np.uint32(n * 0x3C6EF372 & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        out[(h * np.uint32(0x85EBCA6B)) >> np.uint32(19)] = 1
 
 
 @dataclass
@@ -59,34 +70,73 @@ class Model:
         return (x @ self.weights) / norm + self.offset
 
 
-def fit(bits: np.ndarray, languages: list[str]) -> Model:
-    """Kernel ridge regression on landmarks spread evenly over the sample."""
-    names = sorted(set(languages))
-    x = bits.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    y = (np.asarray(languages)[:, None] == np.asarray(names)[None, :]).astype(np.float64)
-    offset = y.mean(axis=0)
-    chosen = np.unique(np.linspace(0, len(x) - 1, min(LANDMARKS, len(x))).astype(int))
-    marks = x[chosen]
+    def mean_scores(self, texts: Iterable[np.ndarray]) -> np.ndarray:
+        """Scores of whole texts: means over their sections, a block of sections at a time."""
+        sums, counts = [], []
+        bits, owners = np.zeros((BLOCK, BITS), dtype=np.uint8), []
+
+        def add():
+            for k, row in zip(owners, self.score(bits[: len(owners)])):
+                sums[k] += row
+            bits[: len(owners)] = 0
+            owners.clear()
+
+        for data in texts:
+            sums.append(np.zeros(len(self.languages)))
+            counts.append(0)
+            for part in sections(data):
+                presence(part, bits[len(owners)])
+                owners.append(len(sums) - 1)
+                counts[-1] += 1
+                if len(owners) == BLOCK:
+                    add()
+        add()
+        return np.reshape(sums, (len(sums), -1)) / np.reshape(counts, (-1, 1))
+
+
+def fit(packed: np.ndarray, languages: list[str]) -> Model:
+    """Kernel ridge regression on landmarks spread evenly over the sample.
+
+    ``packed`` has BITS / 8 bytes a text and is unpacked a block at a time. Of the targets, one per
+    language, only their sums with the texts' kernels are kept, so the number of languages costs a
+    column of weights each, and no matrix of texts by languages.
+    """
+    names, target = np.unique(np.asarray(languages, dtype=object), return_inverse=True)
+
+    def rows(chosen) -> np.ndarray:
+        x = np.unpackbits(packed[chosen], axis=1).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+    size = len(packed)
+    offset = np.bincount(target, minlength=len(names)) / size
+    marks = rows(np.unique(np.linspace(0, size - 1, min(LANDMARKS, size)).astype(int)))
     inner = (marks @ marks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(inner)
     use = values > max(values[-1], 1e-12) * 1e-8
     root = vectors[:, use] / np.sqrt(values[use])  # inner ** -1/2
-    z = (x @ marks.T).astype(np.float64) @ root
-    solved = np.linalg.solve(z.T @ z + RIDGE * len(x) * np.eye(z.shape[1]), z.T @ (y - offset))
-    weights = marks.T.astype(np.float64) @ (root @ solved)
-    return Model(names, weights.astype(np.float32), offset.astype(np.float32))
+    square = np.zeros((root.shape[1], root.shape[1]))
+    by_name = np.zeros((len(names), root.shape[1]))
+    for start in range(0, size, BLOCK):
+        z = (rows(slice(start, start + BLOCK)) @ marks.T).astype(np.float64) @ root
+        square += z.T @ z
+        np.add.at(by_name, target[start : start + BLOCK], z)
+    aim = by_name.T - np.outer(by_name.sum(axis=0), offset)  # z.T @ (targets - their means)
+    solved = np.linalg.solve(square + RIDGE * size * np.eye(len(square)), aim)
+    weights = marks.T @ (root @ solved).astype(np.float32)
+    return Model(names.tolist(), weights, offset.astype(np.float32))
 
 
 def _bits(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, bits) with the presence bits packed, BITS / 8 bytes a row."""
+    """(doc_id, lang, bits) with the presence bits packed, BITS / 8 bytes a row: of the whole
+    text, or of one section of a long one, which its checksum says."""
 
     def run(batches):
         for batch in batches:
             packed = []
             for data in utf8_rows(batch.column(2)):
                 bits = np.zeros(BITS, dtype=np.uint8)
-                presence(data, bits)
+                parts = list(sections(data))
+                presence(parts[zlib.crc32(data) % len(parts)], bits)
                 packed.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(packed, type=pa.binary())],
@@ -101,7 +151,8 @@ def _bits(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learn from at most ``sample`` rows of ``docs`` (LEAST a language), those of least hash.
 
-    Only the sample's packed bits reach the driver, BITS / 8 bytes a row. None without rows.
+    Only the sample's packed bits reach the driver, BITS / 8 bytes a row: 8 KB a language once there
+    are so many that LEAST holds, where the model has 32 KB for each. None without rows.
     """
     named = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     counts = named.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_rows"))
@@ -125,11 +176,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     picked = named.join(F.broadcast(chosen), "doc_id", "left_semi")
     one_each = _bits(picked).groupBy("doc_id").agg(F.min(F.struct("lang", "bits")).alias("row"))
     rows = one_each.select("doc_id", "row.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    bits = np.unpackbits(
-        np.frombuffer(b"".join(bytes(r.bits) for r in rows), dtype=np.uint8).reshape(len(rows), -1),
-        axis=1,
-    )
-    return fit(bits, [r.lang for r in rows])
+    packed = np.frombuffer(b"".join(bytes(r.bits) for r in rows), dtype=np.uint8)
+    return fit(packed.reshape(len(rows), -1), [r.lang for r in rows])
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -146,18 +194,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             named = [
                 any(map(str.isalpha, t)) if t else False for t in texts.to_pylist()
             ]
-            best, scores = [], []
-            rows = list(utf8_rows(texts))
-            for start in range(0, len(rows) if model else 0, BLOCK):
-                part = rows[start : start + BLOCK]
-                bits = np.zeros((len(part), BITS), dtype=np.uint8)
-                for k, data in enumerate(part):
-                    presence(data, bits[k])
-                s = model.score(bits)
-                best += s.argmax(axis=1).tolist()
-                scores += np.clip(s.max(axis=1), 0.0, 1.0).astype(float).tolist()
-            if not model:
-                named, best, scores = [False] * len(rows), [0] * len(rows), [0.0] * len(rows)
+            if model and len(named):
+                s = model.mean_scores(utf8_rows(texts))
+                best, scores = s.argmax(axis=1).tolist(), np.clip(s.max(axis=1), 0.0, 1.0).tolist()
+            else:
+                named, best, scores = [False] * len(named), [0] * len(named), [0.0] * len(named)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
