@@ -9,6 +9,10 @@ and the counts of all prefixes come from one pass. Two adjacent pieces are compa
 merges of their joined text give just these two; an encoding is right when all neighbours are.
 Texts fall apart before each run of word marks, which no merge crosses, so the counts of a word
 are worked out once and remembered, and a document's counts are running sums of its words'.
+
+``prefix_table`` keeps the counts of all prefixes of a document in one binary value, as differences
+of a byte each. Budgets, truncation and places are answered from it (``within``, ``tokens_at``),
+without the text and without the vocabulary.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from functools import lru_cache
 from itertools import accumulate, groupby
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quinhao.llm.common import by_batch
@@ -62,7 +66,7 @@ class PrefixCounter:
         words = f"{MARK}*[^{MARK}{line}]+|{MARK}+" + (f"|{line}" if line else "")
         self.words = re.compile(words if parted else "(?s).+").findall
         self._follows: dict[int, bool] = {}
-        self._memo = _Totals(self.inner, memo_words)
+        self._memo = _Steps(self.inner, memo_words)
 
     def _merged(self, text: str) -> list[str]:
         """The pieces of a short text, by merging the best pair again and again."""
@@ -121,37 +125,41 @@ class PrefixCounter:
     def _split(self, text: str) -> list[str]:
         return self.words(MARK + text.replace(" ", MARK)) if text else []
 
+    def steps(self, text: str | None) -> np.ndarray:
+        """How much each character of ``text`` adds to the count."""
+        words = self._split(text or "")
+        out = np.frombuffer(b"".join(map(self._memo.__getitem__, words)), dtype=np.int32)
+        if not len(out):
+            return out
+        # the mark put before the text is not a character of it
+        return np.concatenate([[out[0] + out[1]], out[2:]], dtype=np.int32)
+
     def count(self, text: str | None) -> int:
-        return sum(map(self._memo.__getitem__, self._split(text or "")))
+        return int(self.steps(text).sum())
 
     def table(self, text: str | None) -> np.ndarray:
         """Counts of all prefixes of ``text`` by their number of characters, 0 first."""
-        out = [0]
-        base = 0
-        for word in self._split(text or ""):
-            counts = self.inner(word)
-            out += [base + n for n in counts[1:]]
-            base += counts[-1]
-        if text:
-            del out[1]  # the mark put before the text is not a character of it
-        return np.asarray(out, dtype=np.int64)
-
-    def fitting(self, text: str | None, budget: int) -> int:
-        """Characters of the longest prefix with at most ``budget`` tokens.
-
-        Only the words about the budget are opened; all others are running sums.
-        """
-        words = self._split(text or "")
-        ends = list(accumulate(map(self._memo.__getitem__, words), initial=0))
-        size = sum(map(len, words))
-        for k in range(len(words) - 1, -1, -1):
-            size -= len(words[k])
-            if ends[k] > budget:
-                continue
-            for n, count in reversed(list(enumerate(self.inner(words[k])))):
-                if ends[k] + count <= budget and (k or n):
-                    return max(0, size + n - 1)
-        return 0
+        return counts_of(pack_steps(self.steps(text)))
+
+
+def pack_steps(steps: np.ndarray) -> bytes:
+    """Steps in as few bytes each as they need, one nearly always; the first byte is that number."""
+    width = next(w for w in (1, 2, 4) if (steps == steps.astype(f"<i{w}")).all())
+    return bytes([width]) + steps.astype(f"<i{width}").tobytes()
+
+
+def counts_of(prefixes: bytes | None) -> np.ndarray:
+    """Counts of all prefixes, the empty one first, from what ``pack_steps`` made."""
+    steps = np.frombuffer(prefixes, f"<i{prefixes[0]}", offset=1) if prefixes else np.zeros(0)
+    out = np.zeros(len(steps) + 1, dtype=np.int64)
+    np.cumsum(steps, out=out[1:])
+    return out
+
+
+def fitting(counts: np.ndarray, budget: int) -> int:
+    """Characters of the longest prefix with at most ``budget`` tokens; counts may fall again."""
+    fits = np.flatnonzero(counts <= budget)
+    return int(fits[-1]) if len(fits) else 0
 
 
 def _width(char: str) -> int:
@@ -164,28 +172,28 @@ def counter_for(model_file: str) -> PrefixCounter:
     return PrefixCounter(model_file)
 
 
-class _Totals(dict):
-    """Whole-word counts, worked out on first use."""
+class _Steps(dict):
+    """Steps of whole words, worked out on first use."""
 
     def __init__(self, inner, limit: int) -> None:
         super().__init__()
         self.inner, self.limit = inner, limit
 
-    def __missing__(self, word: str) -> int:
-        n = self.inner(word)[-1]
+    def __missing__(self, word: str) -> bytes:
+        steps = np.diff(self.inner(word)).astype(np.int32).tobytes()
         if len(word) <= MEMO_CHARS:
             if len(self) >= self.limit:
                 self.clear()
-            self[word] = n
-        return n
+            self[word] = steps
+        return steps
 
 
-def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit, fit_chars) of every row's whole text.
+def prefix_table(docs: DataFrame, model_file: str) -> DataFrame:
+    """(doc_id, n_bytes, n_chars, prefixes) of every row's whole text.
 
-    ``fit_chars`` is the length in characters of the longest prefix within ``limit`` tokens. A
-    null text counts as empty; repeated rows and null ids come back as they are; other columns
-    are ignored; an empty table gives an empty result.
+    ``prefixes`` holds the token count of every prefix, about a byte a character, and is meant to
+    be stored. A null text counts as empty; repeated rows and null ids come back as they are; other
+    columns are ignored; an empty table gives an empty result.
     """
 
     def build():
@@ -193,16 +201,11 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
 
         def apply(ids, texts):
             texts = [t or "" for t in texts]
-            counts = [counter.count(t) for t in texts]
             return (
                 ids,
                 [len(t.encode()) for t in texts],
-                counts,
-                [n > limit for n in counts],
-                [
-                    counter.fitting(t, limit) if n > limit else len(t)
-                    for t, n in zip(texts, counts)
-                ],
+                [len(t) for t in texts],
+                [pack_steps(counter.steps(t)) for t in texts],
             )
 
         return apply
@@ -210,5 +213,66 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
     return by_batch(
         docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")),
         build,
-        "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint",
+        "doc_id bigint, n_bytes bigint, n_chars bigint, prefixes binary",
+    )
+
+
+def within(table: DataFrame, limit: int | Column) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit, fit_chars, fit_tokens) from a ``prefix_table``.
+
+    ``fit_chars`` is the length in characters of the longest prefix within ``limit`` tokens, and
+    ``fit_tokens`` what it costs. ``limit`` is a number or a column of ``table``; a null one is no
+    limit, one below 0 is as 0. Null ``prefixes`` are those of an empty text.
+    """
+    limit = limit if isinstance(limit, Column) else F.lit(limit)
+
+    def apply(ids, sizes, blobs, limits):
+        out = []
+        for blob, most in zip(blobs, limits):
+            counts = counts_of(blob)
+            n = int(counts[-1])
+            over = most is not None and n > most
+            fit = fitting(counts, max(most, 0)) if over else len(counts) - 1
+            out.append((n, over, fit, int(counts[fit])))
+        return (ids, sizes, *zip(*out))
+
+    return by_batch(
+        table.select("doc_id", "n_bytes", "prefixes", limit.cast("bigint").alias("limit")),
+        lambda: apply,
+        "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint, "
+        "fit_tokens bigint",
     )
+
+
+def tokens_at(table: DataFrame, places: Column) -> DataFrame:
+    """(doc_id, places, n_tokens), from a ``prefix_table``: the token counts of the prefixes whose
+    lengths in characters the array ``places`` of a row has.
+
+    A place beyond the text counts as its end, one before it as its start; a null one, or a null
+    array, has a null count.
+    """
+
+    def apply(ids, blobs, asked):
+        found = []
+        for blob, at in zip(blobs, asked):
+            counts = counts_of(blob)
+            last = len(counts) - 1
+            found.append(
+                at if at is None
+                else [None if k is None else int(counts[min(max(k, 0), last)]) for k in at]
+            )
+        return ids, asked, found
+
+    return by_batch(
+        table.select("doc_id", "prefixes", places.cast("array<bigint>").alias("places")),
+        lambda: apply,
+        "doc_id bigint, places array<bigint>, n_tokens array<bigint>",
+    )
+
+
+def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit, fit_chars) of every row's whole text.
+
+    What ``within`` says of the ``prefix_table``; odd rows are as there.
+    """
+    return within(prefix_table(docs, model_file), limit).drop("fit_tokens")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import tiktoken
+from pyspark.sql import functions as F
 
 from quinhao.llm import bpe, prefix_counts
 from quinhao.llm.queries import pattern, vocabulary
@@ -45,7 +46,7 @@ def test_every_prefix_is_counted_as_the_library_does(pieces, texts):
         assert counter.count(text) == want[-1]
         for budget in (0, 1, 5, 40):
             fits = max(n for n, count in enumerate(want) if count <= budget)
-            assert counter.fitting(text, budget) == fits, (text, budget)
+            assert prefix_counts.fitting(counter.table(text), budget) == fits, (text, budget)
 
 
 def test_memo_starts_anew_when_full(pieces):
@@ -55,6 +56,42 @@ def test_memo_starts_anew_when_full(pieces):
     assert len(counter._memo) <= 3
 
 
+def test_steps_of_any_size_are_packed():
+    for steps in ([], [1, 0, -3, 127, -128], [300, -5], [70_000, -70_000, 1]):
+        blob = prefix_counts.pack_steps(np.array(steps, dtype=np.int32))
+        assert prefix_counts.counts_of(blob).tolist() == [0, *np.cumsum(steps).tolist()]
+    assert prefix_counts.counts_of(None).tolist() == [0]
+
+
+def test_budgets_and_places_from_a_stored_table(make, odd_rows, clash, pieces, rows_of, tmp_path):
+    """Answered from the written column alone, as the library answers for each prefix's text."""
+    rows = [r for r in odd_rows if len(r[1] or "") < 2000]
+    rows += [(50, "naïve 日本語 words, \n\n and  blanks " * 9)]
+    path = str(tmp_path / "prefixes")
+    prefix_counts.prefix_table(clash(make(rows)), PIECES).write.parquet(path)
+    table = make([]).sparkSession.read.parquet(path)
+    counts = {r[1]: [len(pieces.encode((r[1] or "")[:k])) for k in range(len(r[1] or "") + 1)]
+              for r in rows}
+    limit = F.when(F.col("doc_id") == 50, F.lit(None)).otherwise(F.col("n_chars") % 7 - 1)
+    want = []
+    for r in rows:
+        c = counts[r[1]]
+        most = None if r[0] == 50 else (len(c) - 1) % 7 - 1
+        over = most is not None and c[-1] > most
+        fit = max(k for k, n in enumerate(c) if n <= max(most, 0)) if over else len(c) - 1
+        want.append((r[0], len((r[1] or "").encode()), c[-1], over, fit, c[fit]))
+    assert rows_of(prefix_counts.within(table, limit)) == sorted(want, key=repr)
+    places = F.when(F.col("doc_id") != 1, F.array(F.lit(-1), F.lit(3), F.lit(None), F.lit(10**6)))
+    want = []
+    for r in rows:
+        c, at = counts[r[1]], [-1, 3, None, 10**6]
+        if r[0] is None or r[0] == 1:
+            want.append((r[0], None, None))
+        else:
+            want.append((r[0], at, [0, c[min(3, len(c) - 1)], None, c[-1]]))
+    assert rows_of(prefix_counts.tokens_at(table, places)) == sorted(want, key=repr)
+
+
 def test_counts_of_documents(odd, odd_rows, clash, pieces, rows_of):
     got = rows_of(
         prefix_counts.token_counts(clash(odd), PIECES, limit=100).drop("fit_chars")
