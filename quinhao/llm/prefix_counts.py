@@ -162,6 +162,15 @@ def fitting(counts: np.ndarray, budget: int) -> int:
     return int(fits[-1]) if len(fits) else 0
 
 
+def answer(prefixes: bytes | None, limit: int | None) -> tuple[int, bool, int, int]:
+    """Tokens, whether these are over ``limit``, and characters and tokens of what is within."""
+    counts = counts_of(prefixes)
+    n = int(counts[-1])
+    over = limit is not None and n > limit
+    fit = fitting(counts, max(limit, 0)) if over else len(counts) - 1
+    return n, over, fit, int(counts[fit])
+
+
 def _width(char: str) -> int:
     return len(char.encode())
 
@@ -227,14 +236,7 @@ def within(table: DataFrame, limit: int | Column) -> DataFrame:
     limit = limit if isinstance(limit, Column) else F.lit(limit)
 
     def apply(ids, sizes, blobs, limits):
-        out = []
-        for blob, most in zip(blobs, limits):
-            counts = counts_of(blob)
-            n = int(counts[-1])
-            over = most is not None and n > most
-            fit = fitting(counts, max(most, 0)) if over else len(counts) - 1
-            out.append((n, over, fit, int(counts[fit])))
-        return (ids, sizes, *zip(*out))
+        return (ids, sizes, *zip(*map(answer, blobs, limits)))
 
     return by_batch(
         table.select("doc_id", "n_bytes", "prefixes", limit.cast("bigint").alias("limit")),
@@ -273,6 +275,22 @@ def tokens_at(table: DataFrame, places: Column) -> DataFrame:
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit, fit_chars) of every row's whole text.
 
-    What ``within`` says of the ``prefix_table``; odd rows are as there.
+    What ``within`` says of the ``prefix_table``, whose values are made and asked in one pass, text
+    by text, and not kept; odd rows are as there.
     """
-    return within(prefix_table(docs, model_file), limit).drop("fit_tokens")
+
+    def build():
+        counter = counter_for(model_file)
+
+        def apply(ids, texts):
+            asked = [answer(pack_steps(counter.steps(t)), limit) for t in texts]
+            sizes = [len((t or "").encode()) for t in texts]
+            return (ids, sizes, *list(zip(*asked))[:3])
+
+        return apply
+
+    return by_batch(
+        docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")),
+        build,
+        "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint",
+    )
