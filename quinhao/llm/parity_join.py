@@ -13,11 +13,14 @@ the sketches, never exceeds the symmetric difference.
    Sets with too few non-empty parts are compared by single shingles instead.
 2. The same count over single shingles among the sets that are left: a set needs 3/4 of its own
    shared.
-3. Candidates agree on one of the n - ceil(3n/4) + 1 rarest shingles of each; how rare a shingle
-   is, is read off a table of counters of fixed size. Every set takes the least doc_id that it
-   meets so as its label. Sets of one label are compared with each other in blocks, where each
-   travels once; pairs of different labels, which are few, are listed. Pairs are dropped by size
-   and by the Hamming distance of bit sketches, and what is left is verified on whole sets.
+3. Candidates are joined on parts of their sketches in a band. As linked sets agree in N - n // 3
+   parts, they agree on one of the n // 3 + 1 rarest parts of each, so only these are joined; how
+   rare a part is, is read off a table of counters of fixed size. Sets with too few parts are
+   joined on all of them, and on their n - ceil(3n/4) + 1 rarest shingles. Every set takes the
+   least doc_id that it meets so as its label. Sets of one label are compared with each other in
+   blocks, where each travels once; pairs of different labels, which are few, are listed. Pairs
+   are dropped by size and by the Hamming distance of bit sketches, and what is left is verified
+   on whole sets.
 
 Sets that are equal are one class throughout. A key that many sets of a task have is shipped for
 two of them, as the task itself knows that they all share it.
@@ -293,25 +296,26 @@ def _unpacked(batches) -> Iterator[tuple[int, np.ndarray]]:
 
 MEMBER = np.dtype([("set", "<i8"), ("doc", "<i8"), ("label", "<i8"), ("n", "<u4")])
 PAIRS = 2_000_000  # pairs a task holds before it yields them
-CELL_BITS = 22  # counters of shingles: 2 ** CELL_BITS of four bytes, whatever the corpus
+CELL_BITS = 22  # counters of keys: 2 ** CELL_BITS of four bytes, whatever the corpus
 SPANS = 64  # rows in which they travel
 
 
-def _cells(shingles: np.ndarray) -> np.ndarray:
-    return (mix(shingles) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def _cells(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def frequencies(sets: DataFrame) -> np.ndarray:
-    """How many sets have the shingles of each cell, in 2 ** CELL_BITS counters.
+    """How many sets have the keys of each cell, in 2 ** CELL_BITS counters.
 
-    Cells put shingles in one order for all sets; which order it is, is a matter of speed.
+    Cells put keys in one order for all sets; which order it is, is a matter of speed.
     """
     size = (1 << CELL_BITS) // SPANS
 
     def count(batches):
         total = np.zeros(1 << CELL_BITS, dtype=np.uint32)
         for _, shingles in _unpacked(batches):
-            np.add.at(total, _cells(shingles), 1)
+            for _, _, keys in band_keys(shingles):
+                np.add.at(total, _cells(keys), 1)
         spans = [k for k in range(SPANS) if total[k * size : (k + 1) * size].any()]
         yield pa.RecordBatch.from_arrays(
             [
@@ -338,6 +342,19 @@ def frequencies(sets: DataFrame) -> np.ndarray:
     return out
 
 
+def meeting_keys(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The parts of a set's sketches by which it meets candidates: the rarest of each band.
+
+    Where linked sets agree in ``need`` of a set's N keys, at most N - need of these come before
+    the first that they agree on, in an order that is the same for all sets.
+    """
+    chosen = []
+    for _, need, keys in band_keys(shingles):
+        order = np.lexsort((keys, counts[_cells(keys)]))
+        chosen.append(keys[order[: len(keys) - need + 1]])
+    return np.concatenate(chosen)
+
+
 def _emit_rarest(sets: DataFrame, bits: int, counts) -> DataFrame:
     """Packed rows of the keys by which candidates meet, from ``(set, shingles, doc_id, label)``."""
 
@@ -355,10 +372,8 @@ def _emit_rarest(sets: DataFrame, bits: int, counts) -> DataFrame:
         for batch in batches:
             more = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             for (doc_id, label), (name, shingles) in zip(more, _unpacked([batch])):
-                n = len(shingles)
-                rarest = np.argsort(counts.value[_cells(shingles)], kind="stable")
-                own = mix(shingles[rarest[: n - needed(n) + 1]])
-                owners.append((name, doc_id, label, n))
+                own = meeting_keys(shingles, counts.value)
+                owners.append((name, doc_id, label, len(shingles)))
                 keys.append(own)
                 held += len(own)
                 if held >= FLUSH or len(owners) == MOST_OWNERS:

@@ -112,6 +112,36 @@ def test_pigeonhole_never_misses_a_link():
             assert any(count >= need for need, count in shared)
 
 
+def test_linked_sets_meet_on_a_part_of_their_sketches():
+    """Whatever the counters say, linked sets have one of their rarest keys in common."""
+    rnd = np.random.default_rng(6)
+    tried = 0
+    for k in range(1500):
+        n = int(rnd.integers(3, 40 if k % 2 else 600))
+        if k % 100 == 0:
+            counts = rnd.integers(0, 4, 1 << parity_join.CELL_BITS, dtype=np.uint32)
+        a = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        change = int(rnd.integers(0, len(a) // 3 + 1))
+        more = rnd.integers(0, 1 << 63, int(rnd.integers(0, change + 1)), dtype=np.uint64)
+        b = np.unique(np.concatenate([a[change:], more]))
+        if min(len(a), len(b)) < parity_join.LEAST_SIZE or not parity_join.linked(a, b):
+            continue
+        tried += 1
+        keys = [parity_join.meeting_keys(x, counts) for x in (a, b)]
+        assert np.isin(*keys).any()
+    assert tried > 300
+
+
+def test_only_rare_parts_are_joined():
+    """A third of a set's size, and less than the set's shingles, in its own band."""
+    rnd = np.random.default_rng(7)
+    counts = np.zeros(1 << parity_join.CELL_BITS, dtype=np.uint32)
+    for n in (64, 100, 127, 1000, 5000):
+        a = np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        bands = list(parity_join.band_keys(a))
+        assert len(parity_join.meeting_keys(a, counts)) == len(bands) * (len(a) // 3 + 1)
+
+
 def test_sketch_distance_never_exceeds_the_difference():
     rnd = np.random.default_rng(4)
     for _ in range(200):
