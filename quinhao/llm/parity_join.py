@@ -610,10 +610,9 @@ def candidate_links(sets: DataFrame, bits: int) -> DataFrame:
     placed, whole = _placed(materialize(labels, "labels"))
     within = links_within(sets, placed, whole)
     named = sets.join(placed.select("set", "label"), "set")
-    empty = pa.schema([(name, pa.int64()) for name in ("a", "b")])
 
-    def across(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(_across(table)), schema=empty)
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _across(pa.Table.from_batches(list(batches)))
 
     pairs = (
         _emit_rarest(named, bits, counts)
