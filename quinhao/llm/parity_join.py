@@ -17,10 +17,11 @@ the sketches, never exceeds the symmetric difference.
    parts, they agree on one of the n // 3 + 1 rarest parts of each, so only these are joined; how
    rare a part is, is read off a table of counters of fixed size. Sets with too few parts are
    joined on all of them, and on their n - ceil(3n/4) + 1 rarest shingles. Every set takes the
-   least doc_id that it meets so as its label. Sets of one label are compared with each other in
-   blocks, where each travels once; pairs of different labels, which are few, are listed. Pairs
-   are dropped by size and by the Hamming distance of bit sketches, and what is left is verified
-   on whole sets.
+   least doc_id that it meets on MEETINGS of these keys, those of least hash, as its label, and
+   then the label of that document's set. Sets of one label are compared with each other in
+   blocks, where each travels once; pairs of different labels that meet on any key, which are
+   few, are listed. Pairs are dropped by size and by the Hamming distance of bit sketches, and
+   what is left is verified on whole sets.
 
 Sets that are equal are one class throughout. A key that many sets of a task have is shipped for
 two of them, as the task itself knows that they all share it.
@@ -295,6 +296,8 @@ def _unpacked(batches) -> Iterator[tuple[int, np.ndarray]]:
 # --- candidates ------------------------------------------------------------------------------
 
 MEMBER = np.dtype([("set", "<i8"), ("doc", "<i8"), ("label", "<i8"), ("n", "<u4")])
+MEETINGS = 32  # keys by which a set gets its label
+JOINED = 2  # times that labels give way to lesser ones
 PAIRS = 2_000_000  # pairs a task holds before it yields them
 CELL_BITS = 22  # counters of keys: 2 ** CELL_BITS of four bytes, whatever the corpus
 SPANS = 64  # rows in which they travel
@@ -355,8 +358,9 @@ def meeting_keys(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate(chosen)
 
 
-def _emit_rarest(sets: DataFrame, bits: int, counts) -> DataFrame:
-    """Packed rows of the keys by which candidates meet, from ``(set, shingles, doc_id, label)``."""
+def _emit_rarest(sets: DataFrame, bits: int, counts, most: int | None = None) -> DataFrame:
+    """Packed rows of the keys by which candidates meet, from ``(set, shingles, doc_id, label)``;
+    at most ``most`` of each set, of least hash, if given."""
 
     def run(batches):
         owners, keys, held = [], [], 0
@@ -373,6 +377,8 @@ def _emit_rarest(sets: DataFrame, bits: int, counts) -> DataFrame:
             more = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             for (doc_id, label), (name, shingles) in zip(more, _unpacked([batch])):
                 own = meeting_keys(shingles, counts.value)
+                if most:
+                    own = own[np.argsort(mix(own))[:most]]
                 owners.append((name, doc_id, label, len(shingles)))
                 keys.append(own)
                 held += len(own)
@@ -595,19 +601,38 @@ def links_across(pairs: DataFrame, sets: DataFrame, placed: DataFrame, whole: in
     )
 
 
+def _joined_labels(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(set, label): a label that is the doc_id of a set with a lesser one gives way to that, so
+    that a large group whose sets don't all meet its least one has one label."""
+    of_doc = (
+        sets.select("set", "doc_id")
+        .join(labels, "set")
+        .where("label < doc_id")
+        .groupBy(F.col("doc_id").alias("label"))
+        .agg(F.min("label").alias("lesser"))
+    )
+    joined = labels.join(of_doc, "label", "left")
+    return materialize(joined.select("set", F.coalesce("lesser", "label").alias("label")), "labels")
+
+
 def candidate_links(sets: DataFrame, bits: int) -> DataFrame:
     """(a, b): links that connect all linked sets of ``sets(set, shingles, doc_id)``."""
     spark = sets.sparkSession
     counts = spark.sparkContext.broadcast(frequencies(sets))  # of fixed size
     alone = sets.withColumn("label", F.col("doc_id"))
+    # which label a set has decides where it is compared, not whether
     labels = (
-        _emit_rarest(alone, bits, counts)
+        _emit_rarest(alone, bits, counts, MEETINGS)
         .groupBy("bucket")
         .applyInArrow(_labels, "set bigint, label bigint")
+        .unionByName(alone.select("set", "label"))
         .groupBy("set")
         .agg(F.min("label").alias("label"))
     )
-    placed, whole = _placed(materialize(labels, "labels"))
+    labels = materialize(labels, "labels")
+    for _ in range(JOINED):
+        labels = _joined_labels(sets, labels)
+    placed, whole = _placed(labels)
     within = links_within(sets, placed, whole)
     named = sets.join(placed.select("set", "label"), "set")
 

@@ -72,6 +72,13 @@ def test_components_equal_brute_force(make, clash, seed, rows_of):
     assert rows_of(parity_join.near_duplicates(clash(make(rows)))) == brute(rows)
 
 
+def test_labels_decide_no_link(make, rows_of, monkeypatch):
+    """Sets that get their label from a single key are compared across labels instead."""
+    monkeypatch.setattr(parity_join, "MEETINGS", 1)
+    rows = made_rows(4)
+    assert rows_of(parity_join.near_duplicates(make(rows))) == brute(rows)
+
+
 def test_copies_that_are_linked_with_their_source_only(make, rows_of):
     """A hub whose copies are not linked with each other, and a chain."""
     rnd = random.Random(8)
