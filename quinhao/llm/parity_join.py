@@ -54,7 +54,7 @@ from quinhao.llm.shingles import shingle_set
 
 PARTS = 0.58  # parts of a band's sketch, in elements of its largest sets but a third
 LEAST_SIZE = 3  # smaller sets are linked with equal ones only
-FLUSH = 2_000_000  # keys that a task packs at a time
+FLUSH = 500_000  # keys that a task packs at a time
 ENTRY = np.dtype([("key", "<u4"), ("owner", "<u2")])
 OWNER = np.dtype([("set", "<i8"), ("unit", "u1"), ("need", "<u2")])
 REPLY = np.dtype([("set", "<i8"), ("unit", "u1"), ("need", "<u4"), ("count", "<u4")])
@@ -118,14 +118,19 @@ def _emit(
     held = 0
 
     def flush():
-        key = np.concatenate(keys)
-        owner = np.repeat(np.arange(len(owners)), [len(k) for k in keys])
+        nonlocal owners, keys, held, seen
         names = np.array(owners, dtype=OWNER)
-        order = np.lexsort((names["set"][owner], key))
+        by_set = np.argsort(names["set"], kind="stable")
+        names, own = names[by_set], [keys[k] for k in by_set.tolist()]
+        owners, keys, held, seen = [], [], 0, set()
+        key = np.concatenate(own)
+        owner = np.repeat(np.arange(len(names), dtype=np.uint32), [len(k) for k in own])
+        del own
+        order = np.argsort(key, kind="stable")  # of a key, by set
         key, owner = key[order], owner[order]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        rank = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
-        known = rank >= 2  # two others of this task have the key: shared
+        del order
+        known = np.zeros(len(key), dtype=bool)
+        known[2:] = key[2:] == key[:-2]  # two others of this task have the key: shared
         if known.any():
             counts = np.bincount(owner[known], minlength=len(names))
             told = np.flatnonzero(counts)
@@ -134,15 +139,15 @@ def _emit(
                 replies[field] = names[field][told]
             replies["count"] = counts[told]
             yield _pack_replies(replies, told_bits)
-        bucket, short = split_key(key[~known], bits)
-        entries = np.empty(len(short), dtype=ENTRY)
-        entries["key"] = short
+        key, owner = key[~known], owner[~known]
         # numbers of owners may pass 16 bits before a row has its own
         for part in range(0, len(names), MOST_OWNERS):
-            mine = (owner[~known] >= part) & (owner[~known] < part + MOST_OWNERS)
-            own = entries[mine]
-            own["owner"] = owner[~known][mine] - part
-            yield pack(bucket[mine], own, names[part : part + MOST_OWNERS])
+            mine = (owner >= part) & (owner < part + MOST_OWNERS)
+            bucket, short = split_key(key[mine], bits)
+            entries = np.empty(len(short), dtype=ENTRY)
+            entries["key"], entries["owner"] = short, owner[mine] - part
+            del mine, short
+            yield pack(bucket, entries, names[part : part + MOST_OWNERS])
 
     for name, shingles in sets:
         if len(shingles) < LEAST_SIZE or name in seen:
@@ -154,8 +159,6 @@ def _emit(
             held += len(own)
         if held >= FLUSH:
             yield from flush()
-            owners, keys, held = [], [], 0
-            seen = set()
     if owners:
         yield from flush()
 

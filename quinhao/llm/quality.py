@@ -99,7 +99,8 @@ def with_features(docs: DataFrame, name: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [measure(t) for t in batch.column(at).to_pylist()]
+            # text by text: a list of them would be a batch's texts once more
+            rows = [measure(t.as_py()) for t in batch.column(at)]
             columns = list(zip(*rows)) if rows else [()] * len(FEATURES)
             struct = pa.StructArray.from_arrays(
                 [pa.array(c, type=pa.int64()) for c in columns], names=list(FEATURES)

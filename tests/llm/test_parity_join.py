@@ -2,6 +2,7 @@
 
 import random
 import string
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -221,3 +222,33 @@ def test_components_of_a_long_path_and_a_star(spark):
     )
     want = dict.fromkeys(range(100, 161), 100) | dict.fromkeys([3, *range(5, 40)], 3)
     assert got == want
+
+
+def test_packing_a_tasks_keys_takes_bounded_memory():
+    """Millions of keys, and sets that have many in common; of equal keys two are shipped."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
+    made = told = shipped = 0
+
+    def sets():
+        for k in range(35_000):
+            own = rng.integers(0, 1 << 63, 50 if k % 50 == 0 else 200, dtype=np.uint64)
+            yield k, np.unique(np.concatenate([own, common]) if k % 50 == 0 else own)
+
+    def keys_of(shingles):
+        nonlocal made
+        for unit, need, keys in parity_join.band_keys(shingles):
+            made += len(keys)
+            yield unit, need, keys
+
+    tracemalloc.start()
+    for batch in parity_join._emit(sets(), keys_of, 6, 5):
+        for entries, replies in zip(batch["entries"].to_pylist(), batch["replies"].to_pylist()):
+            shipped += len(entries or b"") // parity_join.ENTRY.itemsize
+            found = np.frombuffer(replies or b"", dtype=parity_join.REPLY)
+            told += int(found["count"].sum())
+            assert not len(found) or (found["set"] % 50 == 0).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made > 2_500_000 and told > 0 and told + shipped == made
+    assert peak < 100e6, peak
