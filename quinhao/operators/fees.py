@@ -81,13 +81,12 @@ def movement_sums(
     An "inner" join leaves out items of no sector; a "left" one keeps them for the sums ``more``.
     """
     items = item.select("id_mov_caixa", "id_transacao", "qtde_ato", "taxa_1")
-    if not engine_broadcasts(sectors):  # the items move, so equal ones are added up first
-        items = _lines(items)
-    else:
-        items = items.withColumns({"items": F.lit(1)})
+    items = items.withColumn("items", F.lit(1))
+    if not engine_broadcasts(sectors):  # the items move: once, as spread rows need no sums first
+        items = items.withColumn("_row", F.monotonically_increasing_id())
     of_sector = [c for i, name in enumerate(names) for c in _sums_of(i, F.col("sector") == name)]
     return (
-        lookup_join(items, sectors, "id_transacao", how, by=["id_mov_caixa"])
+        lookup_join(items, sectors, "id_transacao", how, by=["_row"])
         .groupBy("id_mov_caixa")
         .agg(*of_sector, *more)
     )

@@ -65,7 +65,8 @@ def spread_join(
 ) -> DataFrame:
     """Shuffled join in which the facts of a hot key are spread over all tasks.
 
-    The columns ``by`` tell the facts of a key apart, so sum equal facts first. Only the few rows
+    The columns ``by`` tell the facts of a key apart: sum equal facts first, or number the rows where
+    that would shuffle them once more for little. Only the few rows
     of ``other`` that belong to hot keys are repeated. Facts without a key are spread too. Which
     keys are hot is part of the plan (``hot_keys``), so the facts are read twice.
     """

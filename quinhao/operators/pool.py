@@ -161,10 +161,19 @@ def boosted_total(
 def payroll_production(total: DataFrame, roster: DataFrame, periods: DataFrame) -> DataFrame:
     """Production of everyone on the roster in each of ``periods``; the idle get zero.
 
-    ``periods`` holds calendar months, which are few.
+    ``periods`` holds calendar months, which are few. A null id meets nobody. That is told by the
+    roster's side alone: the engine would push a plain key's test for nulls below the maxima's other
+    reading of the same sums, and make the acts twice.
     """
     months = periods.agg(F.collect_set("period")).scalar()
     spine = roster.select("*", F.explode(months).alias("period"))
-    return spine.join(total, ["period", "id_usuario"], "left").withColumn(
-        "production", or_zero(F.col("production"))
+    keys = ["period", "id_usuario"]
+    made = total.withColumnsRenamed({c: f"_{c}" for c in keys})
+    user = F.col("id_usuario")
+    same = (F.col("period") == F.col("_period")) & user.eqNullSafe(F.col("_id_usuario"))
+    others = [c for df in (spine, total) for c in df.columns if c not in keys]
+    return (
+        spine.join(made, same & user.isNotNull(), "left")
+        .select(*keys, *others)
+        .withColumn("production", or_zero(F.col("production")))
     )

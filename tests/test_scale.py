@@ -156,6 +156,19 @@ def test_equal_items_are_one_row_in_the_lookup(spark, large_scale):
     assert joined.agg(F.sum("items")).first()[0] == 60_000
 
 
+def test_equal_items_are_spread_by_their_number(spark, large_scale):
+    item = spark.range(60_000).selectExpr(
+        "IF(id % 3 < 2, 5, id % 9000) AS id_mov_caixa", "1 AS qtde_ato",
+        "CAST(10 AS DECIMAL(18,2)) AS taxa_1", "IF(id % 3 < 2, 7, id % 400) AS id_transacao",
+    )
+    names = spark.range(400).selectExpr("id AS id_transacao", "'aut' AS sector")
+    numbered = item.withColumn("_row", F.monotonically_increasing_id())
+    found = loads(lookup.lookup_join(numbered, names, "id_transacao", "inner", by=["_row"]))
+    assert max(found) <= 3 * found[8]
+    sums = fees.movement_sums(item, names, ["aut"], "inner")
+    assert sums.agg(F.sum("items_0"), F.sum("acts_0")).first()[:] == (60_000, 60_000)
+
+
 def test_hot_transaction_and_movement_of_many_transactions_are_spread(spark, large_scale):
     item = spark.range(60_000).selectExpr(
         "IF(id % 3 < 2, 5, id % 900) AS id_mov_caixa", "1 AS qtde_ato",
@@ -295,6 +308,27 @@ def test_joining_movements_reuses_the_partitioning_of_their_sums(loaded, no_broa
     assert 1 <= sums <= 2  # one for each side of the join, if their keys differ; none for the sums
 
 
+def test_items_move_to_a_large_lookup_without_being_added_up_first(loaded, no_broadcast):
+    executed = P.all_acts(loaded[0])._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in executed
+    assert not re.findall(r"hashpartitioning\(id_mov_caixa#\w+, id_transacao", executed)
+
+
+def test_nobody_meets_a_null_id_and_no_filter_parts_the_sums(spark):
+    """A filter below the join would keep the maxima from reading the same sums."""
+    roster = spark.range(4).selectExpr("IF(id = 3, NULL, id) AS id_usuario", "id AS n")
+    total = (
+        spark.range(8)
+        .selectExpr("202103 AS period", "IF(id < 2, NULL, id % 4) AS id_usuario", "id AS p")
+        .groupBy("period", "id_usuario")
+        .agg(F.sum("p").cast("double").alias("production"))
+    )
+    got = pool.payroll_production(total, roster, spark.sql("SELECT 202103 AS period"))
+    assert "Filter" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.columns == ["period", "id_usuario", "n", "production"]
+    assert [r.production for r in got.orderBy("n").collect()] == [4.0, 5.0, 8.0, 0.0]
+
+
 def test_large_lookup_is_not_broadcast(spark, loaded, no_broadcast):
     t = loaded[0]
     acts = fees.fee_acts(
