@@ -19,6 +19,7 @@ Ids of movements, receipts and receptions are taken to be unique in their own ta
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from quinhao.functions.periods import period_of
 from quinhao.operators.lookup import lookup_join
 from quinhao.schemas import SCHEMAS, Tables
+from quinhao.session import stored
 
 NO_MONTH = 0
 MONTHLY = (
@@ -54,16 +56,21 @@ def _placed(facts: DataFrame, places: DataFrame, key: str, column: str = "period
     return found.withColumn(column, F.coalesce(column, F.lit(NO_MONTH)))
 
 
-def laid_out(t: Tables) -> dict[str, DataFrame]:
-    """The tables with ``period``, and what leads from one to the partitions of another."""
-    moved = t.movimento_caixa.withColumn("period", _month(F.col("data")))
-    booked = t.livros_notas.withColumn("period", _month(F.col("data_reg")))
-    archived = F.when(F.col("arquivado") == "True", F.col("data_arquivado"))
-    receipts = t.recibo.withColumn("period", _month(archived))
+def _moved(t: Tables) -> DataFrame:
+    return t.movimento_caixa.withColumn("period", _month(F.col("data")))
+
+
+def _booked(t: Tables) -> DataFrame:
+    return t.livros_notas.withColumn("period", _month(F.col("data_reg")))
+
+
+def receptions_of(t: Tables) -> DataFrame:
+    """(id_recepcao, home, movement_periods) of the receptions with a movement or a book."""
+    moved, booked = _moved(t), _booked(t)
     dated = F.when(F.col("period") != NO_MONTH, F.col("period"))
     seen = moved.select("id_recepcao", dated.alias("moved"), F.lit(None).cast("int").alias("book"))
     noted = booked.select("id_recepcao", F.lit(None).cast("int").alias("moved"), dated.alias("book"))
-    receptions = (
+    return (
         seen.union(noted)
         .groupBy("id_recepcao")
         .agg(
@@ -79,6 +86,18 @@ def laid_out(t: Tables) -> dict[str, DataFrame]:
         )
         .drop("undated")
     )
+
+
+def laid_out(t: Tables, receptions: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables with ``period``, and what leads from one to the partitions of another.
+
+    Four of them need ``receptions_of``, which may be given as a stored table.
+    """
+    moved, booked = _moved(t), _booked(t)
+    archived = F.when(F.col("arquivado") == "True", F.col("data_arquivado"))
+    receipts = t.recibo.withColumn("period", _month(archived))
+    if receptions is None:
+        receptions = receptions_of(t)
     home = receptions.select("id_recepcao", F.col("home").alias("period"))
     return {
         "movimento_caixa": _placed(
@@ -97,15 +116,26 @@ def laid_out(t: Tables) -> dict[str, DataFrame]:
     }
 
 
+WRITERS = 3  # tables written at a time, so that the last tasks of one leave no core idle
+
+
 def write_layout(t: Tables, root: str) -> None:
-    """Write all tables under ``root``; months that are too large for a task are split in files."""
-    monthly = laid_out(t)
-    for name, df in t.items():
+    """Write all tables under ``root``; months that are too large for a task are split in files.
+
+    What places the receptions is worked out once, into a table that is removed afterwards.
+    """
+
+    def write(name: str) -> None:
         if name in monthly:
             parts = monthly[name].hint("rebalance", F.col("period"))
             parts.write.mode("overwrite").partitionBy("period").parquet(f"{root}/{name}")
         else:
-            df.write.mode("overwrite").parquet(f"{root}/{name}")
+            whole[name].write.mode("overwrite").parquet(f"{root}/{name}")
+
+    with stored(receptions_of(t), "receptions") as receptions:
+        monthly, whole = laid_out(t, receptions), dict(t.items())
+        with ThreadPoolExecutor(WRITERS) as writers:
+            list(writers.map(write, whole))  # an error of any is raised here
 
 
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:

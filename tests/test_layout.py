@@ -53,6 +53,27 @@ def test_month_against_brute_force(spark, tmp_path, period):
     assert sorted(got) == [r for r in brute_force(data) if r[0] == period]
 
 
+def test_places_of_receptions_are_worked_out_once(spark, tmp_path, monkeypatch):
+    plans, real = [], layout.laid_out
+
+    def spy(*given):
+        found = real(*given)
+        plans.extend(df._jdf.queryExecution().optimizedPlan().toString() for df in found.values())
+        return found
+
+    monkeypatch.setattr(layout, "laid_out", spy)
+    layout.write_layout(tables(spark, **skewed()), str(tmp_path))
+    assert len(plans) == len(layout.MONTHLY)
+    assert not any("collect_set" in p for p in plans)
+
+
+def test_an_error_while_writing_is_raised(spark, tmp_path):
+    t = tables(spark, **skewed())
+    t._loaded["grupo_ato"] = spark.range(3).selectExpr("raise_error('no table') AS codigo")
+    with pytest.raises(Exception, match="no table"):
+        layout.write_layout(t, str(tmp_path))
+
+
 def test_old_reception_adds_its_own_months_only(spark, tmp_path):
     """Booked this month, with movements of 1999 and of next month, and noted in 1999."""
     months = [dt.datetime(y, m, 3) for y in range(1999, 2022) for m in range(1, 13)]
