@@ -10,6 +10,7 @@ spans too. In scripts without blanks every letter is a word, and two count as on
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +27,7 @@ MIN_WORDS = 20
 MAX_WORDS = 24  # clauses are no longer
 CLAUSE = 6  # words of a clause, on average
 MEMO = 1 << 16  # words whose marks a task keeps
+SLICE = 1 << 20  # bytes of text that a task holds as Python strings at a time
 
 # A sentence runs through its closing marks and the blanks after them; all pieces together are
 # the text.
@@ -91,11 +93,26 @@ def spans(sentences: list[str], min_words: int = MIN_WORDS) -> list[tuple[int, i
     return found
 
 
+def slices(batch: pa.RecordBatch, at: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts, each with ``most`` bytes of text in column ``at`` or a single row.
+
+    A batch has as many rows as the session says, however long they are.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _spans_of(docs: DataFrame, min_words: int) -> DataFrame:
     """(span, doc_id, again): the distinct spans of each row, and those it has more than once."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE)):
             ids, values, marks = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 every = np.array(
@@ -188,7 +205,7 @@ def without_repeats(
         return text, len(keep), removed
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at, SLICE)):
             known = batch.column(batch.num_columns - 1).to_pylist()
             named = pc.is_valid(batch.column(key_at)).to_pylist()
             rows = [clean(*r) for r in zip(batch.column(at).to_pylist(), known, named)]

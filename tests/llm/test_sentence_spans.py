@@ -2,6 +2,9 @@
 
 import random
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from quinhao.llm import sentence_spans as ss
 
 
@@ -122,3 +125,20 @@ def test_odd_rows_and_empty(odd, odd_rows, empty, rows_of):
         [r[:2] for r in odd_rows], ss.MIN_WORDS
     )
     assert ss.without_repeats(empty).count() == 0
+
+
+def test_batches_are_read_in_bounded_parts():
+    texts = ["x" * 30, None, "y" * 500, "\u00e9" * 20, "", "z" * 90, "w" * 5]
+    batch = pa.record_batch({"doc_id": list(range(7)), "text": texts})
+    parts = list(ss.slices(batch, 1, most=100))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+    assert [p.num_rows for p in parts] == [2, 1, 2, 2]
+    assert list(ss.slices(batch.slice(0, 0), 1, most=100)) == []
+
+
+def test_rows_of_a_batch_read_in_parts_are_whole(make, monkeypatch, rows_of):
+    rows = made_rows(12) + [(900, None), (901, "")]
+    monkeypatch.setattr(ss, "SLICE", 300)
+    cleaned = ss.without_repeats(make(rows, partitions=1), counts=True)
+    assert rows_of(cleaned.select("doc_id", "text")) == brute(rows, ss.MIN_WORDS)
+    assert cleaned.where(F.col("n_chars") != F.length("text")).count() == 0
